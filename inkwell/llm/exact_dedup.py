@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 32_768
 MAX_BLOCKS = 16_384
 BITS_PER_ROW = 32
+HOT_SHARE = 1000
 
 
 def _blocks(rows: int) -> int:
@@ -62,14 +63,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id is smaller than any other, and a group in which all ids are null keeps one of them. Of repeated rows (same id, same text)
     exactly one is kept. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
-    bloom, blocks = repeated_filter(rows, F.col("txt"), docs.count())
+    rows, total = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt")), docs.count()
+    bloom, blocks = repeated_filter(rows, F.col("txt"), total)
     probed = maybe_repeated(rows, F.col("txt"), bloom, blocks, "again").select("id", "again", F.sha2("txt", 256).alias("sha"))
     alone = probed.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # repeated rows first become one with a count, so that a row is known by its id and text
     pairs = probed.where("again").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("copies"))
     groups = pairs.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")).withColumnRenamed("sha", "of")
-    found = pairs.join(groups, F.col("sha") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # a group of over a thousandth of all rows is one of under a thousand: those are broadcast, so that no task gets a hot group
+    size = F.col("group_size") * HOT_SHARE > total
+    hot, on = F.broadcast(groups.where(size)), F.col("sha") == F.col("of")
+    found = pairs.join(hot, on).unionByName(pairs.join(hot, on, "left_anti").join(groups.where(~size), on)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rest = found.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     return alone.unionByName(rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
