@@ -241,6 +241,8 @@ def parts_of(text: str) -> list:
 
 
 def _resolver(bpe: ByteBpe):
+    ids: dict[bytes, list[int]] = {}
+
     def encode(parts: list) -> list[list[int]]:
         words: list[list] = []
         for p in parts:
@@ -251,8 +253,10 @@ def _resolver(bpe: ByteBpe):
                 words.append([bpe.special[text]])
             else:
                 words.append([w.encode() for w in PATTERN.findall(text)])
-        distinct = list({w for x in words for w in x if isinstance(w, bytes)})
-        ids = dict(zip(distinct, bpe.encode_words(distinct), strict=True))
+        if len(ids) > CACHE:
+            ids.clear()
+        new = list({w for x in words for w in x if isinstance(w, bytes) and w not in ids})
+        ids.update(zip(new, bpe.encode_words(new), strict=True))
         return [ids[x[0]] if len(x) == 1 and isinstance(x[0], bytes) else [i for w in x for i in (ids[w] if isinstance(w, bytes) else [w])] for x in words]
 
     return encode
