@@ -1,0 +1,58 @@
+import hashlib
+import random
+import re
+
+from inkwell.llm.pii import BASE, find, luhn, personal_data, redacted_text
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = {}
+    for kind, pattern in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+            if ok:
+                out[kind].append(m.span())
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(7)
+    pieces = ["a", "b.c", "@", "@@", ".", "-", " ", "+", "1", "22", "255", "256", "10.0.0.1", "4539578763621486", "4539 5787 6362 1486", "+1 (415) 555-0100", "x@y.zz", "é", "(", ")", "\n", "%", "0", "1.2.3.4.5.6.7.8"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        got = find(text)
+        assert {k: got[k] for k in BASE} == brute(text), text
+
+
+def test_long_runs_are_linear():
+    assert find("a" * 200_000 + "@")["email"] == []
+    assert find("a@" * 100_000)["email"] == []
+    assert find("1." * 100_000)["ip"][0] == (0, 7)
+
+
+def test_added_kinds_and_redaction():
+    text = "see ftp://joe:pw@host.example or IBAN: DE89370400440532013000, ssn 078-05-1120"
+    got = find(text)
+    assert [text[a:b] for a, b in got["address"]] == ["joe:pw"]
+    assert [text[a:b] for a, b in got["account"]] == ["DE89370400440532013000", "078-05-1120"]
+    assert redacted_text("mail a.b@c.de now") == "mail [EMAIL] now"
+    assert redacted_text("nothing here") == "nothing here"
+
+
+def test_edges(spark):
+    rows = [(1, None, "x"), (None, "a@b.cd", "y"), (2, "", "z"), (2, "", "z"), (3, "w " * 50_000 + "10.1.2.3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.spans, r.base_sha256) for r in personal_data(docs).collect())
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [x[:4] for x in got] == [(0, 1, 0, "email:0:6"), (1, 0, 0, ""), (2, 0, 0, ""), (2, 0, 0, ""), (3, 0, 1, "ip:100000:100008")]
+    assert got[1][4] == empty
+    assert personal_data(docs.limit(0)).count() == 0
