@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.bpe import digests
 from inkwell.llm.common import table
 from inkwell.llm.exact_dedup import exact_groups
+from inkwell.llm.licenses import scanned
 from inkwell.llm.pii import personal_data
 
 
@@ -30,11 +31,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe": op2_bpe,
         "op4_pii": op4_pii,
+        "op5_licenses": op5_licenses,
     }
 
 
