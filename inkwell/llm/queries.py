@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import digests
 from inkwell.llm.common import table
 from inkwell.llm.exact_dedup import exact_groups
+from inkwell.llm.langid import held_out, identified, train
 from inkwell.llm.licenses import scanned
 from inkwell.llm.pii import personal_data
 
@@ -35,12 +37,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identified(docs, train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe": op2_bpe,
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
+        "op10_langid": op10_langid,
     }
 
 
