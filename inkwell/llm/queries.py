@@ -12,6 +12,7 @@ from inkwell.llm.common import table
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.langid import held_out, identified, train
 from inkwell.llm.licenses import scanned
+from inkwell.llm.packing import packed
 from inkwell.llm.pii import personal_data
 
 
@@ -37,6 +38,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identified(docs, train(docs))
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
+        "op7_packing": op7_packing,
         "op10_langid": op10_langid,
     }
 
