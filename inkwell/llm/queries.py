@@ -14,12 +14,17 @@ from inkwell.llm.langid import held_out, identified, train
 from inkwell.llm.licenses import scanned
 from inkwell.llm.packing import packed
 from inkwell.llm.pii import personal_data
+from inkwell.llm.topk import top_k
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
         "op7_packing": op7_packing,
+        "op8_topk": op8_topk,
         "op10_langid": op10_langid,
     }
 
@@ -67,4 +73,14 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM d WINDOW w AS (PARTITION BY t)
         """,
+        "op8_topk": """
+            WITH e AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v::DOUBLE[], e.v::DOUBLE[])::BIGINT AS score
+                FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0
+            ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+        """,
     }
