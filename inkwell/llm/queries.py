@@ -15,6 +15,7 @@ from inkwell.llm.licenses import scanned
 from inkwell.llm.packing import packed
 from inkwell.llm.pii import personal_data
 from inkwell.llm.topk import top_k
+from inkwell.llm.warc import round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
+        "op6_warc": op6_warc,
         "op7_packing": op7_packing,
         "op8_topk": op8_topk,
         "op10_langid": op10_langid,
