@@ -39,11 +39,20 @@ def _bit(bitmap: Column, position: Column) -> Column:
 
 def repeated_filter(keys: DataFrame, key: Column, rows: int) -> tuple[DataFrame, int]:
     """Pass 1: (block, bitmap) of the bit positions that the rows of ``keys`` hit at least twice; at most MAX_BLOCKS rows of 4 KB."""
+    return _filter(keys, key, rows, 2)
+
+
+def member_filter(keys: DataFrame, key: Column, rows: int) -> tuple[DataFrame, int]:
+    """As repeated_filter(), of all the bit positions that the rows of ``keys`` hit: a Bloom filter of the keys, for maybe_repeated()."""
+    return _filter(keys, key, rows, 1)
+
+
+def _filter(keys: DataFrame, key: Column, rows: int, least: int) -> tuple[DataFrame, int]:
     blocks = _blocks(rows)
     block, one, two = _positions(key, blocks)
     hits = keys.select(block.alias("block"), F.explode(F.array(one, two)).alias("bit"))
     slot = F.col("block").cast("long") * BLOCK_BITS + F.col("bit")
-    twice = hits.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = hits.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     # bitmap_bit_position maps x to x % 32768 within its bucket; the bucket is kept by ourselves
     bit = F.pmod("slot", F.lit(BLOCK_BITS))
     return twice.groupBy(F.floor(F.col("slot") / BLOCK_BITS).cast("int").alias("bloom_block")).agg(F.bitmap_construct_agg(bit).alias("bloom_bits")), blocks

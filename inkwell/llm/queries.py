@@ -12,6 +12,7 @@ from inkwell.llm.common import table
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.langid import held_out, identified, train
 from inkwell.llm.licenses import scanned
+from inkwell.llm.neardup import classes
 from inkwell.llm.packing import packed
 from inkwell.llm.pii import personal_data
 from inkwell.llm.topk import top_k
@@ -36,6 +37,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe": op2_bpe,
+        "op3_neardup": op3_neardup,
         "op4_pii": op4_pii,
         "op5_licenses": op5_licenses,
         "op6_warc": op6_warc,
