@@ -12,6 +12,7 @@ from inkwell.llm.common import table
 from inkwell.llm.exact_dedup import exact_groups
 from inkwell.llm.langid import held_out, identified, train
 from inkwell.llm.licenses import scanned
+from inkwell.llm.lm import scored
 from inkwell.llm.neardup import classes
 from inkwell.llm.packing import packed
 from inkwell.llm.pii import personal_data
@@ -57,6 +58,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identified(docs, train(docs))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
         "op8_topk": op8_topk,
+        "op9_lm": op9_lm,
         "op10_langid": op10_langid,
     }
 
