@@ -185,8 +185,8 @@ class ByteBpe:
 class Chunks:
     """Ids of chunks, each distinct one encoded once: ``lookup`` gives a position in ``flat`` and a size for every chunk."""
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, encode, limit: int | None = None) -> None:
+        self.encode, self.limit = encode, limit or CACHE
         self.clear()
 
     def clear(self) -> None:
@@ -194,7 +194,7 @@ class Chunks:
         self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def lookup(self, parts: list) -> np.ndarray:
-        if len(self.index) > CACHE:
+        if len(self.index) > self.limit:
             self.clear()
         found = list(map(self.index.get, parts))
         if None in found:

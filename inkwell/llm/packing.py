@@ -9,6 +9,7 @@ a piece's rank among those of its length is its rank within its task plus what e
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,8 +37,12 @@ SPACE = regex.compile(f"[{WS}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
 LAST = "</w>"
 #: Not to be lower-cased and parted here: what normalisation may change by more than case, and special tokens.
-ODD = regex.compile("[^\x00-\u02ff]|\u0130|<\\|")
+ODD = re.compile("[^\x00-\u02ff]|\u0130|<\\|")
+#: A full stop or comma beside another mark: such marks are one word to the tokenizer.
+BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 JOINED = 256
+#: Parts that a worker keeps: about 200 bytes each.
+PARTS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -50,37 +55,56 @@ def _tokenizer(path: str) -> Chunks:
     last[[i for w, i in tokenizer.get_vocab().items() if w.endswith(LAST)]] = True
     known: dict[str, list[int]] = {}
 
-    def learn(words: list[str]) -> None:
+    def learn(words: list[str]) -> list[list[int]]:
+        """The ids of words, lower-case and of one pre-token each; a call for JOINED of them, parted at each word's last token."""
+        out: list[list[int]] = []
         for k in range(0, len(words), JOINED):
             some = words[k : k + JOINED]
             ids = tokenizer.encode(" ".join(some), add_special_tokens=False).ids
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
-                known.update((w, tokenizer.encode(w, add_special_tokens=False).ids) for w in some)
+                out += [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
                 continue
             a = 0
-            for w, b in zip(some, ends.tolist(), strict=True):
-                known[w] = ids[a:b]
+            for b in ends.tolist():
+                out.append(ids[a:b])
                 a = b
+        return out
 
     def encode(parts: list[str]) -> list[list[int]]:
         if len(known) > CACHE:
             known.clear()
-        words: list[list[str] | None] = []
-        for p in parts:
-            if ODD.search(p):
+        plain, mixed, words = [], [], []
+        for k, p in enumerate(parts):
+            if p.isascii() and "<|" not in p or ODD.search(p) is None:
+                low = p.lower()
+                if low.isalpha():
+                    plain.append((k, low))
+                else:
+                    mixed.append(k)
+                    words.append([low[:-1], low[-1]] if low[:-1].isalpha() else PATTERN.findall(low))
+            else:
+                mixed.append(k)
                 words.append(None)
-                continue
-            low = p.lower()
-            words.append([low] if low.isalpha() else [low[:-1], low[-1]] if low[:-1].isalpha() else PATTERN.findall(low))
-        learn(list({w for x in words if x for w in x if w not in known}))
-        return [tokenizer.encode(p, add_special_tokens=False).ids if x is None else known[x[0]] if len(x) == 1 else [i for w in x for i in known[w]] for p, x in zip(parts, words, strict=True)]
+        out: list = [None] * len(parts)
+        for (k, _), ids in zip(plain, learn([w for _, w in plain]), strict=True):
+            out[k] = ids
+        new = list({w for x in words if x for w in x if w not in known})
+        known.update(zip(new, learn(new), strict=True))
+        for k, x in zip(mixed, words, strict=True):
+            out[k] = tokenizer.encode(parts[k], add_special_tokens=False).ids if x is None else [i for w in x for i in known[w]]
+        return out
 
-    return Chunks(encode)
+    return Chunks(encode, PARTS)
 
 
 def _parts(text: str) -> list[str]:
-    """White-space separated parts: this tokenizer drops white space and merges nothing across it."""
+    """White-space separated parts: this tokenizer drops white space and case and merges nothing across white space, nor a full stop or comma that stands
+    by itself with what is around it. So words with and without those are one part, and there are fewer parts to learn."""
+    if ODD.search(text) is None:
+        text = text.lower()
+        if BESIDE.search(text) is None:
+            text = text.replace(".", " . ").replace(",", " , ")
     if SEPARATORS.search(text) is None:
         return text.split()
     return [x for x in SPACE.split(text) if x]

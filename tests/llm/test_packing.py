@@ -25,7 +25,7 @@ def test_patterns_use_every_piece_once():
 
 def test_packed_against_the_tokenizer(spark):
     rng = random.Random(1)
-    texts = [None, "", " \x1c a\x1fb ", "Ünïcode ΣΑΣ <|endoftext|>x İ 12,3", "w" * 9000, "it's don't've a.b,c. 1½ ªb x² 'S Ångström İi e\u0301x naïve... '' <|x", *(" ".join(rng.choice(["the", "Heron.", "aéi", "42", "?!"]) for _ in range(rng.randint(0, 3000))) for _ in range(40))]
+    texts = [None, "", " \x1c a\x1fb ", "Ünïcode ΣΑΣ <|endoftext|>x İ 12,3", "w" * 9000, "a.b,c ...x ,.y z_. _,q 3.5,6 's. 'll, e.'s \u00ba.\u00aa ,\u2019. A.B",  "it's don't've a.b,c. 1½ ªb x² 'S Ångström İi e\u0301x naïve... '' <|x", *(" ".join(rng.choice(["the", "Heron.", "aéi", "42", "?!"]) for _ in range(rng.randint(0, 3000))) for _ in range(40))]
     rows = [(k % 43, t, "x", 0) for k, t in enumerate(texts)]  # some ids twice
     got = packed(spark.createDataFrame(rows, "doc_id long, text string, part string, rank int").repartition(3), PATH).collect()
     tokenizer = Tokenizer.from_file(PATH)
