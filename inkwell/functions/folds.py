@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUOTE = re.compile(r"[ \t]*(?:>[ \t]*)*")
 FENCE = re.compile(r"(`{3,}|~{3,})(.*)", re.S)
@@ -185,7 +186,7 @@ def unboxed(latex: str) -> tuple[str, bool]:
 
 
 def _text_udf(rule):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else rule(t))
 
@@ -213,7 +214,7 @@ def promoted_labels(text: Column) -> Column:
     return _where(text.rlike(r"(?m)^\s*(?:[-*+]|\d+\.)\s+\*\*"), _split_labels, text)
 
 
-@F.pandas_udf("array<struct<start:int,end:int,latex:string,display:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("latex", T.StringType()).add("display", T.BooleanType())))
 def _spans_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [dict(zip(("start", "end", "latex", "display"), s, strict=True)) for s in math_spans(t)])
 

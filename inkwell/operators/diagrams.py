@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ID = r"([A-Za-z_][\w-]*)"
 SHAPE = r"\s*(\[[^\[\]]*\]|\{[^{}]*\}|\(\([^()]*\)\)|\([^()]*\))?"
@@ -158,10 +159,10 @@ def git_graph(source: str) -> list[dict] | None:
 
 
 PARSERS = (flowchart, state_diagram, sequence_diagram, git_graph)
-PARTS = "kind string, src string, dst string, label string, style string, bidirectional boolean"
+PARTS = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "src", "dst", "label", "style")]).add("bidirectional", T.BooleanType())
 
 
-@F.pandas_udf(f"array<struct<{PARTS.replace(' string', ':string').replace(' boolean', ':boolean')}>>")
+@F.pandas_udf(T.ArrayType(PARTS))
 def parsed(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else next((x for p in PARSERS if (x := p(s)) is not None), None))
 

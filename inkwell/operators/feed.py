@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import alnum, escaped, slug
@@ -133,7 +134,7 @@ def clean_notes(html: str | None, title: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<tag:string,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("tag", T.StringType()).add("text", T.StringType())))
 def notes(html: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([clean_notes(h, t) for h, t in zip(html, title, strict=True)])
 

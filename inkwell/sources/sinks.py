@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CSS = "body{font-family:serif;line-height:1.4}h1,h2,h3{font-family:sans-serif}pre{white-space:pre-wrap}.qa-label{font-weight:bold}"
 
@@ -57,7 +58,7 @@ def epubs(documents: DataFrame, chapters: DataFrame) -> DataFrame:
     """(doc_id, epub): a package per document of (doc_id, title, author) and (doc_id, chapter, title, xhtml)."""
     parts = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "xhtml"))).alias("parts"))
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def build(title: pd.Series, author: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([epub(t or "", a or "", [(p["title"], p["xhtml"]) for p in ps]) for t, a, ps in zip(title, author, parts, strict=True)])
 
