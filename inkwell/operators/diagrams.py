@@ -24,7 +24,7 @@ SKIPPED = ("classdef", "class ", "style ", "click ", "%%", "linkstyle", "directi
 TRANSITION = re.compile(r"(\[\*\]|[\w.-]+)\s*-->\s*(\[\*\]|[\w.-]+)\s*(?::\s*(.*))?$")
 ALIAS = re.compile(r'state\s+"([^"]*)"\s+as\s+([\w.-]+)\s*$', re.I)
 PARTICIPANT = re.compile(r"(?:participant|actor)\s+([\w.-]+)(?:\s+as\s+(.+))?$", re.I)
-MESSAGE = re.compile(r"([\w.-]+)\s*(-->>|->>|-->|->)\s*([\w.-]+)\s*:\s*(.*)$")
+MESSAGE = re.compile(r"([\w.]+(?:-[\w.]+)*)\s*(-->>|->>|-->|->)\s*([\w.-]+)\s*:\s*(.*)$")
 
 GLYPH = r"[─-◿←-⇿]"
 BOX = r"[─-◿]"

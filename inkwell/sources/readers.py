@@ -53,7 +53,8 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("image", image), T.StructField("item", T.ArrayType(item))])
     channels = spark.read.format("xml").option("rowTag", "channel").option("ignoreNamespace", "true").schema(schema).load(path)
     rows = channels.select(F.posexplode("item").alias("feed_pos", "i"), "title", "author", "image")
-    when = F.to_timestamp(F.regexp_replace("i.pubDate", r"^\s*[A-Za-z]{3},\s*", ""), "d MMM yyyy HH:mm:ss Z")
+    stamp = F.regexp_replace(F.regexp_replace("i.pubDate", r"^\s*[A-Za-z]{3},\s*", ""), r"\s*(?:GMT|UTC?|Z)\s*$", " +0000")
+    when = F.to_timestamp(stamp, "d MMM yyyy HH:mm:ss Z")
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     body = F.coalesce(F.nullif(F.col("i.encoded"), F.lit("")), F.col("i.description"), F.lit(""))
     cover = F.coalesce(F.nullif(text(F.col("i.image._href")), F.lit("")), text(F.col("image._href")))
