@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import folds, text, urls
-from inkwell.operators import diagrams, digest, feed, guards, hours, html, rotation, series, transcripts
+from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -522,3 +522,14 @@ def dash_sublists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", folds.math(F.col("text")).alias("spans"))
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _marked(table(spark, sf_dir, "documents")).withColumn("format", F.lit("md"))
+    return convert.blocks(convert.documents(raw))
+
+
+@query()
+def text_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(table(spark, sf_dir, "documents")).select("doc_id", text.emoji(F.col("text")).alias("emoji"))
