@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 from inkwell.functions.text import alnum, escaped, slug
 from inkwell.operators.html import Node, parse
 
-# An item's title, and the labels and boilerplate of its notes.
+# An item's title, and the labels of its notes. A show's own slug prefix and boilerplate are parameters.
 TITLE = r"(?U)^(?:[A-Z]+!\s+)?(.+?)(?:\.|\s+-)\s+Day\s+(\d+)\b"
-BOILER = r"(?:Podcast Homepage|Bible Reading Plan|Contact Sean|(?:Follow )?NTIY (?:on Facebook|Website))"
+PREFIX = "item"
+BOILER = ("Podcast Homepage", "Reading Plan", "Contact Us", "Follow Us", "Website")
 NOTES_LABEL = re.compile(r"Episode Notes:?$", re.I)
 SECTION_LABEL = re.compile(r"(?:In Today['’]s Episode|Episode (?:Highlights|Overview)):?$", re.I)
-BOILER_LINE, BOILER_INLINE = re.compile(BOILER + r"\b", re.I), re.compile(r"\s" + BOILER + ":")
 SCRIPTURE = re.compile(r"Today['’]s Scripture:", re.I)
 KEY_VERSE = re.compile(r"[\"“].+[\"”]\s*(?:[—–-]\s*)?(?:[1-3]\s)?[A-Z][a-z]+\s\d+:\d+(?:[–-]\d+)?\.?$")
 MAX_SENDS = 5
@@ -33,10 +33,10 @@ def day(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, TITLE, 2), F.lit("")).cast("int")
 
 
-def names(title: Column) -> Column:
+def names(title: Column, prefix: str = PREFIX) -> Column:
     """struct(slug, display): by reference and day where the title has them, else from the title."""
-    numbered = F.struct(F.concat(F.lit("ntiy-day-"), F.format_string("%03d", day(title)), F.lit("-"), slug(ref(title))).alias("slug"), F.concat(ref(title), F.lit(" — Day "), day(title).cast("string")).alias("display"))
-    plain = F.struct(F.concat(F.lit("ntiy-"), F.regexp_replace(F.left(slug(title), F.lit(60)), "-+$", "")).alias("slug"), title.alias("display"))
+    numbered = F.struct(F.concat(F.lit(f"{prefix}-day-"), F.format_string("%03d", day(title)), F.lit("-"), slug(ref(title))).alias("slug"), F.concat(ref(title), F.lit(" — Day "), day(title).cast("string")).alias("display"))
+    plain = F.struct(F.concat(F.lit(f"{prefix}-"), F.regexp_replace(F.left(slug(title), F.lit(60)), "-+$", "")).alias("slug"), title.alias("display"))
     return F.when(title.rlike(TITLE), numbered).otherwise(plain)
 
 
@@ -96,9 +96,11 @@ def _segments(node: Node) -> list[str]:
     return [*out, " ".join("".join(now).split())]
 
 
-def clean_notes(html: str | None, title: str | None) -> list[dict]:
+def clean_notes(html: str | None, title: str | None, boilerplate: tuple[str, ...] = BOILER) -> list[dict]:
     """Blocks (tag, text) of show notes without the title line, labels and boilerplate; section labels become h2, a key verse a blockquote."""
     out: list[dict] = []
+    some = "(?:" + "|".join(map(re.escape, boilerplate)) + ")"
+    boiler_line, boiler_inline = re.compile(some + r"\b", re.I), re.compile(r"\s" + some + ":")
     squash = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower())
     pattern = re.compile(TITLE.replace("(?U)", ""))
 
@@ -113,14 +115,14 @@ def clean_notes(html: str | None, title: str | None) -> list[dict]:
     for x in parse(html or "").children:
         if isinstance(x, Node) and x.tag in ("ul", "ol"):
             items = [" ".join("".join(li.strings()).split()) for li in x.children if isinstance(li, Node) and li.tag == "li"]
-            out += [{"tag": "li", "text": t} for t in items if t and not BOILER_LINE.match(t)]
+            out += [{"tag": "li", "text": t} for t in items if t and not boiler_line.match(t)]
             continue
         lines = [" ".join(x.split())] if isinstance(x, str) else _segments(x)
         kept = []
         for line in lines:
-            if BOILER_LINE.match(line):
+            if boiler_line.match(line):
                 continue
-            if SCRIPTURE.match(line) and (m := BOILER_INLINE.search(line)):
+            if SCRIPTURE.match(line) and (m := boiler_inline.search(line)):
                 line = line[: m.start()]
             if not seen_title and line and same_title(line):
                 seen_title = True

@@ -412,7 +412,7 @@ def feed_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
     WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NEW! John ' || event_id % 20 || '. Day ' || event_id % 1200 || ' - Read' ELSE 'Notes on ' || event_type END AS title FROM events)
-    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ntiy-day-' || printf('%03d', event_id % 1200) || '-john-' || event_id % 20 ELSE 'ntiy-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') END AS slug,
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'item-day-' || printf('%03d', event_id % 1200) || '-john-' || event_id % 20 ELSE 'item-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') END AS slug,
            CASE WHEN event_id % 3 = 0 THEN 'John ' || event_id % 20 || ' — Day ' || event_id % 1200 ELSE title END AS display FROM t
 """)
 def feed_names(spark: SparkSession, sf_dir: str) -> DataFrame:

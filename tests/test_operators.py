@@ -119,10 +119,10 @@ def test_notices(spark):
 
 
 def test_feed(spark):
-    assert tuple(one(spark, feed.names(F.lit("NEW!  1 John 5. Day 198 - Read")))) == ("ntiy-day-198-1-john-5", "1 John 5 — Day 198")
-    assert tuple(one(spark, feed.names(F.lit("Revelation 22 - Day 1260 - The End")))) == ("ntiy-day-1260-revelation-22", "Revelation 22 — Day 1260")
+    assert tuple(one(spark, feed.names(F.lit("NEW!  1 John 5. Day 198 - Read")))) == ("item-day-198-1-john-5", "1 John 5 — Day 198")
+    assert tuple(one(spark, feed.names(F.lit("Revelation 22 - Day 1260 - The End")))) == ("item-day-1260-revelation-22", "Revelation 22 — Day 1260")
     assert one(spark, feed.is_title_line(F.lit("1 JOHN 5 - Day 198 now"), F.lit("1 John 5. Day 198 - Read")))
-    got = feed.clean_notes("<p>1 John 5. Day 198</p><p>Episode Notes:</p><p>In Today's Episode</p><ul><li>a</li><li>Contact Sean x</li></ul><p>“This is it” — 1 John 5:11</p><p>Today's Scripture: x Podcast Homepage: y</p>", "1 John 5. Day 198 - Read")
+    got = feed.clean_notes("<p>1 John 5. Day 198</p><p>Episode Notes:</p><p>In Today's Episode</p><ul><li>a</li><li>Contact us x</li></ul><p>“This is it” — 1 John 5:11</p><p>Today's Scripture: x Podcast Homepage: y</p>", "1 John 5. Day 198 - Read")
     assert [(b["tag"], b["text"]) for b in got] == [("h2", "In Today's Episode"), ("li", "a"), ("blockquote", "“This is it” — 1 John 5:11"), ("p", "Today's Scripture: x")]
     items = spark.createDataFrame([(str(k), dt.datetime(2026, 1, 1 + k // 2), -k) for k in range(4)], "guid string, pub_date timestamp, feed_pos int")
     state = spark.createDataFrame([("0", "sent", dt.datetime(2026, 1, 1))], "guid string, how string, at timestamp")
