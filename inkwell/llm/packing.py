@@ -29,7 +29,7 @@ from inkwell.llm.common import cut
 SIZE = 2048
 END = 1
 # Python's split() also parts at these; the tokenizer does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(f"[{WS}]+")
 
 
@@ -37,9 +37,9 @@ SPACE = regex.compile(f"[{WS}]+")
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
 LAST = "</w>"
 #: Not to be lower-cased and parted here: what normalisation may change by more than case, and special tokens.
-ODD = re.compile("[^\x00-\u02ff]|\u0130|<\\|")
+ODD = re.compile("[^\x00-\u012f\u0131-\u02ff]")
 #: A full stop or comma beside another mark: such marks are one word to the tokenizer.
-BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 JOINED = 256
 #: Parts that a worker keeps: about 200 bytes each.
 PARTS = 1_000_000
@@ -76,7 +76,7 @@ def _tokenizer(path: str) -> Chunks:
             known.clear()
         plain, mixed, words = [], [], []
         for k, p in enumerate(parts):
-            if p.isascii() and "<|" not in p or ODD.search(p) is None:
+            if _plain(p):
                 low = p.lower()
                 if low.isalpha():
                     plain.append((k, low))
@@ -98,10 +98,15 @@ def _tokenizer(path: str) -> Chunks:
     return Chunks(encode, PARTS)
 
 
+def _plain(text: str) -> bool:
+    """Whether lower-casing is all that normalisation does, and no special token can stand in it."""
+    return (text.isascii() or ODD.search(text) is None) and "<|" not in text
+
+
 def _parts(text: str) -> list[str]:
     """White-space separated parts: this tokenizer drops white space and case and merges nothing across white space, nor a full stop or comma that stands
     by itself with what is around it. So words with and without those are one part, and there are fewer parts to learn."""
-    if ODD.search(text) is None:
+    if _plain(text):
         text = text.lower()
         if BESIDE.search(text) is None:
             text = text.replace(".", " . ").replace(",", " , ")
