@@ -244,6 +244,7 @@ def identified(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_
         for batch in batches:
             langs, score, rejected = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
+        shared.value.merged.clear()  # workers live on: what they hold would add up over a pipeline's stages
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean")
 
@@ -252,8 +253,11 @@ def keep_identified(docs: DataFrame, model: Identifier, text_col: str = "text")
     """The rows of ``docs`` whose text is not rejected, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def rejected(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict([t or "" for t in texts.tolist()])[2])
+    at = docs.columns.index(text_col)
 
-    return docs.where(~rejected(F.col(f"`{text_col}`")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~shared.value.predict([t or "" for t in batch.column(at).to_pylist()])[2]))
+        shared.value.merged.clear()
+
+    return docs.mapInArrow(work, docs.schema)
