@@ -3,7 +3,9 @@
 1. Shingles of five words, hashed to 64 bits; weight tf x idf. idf counts every document: shingles in at least ``SHARE`` of all documents
    get a weight between ``FLOOR`` and 1 by their frequency, the others (below the share) weigh 1, so the table of frequent shingles
    is bounded by mean length / SHARE whatever the input. Task counts below half the share are not sent, so a frequency is low by at most SHARE / 2.
-2. Documents of equal words become one representative. ``BANDS`` x ``ROWS`` consistent weighted samples give each its band keys.
+2. Documents of equal words become one representative. ``BANDS`` x ``ROWS`` consistent weighted samples give each its band keys, and as many
+   samples of its plain shingle set (weight 1, tf ignored) further ones, so that either similarity has candidates of its own.
+   Weight 1 is sampled alike in both, so a text whose weights are all 1 has one set of keys, which meets both sets of another text.
 3. In each band bucket every member is verified against the smallest one; members that fail are compared with all others of their
    bucket, in blocks of about ``BLOCK`` texts, so no task ever holds a whole hot bucket and no link between two components is lost.
 4. Links are contracted to connected components, round by round, as DataFrames.
@@ -161,36 +163,39 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
 
 
-def band_keys(found: Shingled, weights: np.ndarray) -> np.ndarray:
-    """[text][band] keys; a text without a word has zeros."""
+def band_keys(found: Shingled, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[text][band] keys of the weighted shingles and of the plain shingle set; a text without a word has zeros. A key names its band."""
     r, c, beta, unit = _variates()
     texts = len(found.ends)
-    out = np.zeros((texts, BANDS), U)
+    out, plain = np.zeros((texts, BANDS), U), np.zeros((texts, BANDS), U)
     sizes = np.diff(np.concatenate([[0], found.ends]))
     some = np.flatnonzero(sizes)
     if not len(some):
-        return out
+        return out, plain
     begins = found.ends[some] - sizes[some]
     entry = (found.hashes >> U(48)).astype(np.int64) % TABLE
     place = np.arange(len(entry)).astype(U)
     odd = np.flatnonzero(weights != 1.0)
     odd_entry, log_w = entry[odd], np.log(weights[odd]).astype(np.float32)
+    least = lambda a: (np.minimum.reduceat((a << U(32)) | place, begins) & U(0xFFFFFFFF)).astype(np.int64)
     for s in range(BANDS * ROWS):
         a = unit[s][entry].astype(U)
-        rs, bs = r[s][odd_entry], beta[s][odd_entry]
-        t = np.floor(log_w / rs + bs)
-        a[odd] = _ordered(c[s][odd_entry] - rs * (t - bs) - rs)
-        k = (np.minimum.reduceat((a << U(32)) | place, begins) & U(0xFFFFFFFF)).astype(np.int64)
-        step = np.zeros(len(entry), np.int64)
-        step[odd] = t
-        sample = _mix(found.hashes[k] + step[k].astype(U) * P)
+        k = least(a)
         band = s // ROWS
-        out[some, band] = _mix(out[some, band] * P + sample + U(s + 1))
-    return out
+        plain[some, band] = _mix(plain[some, band] * P + _mix(found.hashes[k]) + U(s + 1))
+        step = np.zeros(len(entry), np.int64)
+        if len(odd):
+            rs, bs = r[s][odd_entry], beta[s][odd_entry]
+            t = np.floor(log_w / rs + bs)
+            a[odd] = _ordered(c[s][odd_entry] - rs * (t - bs) - rs)
+            step[odd] = t
+            k = least(a)
+        out[some, band] = _mix(out[some, band] * P + _mix(found.hashes[k] + step[k].astype(U) * P) + U(s + 1))
+    return out, plain
 
 
 def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands): one row per document; bands is empty where a text has no word."""
+    """(id, key, bands): one row per document; bands, the weighted keys and those plain ones that differ, is empty where a text has no word."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +203,10 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) ->
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 found = Shingled(texts[a:b])
-                keys = band_keys(found, shared.value(found.hashes, found.tf)).view(np.int64)
-                sizes = np.where(np.diff(np.concatenate([[0], found.ends])) > 0, BANDS, 0)
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[sizes > 0].reshape(-1)))
+                keys, plain = band_keys(found, shared.value(found.hashes, found.tf))
+                both = np.concatenate([keys, plain], axis=1)
+                new = np.concatenate([np.ones(keys.shape, bool), keys != plain], axis=1) & (np.diff(np.concatenate([[0], found.ends])) > 0)[:, None]
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]), pa.int32()), pa.array(both[new].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found.keys, pa.binary()), bands], names=["id", "key", "bands"])
         _variates.cache_clear()  # workers live on: what they hold would add up over a pipeline's stages
 
@@ -322,9 +328,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     signed = cut(signatures(docs, weights, id_col, text_col), "signatures")
     named = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "representatives")
 
-    buckets = named.where("id IS NOT NULL").select("id", "key", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    keyed = named.where("id IS NOT NULL")
+    total = keyed.agg(F.sum(F.size("bands"))).first()[0] or 0
+    buckets = keyed.select("id", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    candidates = cut(_join_groups(buckets, leaders, "bucket", "m", BANDS * documents).where("id <> leader").select("id", "leader").distinct(), "candidates")
+    candidates = cut(_join_groups(buckets, leaders, "bucket", "m", total).where("id <> leader").select("id", "leader").distinct(), "candidates")
 
     keys = named.select(F.col("id").alias("kid"), "key")
     blocks = cut(_leader_blocks(candidates), "blocks")

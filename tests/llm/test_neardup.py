@@ -76,3 +76,24 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "z")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.classes(docs).collect())
     assert got == [(0, 0), (0, 5), (5, 5), (5, 5)]
+
+
+def test_isolated_pairs_of_plain_similarity(spark):
+    """Pairs that only the plain clause links: their weighted similarity is far below 0.8, so weighted samples alone miss most of them."""
+    rng = random.Random(11)
+    new = lambda n: " ".join(f"n{rng.randrange(10**9)}" for _ in range(n))
+    texts = []
+    for _ in range(60):  # the same shingles, a line repeated 50 and 150 times
+        line, rest = new(20), new(104)
+        texts += [" ".join([line] * n + [rest]) for n in (50, 150)]
+    for k in range(30):  # shared shingles that 60 further texts hold, own ones that are rare: 96 of 116
+        passage = " ".join(f"f{k}x{j}" for j in range(100))
+        texts += [f"{passage} {new(10)}", f"{passage} {new(10)}"]
+        texts += [f"{passage} {new(400)}" for _ in range(60)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    pairs = [(2 * k, 2 * k + 1) for k in range(60)] + [(120 + 62 * k, 121 + 62 * k) for k in range(30)]
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs)
+    assert [(i, j) for i, j in pairs if got[i] != got[j]] == []
+    assert len(set(got.values())) == len(texts) - len(pairs)
