@@ -118,6 +118,18 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.page_slug(head, None).alias("slug"), text.alnum(head).alias("alnum"), text.escaped(head).alias("escaped"), text.n_words(F.col("text")).alias("words"))
 
 
+@query(r"""
+    SELECT doc_id, nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[:60], '') AS slug,
+           md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS alnum, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped,
+           len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS words
+    FROM documents
+""")
+def text_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As text_keys, of whole texts; what has no length limit comes as a digest."""
+    x = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.page_slug(x, None).alias("slug"), F.md5(text.alnum(x)).alias("alnum"), F.md5(text.escaped(x)).alias("escaped"), text.n_words(x).alias("words"))
+
+
 # pages
 
 
