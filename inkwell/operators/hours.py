@@ -28,13 +28,22 @@ def local_hour(moment: Column) -> Column:
     return F.hour(F.from_utc_timestamp(moment, ZONE))
 
 
-def coverage(hours: DataFrame, days: DataFrame) -> DataFrame:
-    """(date, expected, found, complete): a label t covers the hour before it; a day of 23, 24 or 25 hours needs each label exactly once, with numbers."""
+def coverage(hours: DataFrame, days: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, date, expected, found, complete): a label t covers the hour before it; a day of 23, 24 or 25 hours needs each label exactly once, with numbers.
+
+    Every group of ``by`` that has any hour is asked for every day; a null in ``by`` is a group as well.
+    """
     wanted = days.withColumn("s", day_start(F.col("date"))).withColumn("e", day_end(F.col("date"))).select("date", F.explode(F.expr("sequence(s + interval 1 hour, e, interval 1 hour)")).alias("t"))
-    seen = hours.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("chance").isNotNull() & F.col("mm").isNotNull()).alias("numeric"))
-    both = wanted.join(seen, "t", "left")
+    if by:
+        wanted = wanted.crossJoin(hours.select(*by).distinct())
+    seen = hours.groupBy(*by, "t").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("chance").isNotNull() & F.col("mm").isNotNull()).alias("numeric"))
+    seen = seen.withColumnsRenamed({c: f"__{c}" for c in (*by, "t")})
+    on = F.col("t") == F.col("__t")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = wanted.join(seen, on, "left")
     good = F.coalesce((F.col("n") == 1) & F.col("numeric"), F.lit(False))
-    return both.groupBy("date").agg(F.count(F.lit(1)).alias("expected"), F.sum(F.coalesce("n", F.lit(0))).alias("found"), F.bool_and(good).alias("complete"))
+    return both.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("expected"), F.sum(F.coalesce("n", F.lit(0))).alias("found"), F.bool_and(good).alias("complete"))
 
 
 def wet_spells(hours: DataFrame, by: list[str]) -> DataFrame:

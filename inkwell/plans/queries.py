@@ -322,6 +322,38 @@ def country_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.observations(_series(spark, sf_dir), ["segment"], 2, 1998).withColumn("value", F.round("value", 2))
 
 
+# each nation against a home nation (key 0), by segment: a series of two entities per other nation
+
+_SQL_HOME = """
+    t AS (SELECT c_mktsegment AS segment, n_nationkey AS k, n_name AS entity, year(o_orderdate)::INTEGER AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    p AS (SELECT segment, entity AS other, entity, year, value FROM t WHERE k <> 0 UNION ALL SELECT segment, n_name, entity, year, value FROM t, nation WHERE k = 0 AND n_nationkey <> 0)
+"""
+
+
+def _against_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    sold = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    found = sold.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
+    others = F.broadcast(nations.where("n_nationkey <> 0").select(F.col("n_name").alias("other")))
+    home = found.where("k = 0").crossJoin(others).drop("k")
+    return found.where("k <> 0").withColumn("other", F.col("entity")).drop("k").unionByName(home)
+
+
+@query(f"WITH {_SQL_HOME}, s AS (SELECT segment, other, year FROM p GROUP BY ALL HAVING count(DISTINCT entity) = 2) SELECT segment, other, max(year) AS common FROM s GROUP BY ALL")
+def latest_common_year_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.latest_common_year(_against_home(spark, sf_dir), ["segment", "other"], 2)
+
+
+@query(f"""
+    WITH {_SQL_HOME}, s AS (SELECT * FROM p WHERE year BETWEEN 1992 AND 1998),
+    c AS (SELECT segment, other, max(year) AS common FROM (SELECT segment, other, year FROM s GROUP BY ALL HAVING count(DISTINCT entity) = 2) GROUP BY ALL),
+    o AS (SELECT segment, other, entity, max(year) AS own FROM s GROUP BY ALL)
+    SELECT o.segment, o.other, o.entity, coalesce(common, own) AS year, round(s.value, 2) AS value FROM o LEFT JOIN c USING (segment, other) JOIN s ON s.segment = o.segment AND s.other = o.other AND s.entity = o.entity AND s.year = coalesce(common, own)
+""")
+def country_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.observations(_against_home(spark, sf_dir), ["segment", "other"], 2, 1998).withColumn("value", F.round("value", 2))
+
+
 @query("""
     SELECT o_orderkey, CASE WHEN o_totalprice >= 1e6 THEN rtrim(rtrim(printf('%.2f', o_totalprice / 1e6), '0'), '.') || ' million' ELSE format('{:,.0f}', o_totalprice) END AS plain,
            printf('%.1f%%', o_totalprice / 1e4) AS pct, printf('%.3f', o_totalprice / 1e5) AS idx FROM orders
@@ -372,6 +404,16 @@ def hour_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.coverage(_hours(spark, sf_dir).where("place = 3"), days)
 
 
+@query(f"""
+    WITH h AS (SELECT place, t, count(*) AS n FROM {_SQL_HOURS} GROUP BY ALL), d AS (SELECT DISTINCT ts::DATE AS date FROM events),
+    w AS (SELECT place, date, date + INTERVAL 1 HOUR * k AS t FROM d, (SELECT DISTINCT place FROM h), unnest(range(1, 25)) AS u(k))
+    SELECT place, date, count(*) AS expected, sum(coalesce(n, 0))::BIGINT AS found, bool_and(coalesce(n, 0) = 1) AS complete FROM w LEFT JOIN h USING (place, t) GROUP BY ALL
+""", dates=('date',))
+def hour_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()
+    return hours.coverage(_hours(spark, sf_dir), days, ["place"])
+
+
 @query("""
     WITH d AS (SELECT unnest(generate_series(DATE '2026-03-01', DATE '2026-11-30', INTERVAL 1 DAY))::DATE AS date)
     SELECT date, timezone('UTC', timezone('Europe/London', date::TIMESTAMP)) AS start, timezone('UTC', timezone('Europe/London', (date + INTERVAL 1 DAY)::TIMESTAMP)) AS stop FROM d

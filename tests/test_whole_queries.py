@@ -1,6 +1,7 @@
 """Registered queries over whole texts and all groups."""
 
 from inkwell.functions import text
+from inkwell.operators import hours
 from inkwell.plans import queries
 from pyspark.sql import functions as F
 
@@ -11,3 +12,20 @@ def test_text_keys_of_whole_texts(spark, tmp_path):
     got = {r.doc_id: r for r in queries.queries()["text_keys_whole"](spark, str(tmp_path)).collect()}
     want = spark.createDataFrame([(long,)], "t string").select(F.md5(text.alnum(F.col("t"))), F.md5(F.lit(long.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")))).first()
     assert (got[1].alnum, got[1].escaped) == tuple(want) and got[1].slug == ("some-words-b-" * 40)[:60] and got[2].slug is None
+
+
+def test_coverage_by_place(spark):
+    days = spark.sql("SELECT DATE'2026-06-01' AS date UNION ALL SELECT DATE'2026-10-25'")
+    label = F.explode(F.sequence(hours.day_start(F.col("date")) + F.expr("interval 1 hour"), hours.day_end(F.col("date")), F.expr("interval 1 hour"))).alias("t")
+    labels = days.select("date", label).crossJoin(spark.sql("SELECT explode(array(1, 2, null)) AS place")).where("NOT (place <=> 2 AND date = DATE'2026-06-01')")
+    labels = labels.select("place", "t", F.lit(60.0).alias("chance"), F.lit(0.0).alias("mm"))
+    got = {(r.place, str(r.date)): (r.expected, r.found, r.complete) for r in hours.coverage(labels, days, ["place"]).collect()}
+    whole = {(p, d): (n, n, True) for p in (1, 2, None) for d, n in (("2026-06-01", 24), ("2026-10-25", 25))}
+    assert got == whole | {(2, "2026-06-01"): (24, 0, False)}
+
+
+def test_every_nation_against_home(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    others = {r.n_name for r in queries.table(spark, sf_dir, "nation").where("n_nationkey <> 0").collect()}
+    for name in ("latest_common_year_all", "country_compare_all"):
+        assert {r.other for r in queries.queries()[name](spark, sf_dir).select("other").distinct().collect()} == others
