@@ -9,6 +9,7 @@ a piece's rank among those of its length is its rank within its task plus what e
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -17,14 +18,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.bpe import CACHE, WS, Chunks, slices
-from inkwell.llm.common import cut
+from inkwell.llm.bpe import WS, Chunks, joined
+from inkwell.llm.common import cut, own_worker, text_slices
 
 SIZE = 2048
 END = 1
@@ -36,109 +38,126 @@ SPACE = regex.compile(f"[{WS}]+")
 # The tokenizer's own pattern, and the mark of a word's last token.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
 LAST = "</w>"
-#: Not to be lower-cased and parted here: what normalisation may change by more than case, and special tokens.
-ODD = re.compile("[^\x00-\u012f\u0131-\u02ff]")
+#: Not to be lower-cased and parted here: what normalisation may change by more than case, special tokens, and what parts only in Python.
+ODD = "[^\x00-\x1b\x20-\u012f\u0131-\u02ff]|<\\|"
 #: A full stop or comma beside another mark: such marks are one word to the tokenizer.
-BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
-JOINED = 256
-#: Parts that a worker keeps: about 200 bytes each.
-PARTS = 1_000_000
-
+BESIDE = r"[.,][^\pL\pN\s]|[^\pL\pN\s][.,]"
+JOINED, CALL = 256, 16
+#: Parts that a worker keeps; when full, its cache starts anew.
+PARTS = 160_000
+
+
+class Words:
+    """The tokenizers library behind a cache: texts are parted into words, and new words go to the library, many to a call."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(LAST)]] = True
+        self.odd = re.compile(ODD)
+        self.words, self.chunks = Chunks(self._learn, PARTS), Chunks(self._encode, PARTS)
+
+    def clear(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words, lower-case and of one pre-token each; joined, JOINED of them to a text and CALL texts to a call, and parted at each word's last token."""
+        ids, sizes = [], []
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        calls = (groups[k : k + CALL] for k in range(0, len(groups), CALL))
+        encodings = (e for call in calls for e in self.tokenizer.encode_batch_fast([" ".join(g) for g in call], add_special_tokens=False))
+        for some, encoding in zip(groups, encodings, strict=True):
+            found = np.array(encoding.ids, np.int32)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(some) and ends[-1] == len(found):
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                each = [self._one(w) for w in some]
+                ids.append(np.array([i for x in each for i in x], np.int32))
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Chunks:
-    """Chunks over the tokenizers library: new chunks are parted into words, and new words go to the library, many to a call."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    last = np.zeros(tokenizer.get_vocab_size(), bool)
-    last[[i for w, i in tokenizer.get_vocab().items() if w.endswith(LAST)]] = True
-    known: dict[str, list[int]] = {}
-
-    def learn(words: list[str]) -> list[list[int]]:
-        """The ids of words, lower-case and of one pre-token each; a call for JOINED of them, parted at each word's last token."""
-        out: list[list[int]] = []
-        for k in range(0, len(words), JOINED):
-            some = words[k : k + JOINED]
-            ids = tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            ends = np.flatnonzero(last[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                out += [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
-                continue
-            a = 0
-            for b in ends.tolist():
-                out.append(ids[a:b])
-                a = b
-        return out
-
-    def encode(parts: list[str]) -> list[list[int]]:
-        if len(known) > CACHE:
-            known.clear()
-        plain, mixed, words = [], [], []
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, mixed, flat, counts, whole = [], [], [], [], []
         for k, p in enumerate(parts):
-            if _plain(p):
+            if p.isalpha() and p.isascii() and p.islower():
+                plain.append(k)
+            elif self.odd.search(p) is None:
                 low = p.lower()
-                if low.isalpha():
-                    plain.append((k, low))
-                else:
-                    mixed.append(k)
-                    words.append([low[:-1], low[-1]] if low[:-1].isalpha() else PATTERN.findall(low))
-            else:
+                found = [low] if low.isalpha() else PATTERN.findall(low)
                 mixed.append(k)
-                words.append(None)
-        out: list = [None] * len(parts)
-        for (k, _), ids in zip(plain, learn([w for _, w in plain]), strict=True):
-            out[k] = ids
-        new = list({w for x in words if x for w in x if w not in known})
-        known.update(zip(new, learn(new), strict=True))
-        for k, x in zip(mixed, words, strict=True):
-            out[k] = tokenizer.encode(parts[k], add_special_tokens=False).ids if x is None else [i for w in x for i in known[w]]
-        return out
-
-    return Chunks(encode, PARTS)
-
-
-def _plain(text: str) -> bool:
-    """Whether lower-casing is all that normalisation does, and no special token can stand in it."""
-    return (text.isascii() or ODD.search(text) is None) and "<|" not in text
+                counts.append(len(found))
+                flat += found
+            else:
+                whole.append(k)
+        sizes = np.zeros(len(parts), np.int64)
+        own, sizes[plain] = self._learn([parts[k] for k in plain])
+        ids, n = self.words.of(flat)
+        ends, totals = np.cumsum(np.array(counts, np.int64)), np.concatenate([[0], np.cumsum(n)])
+        sizes[mixed] = totals[ends] - totals[ends - np.array(counts, np.int64)]
+        each = [self._one(parts[k]) for k in whole]
+        sizes[whole] = [len(x) for x in each]
+        of = lambda places: np.array(places, np.int64)
+        return joined(sizes, [(of(plain), own), (of(mixed), ids), (of(whole), np.array([i for x in each for i in x], np.int32))]), sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts joined, and where each one ends.
+
+        This tokenizer drops white space and case and merges nothing across white space, nor a full stop or comma that stands by itself
+        with what is around it: words with and without those are one part, so there are fewer parts to learn.
+        """
+        odd = pc.match_substring_regex(texts, ODD)
+        low = pc.utf8_lower(texts)
+        apart = pc.replace_substring(pc.replace_substring(low, ".", " . "), ",", " , ")
+        parts = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(low, BESIDE), low, apart))
+        if pc.any(odd).as_py():
+            own = [_parts(t) if o else None for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+            parts = pc.if_else(odd, pa.array(own, parts.type), parts)
+        return self.chunks.ids(parts)
 
 
 def _parts(text: str) -> list[str]:
-    """White-space separated parts: this tokenizer drops white space and case and merges nothing across white space, nor a full stop or comma that stands
-    by itself with what is around it. So words with and without those are one part, and there are fewer parts to learn."""
-    if _plain(text):
-        text = text.lower()
-        if BESIDE.search(text) is None:
-            text = text.replace(".", " . ").replace(",", " , ")
     if SEPARATORS.search(text) is None:
         return text.split()
     return [x for x in SPACE.split(text) if x]
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Words:
+    return Words(path)
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, part, rank): the pieces of every document, with the task's number and the piece's rank, from 0, among those of its length in the task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part = _tokenizer(path), TaskContext.get().partitionId()
+        words, part = _tokenizer(path), TaskContext.get().partitionId()
+        own_worker("packing", words.clear)
         seen = np.zeros(size + 1, np.int64)
         end_id = np.array([END], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[tuple[int, int, int, int, int, int]] = []
-            for first, last in slices(texts):
-                ids, ends = chunks.ids([_parts(t) for t in texts[first:last]])
+            for source, texts in text_slices(batch):
+                rows: list[tuple[int, int, int, int, int, int]] = []
+                ids, ends = words.encode(texts)
                 raw, a = ids.astype("<u4").tobytes(), 0
                 for k, b in enumerate(ends.tolist()):
                     total, own = b - a + 1, raw[4 * a : 4 * b] + end_id
                     for start in range(0, total, size):
                         n = min(size, total - start)
-                        rows.append((first + k, start, n, zlib.crc32(own[4 * start : 4 * (start + n)]), total, int(seen[n])))
+                        rows.append((k, start, n, zlib.crc32(own[4 * start : 4 * (start + n)]), total, int(seen[n])))
                         seen[n] += 1
                     a = b
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            source = batch.column(0).take(pa.array(columns[0], pa.int64()))
-            others = [pa.array(c, pa.int64()) for c in columns[1:]]
-            yield pa.RecordBatch.from_arrays([source, *others[:4], pa.array([part] * len(rows), pa.int32()), others[4]], names=names)
+                columns = list(zip(*rows, strict=True))
+                others = [pa.array(c, pa.int64()) for c in columns[1:]]
+                yield pa.RecordBatch.from_arrays([source.column(0).take(pa.array(columns[0], pa.int64())), *others[:4], pa.array([part] * len(rows), pa.int32()), others[4]], names=names)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long")
