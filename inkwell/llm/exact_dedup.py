@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import cut, fresh
+
 BLOCK_BITS = 32_768
 MAX_BLOCKS = 16_384
 BITS_PER_ROW = 32
@@ -61,8 +63,9 @@ def _filter(keys: DataFrame, key: Column, rows: int, least: int) -> tuple[DataFr
 def maybe_repeated(df: DataFrame, key: Column, bloom: DataFrame, blocks: int, flag: str) -> DataFrame:
     """Pass 2: ``df`` with the boolean ``flag``: false only where the key occurs once for certain. The bitmaps are broadcast: 64 MB at most."""
     block, one, two = _positions(key, blocks)
-    probe = bloom.select(F.col("bloom_block").alias("__block"), F.col("bloom_bits").alias("__bits"))
-    return df.withColumn("__at", block).join(F.broadcast(probe), F.col("__at") == F.col("__block"), "left").withColumn(flag, _bit(F.col("__bits"), one) & _bit(F.col("__bits"), two)).drop("__at", "__block", "__bits")
+    at, of, bits = fresh(df, "at", flag), fresh(df, "of", flag), fresh(df, "bits", flag)
+    probe = bloom.select(F.col("bloom_block").alias(of), F.col("bloom_bits").alias(bits))
+    return df.withColumn(at, block).join(F.broadcast(probe), F.col(at) == F.col(of), "left").withColumn(flag, _bit(F.col(bits), one) & _bit(F.col(bits), two)).drop(at, of, bits)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,28 +77,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, total = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt")), docs.count()
     bloom, blocks = repeated_filter(rows, F.col("txt"), total)
-    probed = maybe_repeated(rows, F.col("txt"), bloom, blocks, "again").select("id", "again", F.sha2("txt", 256).alias("sha"))
+    # texts are read once for their digests; a row's number tells repeated rows apart
+    probed = maybe_repeated(rows, F.col("txt"), bloom, blocks, "again").select("id", "again", F.sha2("txt", 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    probed = cut(probed, "digests")
     alone = probed.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    # repeated rows first become one with a count, so that a row is known by its id and text
-    pairs = probed.where("again").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = pairs.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")).withColumnRenamed("sha", "of")
+    again = probed.where("again")
+    # a null id is smaller than any other in a struct's order too
+    groups = again.groupBy("sha").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")).withColumnRenamed("sha", "of")
     # a group of over a thousandth of all rows is one of under a thousand: those are broadcast, so that no task gets a hot group
     size = F.col("group_size") * HOT_SHARE > total
     hot, on = F.broadcast(groups.where(size)), F.col("sha") == F.col("of")
-    found = pairs.join(hot, on).unionByName(pairs.join(hot, on, "left_anti").join(groups.where(~size), on)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    rest = found.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
+    found = again.join(hot, on).unionByName(again.join(hot, on, "left_anti").join(groups.where(~size), on))
+    rest = found.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha")
     return alone.unionByName(rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_groups() keeps, with all their columns: rows that are unique for certain pass straight
-    through; of the others, each task keeps the largest id of a text before anything is shuffled."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """The rows of ``docs`` that exact_groups() keeps, with all their columns, whatever their names and types: rows that are unique for
+    certain pass straight through; of the others, each task keeps the row of the largest id of a text before anything is shuffled.
+
+    Of repeated rows one stays; rows of one id and text that differ elsewhere are told apart by their columns that have an order. Null
+    texts count as empty, and the row that stays keeps its null. An empty table gives an empty result.
+    """
+    text, name = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), fresh(docs, "again")
     bloom, blocks = repeated_filter(docs.select(text.alias("txt")), F.col("txt"), docs.count())
-    probed = maybe_repeated(docs, text, bloom, blocks, "__again")
-    order = [c for c, kind in docs.dtypes if c != id_col and not kind.startswith("map") and "map<" not in kind and kind != "variant"]
-    others = [c for c in docs.columns if c != id_col and c not in order]
-    if others:
-        raise ValueError(f"columns of a type without an order: {others}")
-    best = probed.where("__again").groupBy(F.sha2(text, 256).alias("__sha")).agg(F.max(F.struct(id_col, *order)).alias("__row"))
-    return probed.where("NOT __again").drop("__again").unionByName(best.select("__row.*")).select(*docs.columns)
+    probed = maybe_repeated(docs, text, bloom, blocks, name)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ordered = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != id_col and "map<" not in kind and "variant" not in kind]
+    row = F.struct(*(c.alias(f"c{k}") for k, c in enumerate(columns)))
+    order = F.struct(F.col(f"`{id_col}`").alias("id"), *(c.alias(f"o{k}") for k, c in enumerate(ordered)))
+    best = probed.where(F.col(name)).groupBy(F.sha2(text, 256).alias("sha")).agg(F.max_by(row, order).alias("row"))
+    return probed.where(~F.col(name)).select(*columns).unionByName(best.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns))))
