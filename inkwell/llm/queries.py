@@ -51,7 +51,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages"))
+    return round_trip(table(spark, sf_dir, "pages"), uri_col="url")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

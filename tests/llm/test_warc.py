@@ -28,3 +28,28 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_oversized_payloads_of_repeated_and_null_ids(spark):
+    big = [c * 400_000 for c in ("a", "é", "\r\n\r\n", "😀")]
+    rows = [(1, big[0]), (1, big[1]), (None, big[2]), (None, big[3]), (2, big[0]), (3, big[3]), (3, big[3])]
+    pages = spark.createDataFrame([(i, b, "https://e.org/a b\r\nX: 1", "k") for i, b in rows], "page_id long, html string, url string, sha string").repartition(2)
+    got = warc.round_trip(pages, uri_col="url").collect()
+    digest = lambda b: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode()
+    first = {b: min((i for i, c in rows if c == b and i is not None), default=None) for _, b in rows}
+    want = [(i, len(b.encode()), digest(b), "response" if first[b] == i else "revisit", None if first[b] == i else first[b]) for i, b in rows]
+    key = lambda r: tuple((x is None, x) if x is None or isinstance(x, int) else (False, x) for x in r)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert all(r.intact for r in got)
+
+
+def test_archives_have_what_the_format_asks_for(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "x" * 300_000, "https://e.org/1"), (2, "b", None)], "page_id long, html string, url string")
+    warc.write(pages, f"file://{tmp_path}/w", uri_col="url")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz")))
+    heads = [x for x in raw.split(b"\r\n\r\n") if x.startswith(b"WARC/1.1")]
+    assert len(heads) == 4 and all(h.count(name) == 1 for h in heads for name in (b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"WARC-Target-URI", b"Content-Length"))
+    assert len({x for h in heads for x in h.split(b"\r\n") if x.startswith(b"WARC-Record-ID")}) == 4
+    assert b"https://e.org/1" in raw and b"urn:page:2" in raw
