@@ -1,9 +1,10 @@
 """Licence scans over a positional index of rare words.
 
-The index maps each word of the licence templates to its postings (template, position) and its IDF over the templates. For a file,
-the words that the index knows are looked up, those of the highest IDF first; a posting and the word's place in the file give a
-relative position, and a template is a candidate where enough different rare words agree on one, give or take small edits. A candidate counts only
-if the template's mandatory key phrases stand in the file near that position.
+The index maps each word of the licence templates to its postings (template, position) and its IDF over the templates. Files are parted into words column-wise.
+Of each file the words that the index knows are found, and the ``LOOKUPS`` of the highest IDF among them, the file's own rarest licence words, are looked up:
+a posting and the word's place in the file give the place at which the template would begin, and the postings of the words intersect where they agree on one,
+give or take small edits. A template is found where at least half of the looked-up words that it holds, and at least ``LEAST`` of them, agree, and its
+mandatory key phrases stand in the file near that place. Every file goes this way; nothing decides before the index.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Base: the places where the words of a base phrase stand consecutively.
 """
@@ -18,8 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from inkwell.llm.common import text_slices
+
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -50,10 +54,50 @@ TEMPLATES = {
     "cc-by-notice": ("this work is licensed under a creative commons attribution international license to view a copy of this license visit", ("creative commons attribution",)),
     "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("unencumbered software", "public domain")),
 }
-#: Words looked up per file and template, highest IDF first; places of a word that vote; words by which an alignment may drift; share of looked-up words that must agree.
-LOOKUPS, DRIFT, AGREE = 12, 6, 0.5
+# Further notices of well-known public licences, and the phrases that each must show.
+TEMPLATES |= {
+    "lgpl-notice": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
+        "either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty",
+        ("this library is free software", "lesser general public license"),
+    ),
+    "agpl-notice": (
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        ("affero general public license",),
+    ),
+    "bsd-endorsement": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("endorse or promote products",),
+    ),
+    "mit-warranty": (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software",
+        ("without warranty of any kind", "merchantability fitness for a particular purpose"),
+    ),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license which accompanies this distribution", ("eclipse public license",)),
+    "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("permission is granted to anyone to use this software",),
+    ),
+    "boost": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software",
+        ("person or organization obtaining a copy",),
+    ),
+    "artistic-2.0": ("this package is free software you can redistribute it and or modify it under the terms of the artistic license version 2 0", ("artistic license",)),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license you may not use this file except in compliance with the license", ("common development and distribution license",)),
+    "cc-by-sa-notice": ("this work is licensed under a creative commons attribution sharealike international license", ("attribution sharealike",)),
+    "cc-by-nc-notice": ("this work is licensed under a creative commons attribution noncommercial international license", ("attribution noncommercial",)),
+    "ofl": ("this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at", ("sil open font license",)),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed",)),
+}
+#: Words of a file that are looked up, highest IDF first, and places of each that are read for a vote; words by which an alignment may drift; share and least number of looked-up words that must agree.
+LOOKUPS, DRIFT, AGREE, LEAST = 12, 6, 0.5, 3
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+BETWEEN = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of UTF-8 that belong to a word: digits, letters and all that is not ASCII.
 IN_WORD = np.array([48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in range(256)])
@@ -65,59 +109,89 @@ class Index:
         self.words = [WORD.findall(text) for text, _ in templates.values()]
         self.phrases = [[tuple(p.split()) for p in must] for _, must in templates.values()]
         seen = Counter(w for words in self.words for w in set(words))
-        self.idf = {w: math.log((1 + len(self.words)) / n) for w, n in seen.items()}
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.base = [(tuple(p.split()), label) for p, label in base.items()]
+        self.first = defaultdict(list)
+        for p, label in self.base:
+            self.first[p[0]].append((p, label))
+        # the index's vocabulary: words of templates with an IDF, and the first words of base phrases
+        self.vocabulary = sorted({*seen, *self.first})
+        self.number = {w: k for k, w in enumerate(self.vocabulary)}
+        self.idf = np.array([math.log((1 + len(self.words)) / seen[w]) if w in seen else 0.0 for w in self.vocabulary])
+        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
         for t, words in enumerate(self.words):
             for k, w in enumerate(words):
-                self.postings[w].append((t, k))
-        self.rare = [sorted(set(words), key=lambda w: (-self.idf[w], w))[:LOOKUPS] for words in self.words]
-        self.base = [(tuple(p.split()), label) for p, label in base.items()]
-        self.cues = re.compile("|".join(sorted({re.escape(max(p, key=len)) for p, _ in self.base} | {re.escape(w) for must in self.phrases for p in must for w in [max(p, key=len)]})))
+                self.postings[self.number[w]].append((t, k))
+        self.opens = np.array([w in self.first for w in self.vocabulary])
+
+    def scan_all(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, str]], set[str], float]]:
+        """Of each text: the number of words, base places (first word, label), the method's labels, and the best agreement."""
+        lists = pc.split_pattern_regex(pc.ascii_lower(texts), BETWEEN)
+        flat = lists.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        known = np.array([-1 if w else -2 for w in distinct], np.int64)  # -2: the empty piece before or behind a separator
+        for k, w in enumerate(distinct):
+            if w in self.number:
+                known[k] = self.number[w]
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        number = known[codes]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        real = number > -2
+        place = np.cumsum(real) - 1
+        words_before = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], ends])]
+        hits = np.flatnonzero(number >= 0)
+        of = np.searchsorted(ends, hits, side="right")
+        bounds = np.searchsorted(of, np.arange(len(ends) + 1))
+        out = []
+        for k in range(len(ends)):
+            a, b = bounds[k], bounds[k + 1]
+            n = int(words_before[k + 1] - words_before[k])
+            if a == b:
+                out.append((n, [], set(), 0.0))
+                continue
+            at, words = place[hits[a:b]] - words_before[k], number[hits[a:b]]
+            lo, hi = (ends[k - 1] if k else 0), ends[k]
+            real_codes = codes[lo:hi][real[lo:hi]]
+            word = lambda j, real_codes=real_codes: distinct[real_codes[j]]
+            labels, best = self._align(word, n, at, words)
+            out.append((n, self._stand(word, n, at, words), labels, best))
+        return out
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], set[str], float]:
-        """Number of words, base places (first word, label), the method's labels, and the best agreement."""
-        low = text.translate(LOWER)
-        if self.cues.search(low) is None:  # no base phrase and no mandatory phrase can stand here
-            raw = IN_WORD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-            return (int(raw[0]) + int((raw[1:] & ~raw[:-1]).sum()) if len(raw) else 0), [], set(), 0.0
-        words = WORD.findall(low)
-        at: dict[str, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            if w in self.postings:
-                at[w].append(k)
-        places = self._stand(words)
-        labels, best = self._align(words, at)
-        return len(words), places, labels, best
-
-    def _stand(self, words: list[str]) -> list[tuple[int, str]]:
-        first = defaultdict(list)
-        for p, label in self.base:
-            first[p[0]].append((p, label))
-        return [(k, label) for k, w in enumerate(words) if w in first for p, label in first[w] if tuple(words[k : k + len(p)]) == p]
+        return self.scan_all(pa.array([text], pa.string()))[0]
+
+    def _stand(self, word, n: int, at: np.ndarray, words: np.ndarray) -> list[tuple[int, str]]:
+        opens = self.opens[words]
+        return [(j, label) for j, w in zip(at[opens].tolist(), words[opens].tolist(), strict=True) for p, label in self.first[self.vocabulary[w]] if j + len(p) <= n and all(word(j + i) == x for i, x in enumerate(p))]
 
-    def _align(self, words: list[str], at: dict[str, list[int]]) -> tuple[set[str], float]:
+    def _align(self, word, n: int, at: np.ndarray, words: np.ndarray) -> tuple[set[str], float]:
         labels: set[str] = set()
         best = 0.0
-        for t, rare in enumerate(self.rare):
-            votes: dict[int, set[str]] = defaultdict(set)
-            for w in rare:
-                for place in at.get(w, ()):
+        distinct = np.unique(words)
+        rare = sorted(distinct[self.idf[distinct] > 0].tolist(), key=lambda w: (-self.idf[w], w))[:LOOKUPS]
+        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+        holds: dict[int, set[int]] = defaultdict(set)
+        for w in rare:
+            for t, k in self.postings[w]:
+                holds[t].add(w)
+        for t in [t for t, ws in holds.items() if len(ws) >= LEAST]:
+            for w in holds[t]:
+                for j in at[words == w].tolist():
                     for template, k in self.postings[w]:
                         if template == t:
                             # two neighbouring cells, so that a drift across a border is not lost
-                            cell = (place - k) // DRIFT
-                            votes[cell].add(w)
-                            votes[cell - 1].add(w)
-            for cell, agreed in votes.items():
-                share = len(agreed) / len(rare)
-                if share >= AGREE and (label := self.labels[t]) and self._verified(words, t, cell * DRIFT):
-                    labels.add(label)
-                    best = max(best, share)
+                            cell = (j - k) // DRIFT
+                            votes[t, cell].add(w)
+                            votes[t, cell - 1].add(w)
+        for (t, cell), agreed in votes.items():
+            share = len(agreed) / len(holds[t])
+            if len(agreed) >= LEAST and share >= AGREE and self._verified(word, n, t, cell * DRIFT):
+                labels.add(self.labels[t])
+                best = max(best, share)
         return labels, best
 
-    def _verified(self, words: list[str], t: int, start: int) -> bool:
-        low, high = max(0, start - 2 * DRIFT), start + len(self.words[t]) + 4 * DRIFT
-        window = words[low:high]
+    def _verified(self, word, n: int, t: int, start: int) -> bool:
+        low, high = max(0, start - 2 * DRIFT), min(n, start + len(self.words[t]) + 4 * DRIFT)
+        window = [word(j) for j in range(low, high)]
         return all(any(tuple(window[k : k + len(p)]) == p for k in range(len(window))) for p in self.phrases[t])
 
 
@@ -129,21 +203,20 @@ def index() -> Index:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 where a base phrase stands, else the largest share of a template's looked-up words that agree, 0 without a label.
+    score is 1 where a base phrase stands, else the largest share of the looked-up words of a template that agree, 0 without a label.
     A null text counts as empty: no words, null first_word and last_word, empty labels. Repeated rows and null ids come back as they are;
     other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = index().scan
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                n, places, more, best = scan(t or "")
-                starts, base = [k for k, _ in places], {label for _, label in places}
-                rows.append((n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best))
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            for source, texts in text_slices(batch):
+                rows = []
+                for n, places, more, best in index().scan_all(texts):
+                    starts, base = [k for k, _ in places], {label for _, label in places}
+                    rows.append((n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([source.column(0), *columns], names=names)
 
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

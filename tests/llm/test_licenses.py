@@ -33,3 +33,45 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in scanned(docs).collect())
     assert got == [(0, 60_000, 0, None, None, "", "", 0.0), (1, 0, 0, None, None, "", "", 0.0), (2, 0, 0, None, None, "", "", 0.0), *[(3, 4, 2, 0, 2, "mit", "mit", 1.0)] * 2]
     assert scanned(docs.limit(0)).count() == 0
+
+
+def aligned(text):
+    """The method's labels and score by brute force: every template at every beginning, over the words of the highest IDF that the text holds."""
+    import math
+    from collections import Counter
+
+    from inkwell.llm.licenses import AGREE, DRIFT, LEAST, LOOKUPS
+
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    templates = {label: (t.split(), [p.split() for p in must]) for label, (t, must) in TEMPLATES.items()}
+    seen = Counter(w for t, _ in templates.values() for w in set(t))
+    idf = {w: math.log((1 + len(templates)) / c) for w, c in seen.items()}
+    rare = sorted({w for w in words if idf.get(w, 0) > 0}, key=lambda w: (-idf[w], w))[:LOOKUPS]
+    labels, best = set(), 0.0
+    for label, (t, must) in templates.items():
+        own = [w for w in rare if w in t]
+        if len(own) < LEAST:
+            continue
+        for cell in range(-len(t) // DRIFT - 2, len(words) // DRIFT + 2):
+            agreed = sum(any(t[k] == w and words[j] == w and (j - k) // DRIFT in (cell, cell + 1) for j in range(len(words)) if words[j] == w for k in range(len(t))) for w in own)
+            window = words[max(0, cell * DRIFT - 2 * DRIFT) : max(0, cell * DRIFT + len(t) + 4 * DRIFT)]
+            shown = all(any(window[k : k + len(p)] == p for k in range(len(window))) for p in must)
+            if agreed >= LEAST and agreed / len(own) >= AGREE and shown:
+                labels.add(label)
+                best = max(best, agreed / len(own))
+    return labels, best
+
+
+def test_labels_and_score_equal_brute_force():
+    rng = random.Random(12)
+    pool = [w for t, _ in TEMPLATES.values() for w in t.split()] + ["lorem", "ipsum", "dolor"] * 40
+    for k in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 60))]
+        for t, _ in rng.sample(list(TEMPLATES.values()), rng.randint(0, 2)):
+            own = t.split()
+            for _ in range(rng.randint(0, 6)):
+                own[rng.randrange(len(own))] = rng.choice(pool)
+            at = rng.randint(0, len(words))
+            words[at:at] = own[rng.randint(0, 10) : len(own) - rng.randint(0, 10)]
+        _, _, labels, best = index().scan(" ".join(words))
+        assert (labels, round(best, 9)) == (aligned(" ".join(words))[0], round(aligned(" ".join(words))[1], 9)), k
