@@ -6,8 +6,8 @@ every character is expanded over a bounded number of times, so a pass is linear
 
 Base kinds, leftmost and non-overlapping within a kind; what fails its validation is dropped and not tried again:
 email, ip (parts to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits).
-Added kinds: address (the user part of a URL, where it has one) and account (an IBAN that passes mod 97, or after a cue a number of
-8 to 20 digits or a ddd-dd-dddd number).
+Added kinds, both behind an anchor alone: address (the user part of a URL, where it has one, behind a scheme) and account (behind a cue, in any case: an IBAN that
+passes mod 97, a number of 8 to 20 digits, or a ddd-dd-dddd number). An IBAN without a cue is not looked for. secret: the value behind a credential cue and = or :, of 8 characters or more with a digit, or an access key's identifier.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from inkwell.llm.common import own_worker, text_slices
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("address", "account")
+ADDED = ("address", "account", "secret")
 CUES = ("account no", "account number", "acct", "iban", "ssn", "social security", "kontonummer", "numéro de compte", "número de cuenta", "passport no", "passport number")
+CREDENTIALS = ("password", "passwd", "secret", "token", "api key", "api_key", "apikey", "access key", "access_key")
+KEY_IDS = ("akia", "asia")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://", "redis://", "amqp://")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 USER = re.compile(r"[A-Za-z0-9._%+~-]{1,64}(?::[^\s/@:]{0,128})?@(?=[A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9](?:[ -]?[0-9]){7,19}(?![0-9])")
+VALUE = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[^\s\"']{0,255}[0-9])([A-Za-z0-9+/_.~!@#$%^&*-]{8,256})")
+KEY_ID = re.compile(r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])")
 BETWEEN = re.compile(r"[ \t]{0,3}(?:number|no|nr|is)?[.:#= \t]{0,4}", re.I)
 NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -46,10 +51,9 @@ def _anchors() -> ahocorasick.Automaton:
         found.add_word(c, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("credential", CREDENTIALS), ("key", KEY_IDS)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize(), w.title()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
@@ -67,11 +71,17 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _lowered(text: str) -> str:
+    """Lower case, each character in its place: the few that would become several stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order; code points, end exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
     done = dict.fromkeys(out, 0)
-    for last, (kind, size) in _anchors().iter(text):
+    for last, (kind, size) in _anchors().iter(_lowered(text)):
         at = last + 1 - size
         if kind == "digit":
             if at >= done["ip"]:
@@ -104,6 +114,11 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if last + 1 > done["address"] and (m := USER.match(text, last + 1)):
                 out["address"].append((m.start(), m.end() - 1))
                 done["address"] = m.end()
+        elif kind in ("credential", "key"):
+            m = KEY_ID.match(text, at) if kind == "key" else VALUE.match(text, last + 1)
+            if m and m.start(m.lastindex or 0) >= done["secret"]:
+                out["secret"].append(m.span(m.lastindex or 0))
+                done["secret"] = m.end()
         elif last + 1 > done["account"]:
             start = BETWEEN.match(text, last + 1).end()
             m = IBAN.match(text, start)
@@ -126,11 +141,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [find(t or "") for t in batch.column(1).to_pylist()]
+        for source, texts in (s for batch in batches for s in text_slices(batch)):
+            found = [find(t) for t in texts.to_pylist()]
             counts = [pa.array([len(x[k]) for x in found], pa.int64()) for k in BASE]
             sha = pa.array([hashlib.sha256(_joined(x, BASE).encode()).hexdigest() for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([_joined(x, BASE + ADDED) for x in found], pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([source.column(0), *counts, sha, pa.array([_joined(x, BASE + ADDED) for x in found], pa.string())], names=names)
 
     names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -150,11 +165,18 @@ def redacted_text(text: str) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced; null stays null, and other columns stay as they are."""
+    """``docs`` with personal data in ``text_col`` replaced by its kind in brackets.
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else redacted_text(t))
+    A null text stays null and an empty one empty; rows of equal ids or texts are each changed alike, and other columns, whatever their names, stay as they
+    are; an empty table gives an empty result.
+    """
+
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("pii", lambda: None)
+        for source, _ in (s for batch in batches for s in text_slices(batch, at)):
+            clean = pa.array([None if t is None else redacted_text(t) for t in source.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([clean if c == at else column for c, column in enumerate(source.columns)], names=source.schema.names)
 
-    clean_text: Column = clean(F.col(f"`{text_col}`"))
-    return docs.withColumn(text_col, clean_text)
+    return docs.mapInArrow(work, docs.schema)
