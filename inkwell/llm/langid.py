@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Each model is fitted on the whole texts of up to ``SAMPLE_DOCS`` labelled documents of its language (those of the smallest hash of
-the id), inside one task per language. Models are sorted arrays of n-gram hashes; those of all languages are merged, so that one
+the id; ids are chosen first, texts fetched after), inside one task per language. Models are sorted arrays of n-gram hashes; those of all languages are merged, so that one
 binary search serves them all. A word is scored between word borders, once per distinct word and worker; a document gets the
 language of the lowest cross-entropy per character. A fifth of the sample is kept out of the counts to calibrate rejection: a
-document is rejected where its cross-entropy is above all that such texts of its length should show.
+document is rejected where its cross-entropy is above the mean of those texts by more than ``Z`` standard errors for its length and the ``QUANTILE`` of
+what they themselves exceed that by.
 """
 
 from __future__ import annotations
@@ -12,25 +13,27 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.bpe import CACHE, slices
+from inkwell.llm.common import own_worker, text_slices
 
 #: Documents per language that a model is fitted on, at most.
 SAMPLE_DOCS = 200
 ORDER = 5
+#: Parts that a worker keeps scored; when full, its cache starts anew. Words that are scored at once.
+CACHE, AT_ONCE = 200_000, 16_384
 #: Characters that an unseen one is one of.
 ALPHABET = 5000
-#: Rejection: standard errors and nats per character allowed beyond what the calibration texts need.
-Z, MARGIN = 6.0, 3.0
+#: Rejection: standard errors for a text's length, the quantile of the calibration texts' own excess, and the nats per character that are allowed for what a sample cannot show.
+Z, QUANTILE, MARGIN = 6.0, 0.99, 0.35
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -154,29 +157,31 @@ class Merged:
             self.clear()
         found = list(map(self.index.get, parts))
         if None in found:
-            new = list(dict.fromkeys(p for p, i in zip(parts, found, strict=True) if i is None))
+            new = [p for p, i in zip(parts, found, strict=True) if i is None]
             runs = [[p.lower()] if p.isalpha() else LETTERS.findall(p.lower()) for p in new]
-            distinct = list(dict.fromkeys(chain.from_iterable(runs)))
-            place = {w: k for k, w in enumerate(distinct)}
-            scores = self.scores(distinct)
-            sizes = np.array([len(r) for r in runs])
-            flat = np.array([place[w] for r in runs for w in r], np.int64)
+            place: dict[str, int] = {}
+            flat = np.fromiter((place.setdefault(w, len(place)) for r in runs for w in r), np.int64)
+            words = list(place)
+            scores = np.concatenate([np.zeros((0, len(self.langs) + 1)), *(self.scores(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE))])
+            ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
             sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores[flat], axis=0)])
-            ends = np.cumsum(sizes)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.values = np.concatenate([self.values, sums[ends] - sums[ends - sizes]])
+            self.values = np.concatenate([self.values, sums[ends] - sums[np.concatenate([[0], ends[:-1]])]])
             found = list(map(self.index.__getitem__, parts))
         return self.values[np.array(found, np.int64)]
 
-    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character by language, and the number of characters, of each text."""
+        parts = pc.utf8_split_whitespace(texts)
+        distinct = parts.flatten().dictionary_encode()
+        values, codes = self.lookup(distinct.dictionary.to_pylist()), distinct.indices.to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(sizes)
         sums = np.zeros((len(texts), len(self.langs) + 1))
-        for start, end in slices(texts):
-            parts = [t.split() for t in texts[start:end]]
-            sizes = np.array([len(x) for x in parts])
-            values = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(self.lookup(list(chain.from_iterable(parts))), axis=0)])
-            ends = np.cumsum(sizes)
-            sums[start:end] = values[ends] - values[ends - sizes]
+        if len(some):
+            begins = (np.cumsum(sizes) - sizes)[some]
+            for j in range(sums.shape[1]):
+                sums[some, j] = np.add.reduceat(np.ascontiguousarray(values[:, j])[codes], begins)
         n = np.round(sums[:, -1])
         return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 
@@ -187,15 +192,15 @@ class Identifier:
         self.merged = Merged([x[0] for x in models], [x[1] for x in models])
         self.mean, self.spread, self.margin = np.zeros(len(models)), np.ones(len(models)), np.full(len(models), MARGIN)
         for j, (_, _, kept_out) in enumerate(models):
-            ce, n = self.merged.documents(kept_out)
+            ce, n = self.merged.documents(pa.array(kept_out, pa.string()))
             ce, n = ce[n > 0, j], n[n > 0]
             if len(ce):
                 self.mean[j] = np.average(ce, weights=n)
                 self.spread[j] = max(0.5, float(np.sqrt(np.average((ce - self.mean[j]) ** 2 * n))))
-                self.margin[j] = MARGIN + max(0.0, float((ce - self.mean[j] - Z * self.spread[j] / np.sqrt(n)).max()))
+                self.margin[j] = MARGIN + max(0.0, float(np.quantile(ce - self.mean[j] - Z * self.spread[j] / np.sqrt(n), QUANTILE)))
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score in 0..1 and whether it is rejected, of each text."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score in 0..1 and whether it is rejected, of each text; no text is null."""
         ce, n = self.merged.documents(texts)
         if not self.merged.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -216,8 +221,14 @@ def held_out(id_col: Column, modulus: int) -> Column:
 def train(docs: DataFrame, modulus: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Fits on documents with an id, a text and a language that are not held out. Models, bounded by SAMPLE_DOCS per language, come to the driver."""
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"), modulus))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id", F.xxhash64("text"))
-    sample = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    # the rows' hashes are ranked without their texts; each task sends SAMPLE_DOCS of a language at most
+    ranked = labelled.select("lang", F.xxhash64(F.col("id").cast("string")).alias("h"), F.col("id").cast("string").alias("i"), F.xxhash64("text").alias("t"))
+    order = Window.partitionBy("lang").orderBy("h", "i", "t")
+    chosen = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows a language, of a few numbers each; only their own rows' texts are shuffled
+    picked = F.broadcast(chosen.groupBy("lang", "h", "i", "t").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies")).select(F.col("lang").alias("pl"), F.col("h").alias("ph"), F.col("i").alias("pi"), F.col("t").alias("pt"), "k"))
+    keyed = labelled.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("t", F.xxhash64("text"))
+    sample = keyed.join(picked, (F.col("h") == F.col("ph")) & (F.col("lang") == F.col("pl")) & (F.col("id").cast("string") == F.col("pi")) & (F.col("t") == F.col("pt"))).dropDuplicates(["lang", "h", "pi", "t"]).select("lang", "text", "k")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         texts = rows.sort_values("k")["text"].tolist()
@@ -241,23 +252,28 @@ def identified(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("langid", shared.value.merged.clear)
         for batch in batches:
-            langs, score, rejected = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
-        shared.value.merged.clear()  # workers live on: what they hold would add up over a pipeline's stages
+            for source, texts in text_slices(batch):
+                langs, score, rejected = shared.value.predict(texts)
+                yield pa.RecordBatch.from_arrays([source.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    """The rows of ``docs`` whose text is not rejected, with all their columns, whatever their names.
+
+    Null texts, empty ones and those without a letter go; repeated rows stay or go alike; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("langid", shared.value.merged.clear)
         for batch in batches:
-            yield batch.filter(pa.array(~shared.value.predict([t or "" for t in batch.column(at).to_pylist()])[2]))
-        shared.value.merged.clear()
+            for source, texts in text_slices(batch, at):
+                yield source.filter(pa.array(~shared.value.predict(texts)[2]))
 
     return docs.mapInArrow(work, docs.schema)

@@ -51,3 +51,84 @@ def test_nothing_learned(spark):
     assert identified(docs, train(docs)).first().lang_pred == UNKNOWN
     empty = docs.limit(0)
     assert identified(empty, train(empty)).count() == 0
+
+
+def brute_models(words, order=5, alphabet=5000):
+    """P(character | context) of an interpolated Kneser-Ney model over words between borders, from plain dictionaries: a function of (context, character)."""
+    from collections import Counter, defaultdict
+
+    raw = [Counter() for _ in range(order + 1)]
+    for w, c in words.items():
+        s = "\x02" + w + "\x03"
+        for n in range(1, order + 1):
+            for k in range(1, len(s)):
+                if k >= n - 1:
+                    raw[n][s[k - n + 1 : k + 1]] += c
+    adjusted = [None] * (order + 1)
+    for n in range(1, order + 1):
+        if n == order:
+            adjusted[n] = dict(raw[n])
+            continue
+        left = defaultdict(set)
+        for g in raw[n + 1]:
+            left[g[1:]].add(g[0])
+        adjusted[n] = {g: len(left[g]) + (raw[n][g] if g[0] == "\x02" else 0) for g in raw[n]}
+    discount = [0.0] * (order + 1)
+    for n in range(1, order + 1):
+        once, twice = (sum(v == x for v in adjusted[n].values()) for x in (1, 2))
+        discount[n] = min(max(once / (once + 2 * twice) if once + twice else 0.5, 0.1), 0.95)
+    by = [defaultdict(dict) for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for g, c in adjusted[n].items():
+            by[n][g[:-1]][g[-1]] = c
+
+    def p(context, char):
+        value = 1 / alphabet
+        for n in range(1, order + 1):
+            if len(context) < n - 1:
+                break
+            own = by[n].get(context[len(context) - n + 1 :] if n > 1 else "")
+            if own:
+                total = sum(own.values())
+                value = max(own.get(char, 0) - discount[n], 0) / total + discount[n] * len(own) / total * value
+        return value
+
+    return p
+
+
+def test_word_scores_equal_brute_force_kneser_ney():
+    import math
+    from collections import Counter
+
+    import numpy as np
+    from inkwell.llm.langid import Merged, fit
+
+    rng = random.Random(4)
+    samples = [Counter("".join(rng.choice(SYLLABLES[g]) for _ in range(rng.randint(1, 4))) for _ in range(300)) for g in ("aa", "bb")]
+    merged = Merged(["aa", "bb"], [fit(c) for c in samples])
+    tests = ["the", "theing", "zzz", "qu", "schung", "é", "onononon", "t"]
+    got = merged.scores(tests)
+    for j, words in enumerate(samples):
+        p = brute_models(words)
+        for k, w in enumerate(tests):
+            s = "\x02" + w + "\x03"
+            want = sum(math.log(p(s[:i], s[i])) for i in range(1, len(s)))
+            assert np.isclose(got[k, j], want, rtol=1e-4), (w, j)
+            assert got[k, -1] == len(w) + 1
+
+
+def test_gibberish_and_an_unlearned_language_are_rejected(spark):
+    rng = random.Random(3)
+    rows = corpus(spark, 300)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(80)) for _ in range(20)]
+    other = [" ".join("".join(rng.choice(["wysz", "kow", "dzi", "przy", "nik"]) for _ in range(rng.randint(1, 4))) for _ in range(80)) for _ in range(20)]
+    docs = spark.createDataFrame(rows + [(5000 + k, t, None) for k, t in enumerate(junk + other)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in identified(docs, train(docs)).collect()}
+    assert all(got[5000 + k] for k in range(40))
+    assert not any(got[i] for i, _, _ in rows)
+
+
+def test_ties_go_to_the_language_of_the_smaller_name(spark):
+    rows = [(k, "same words here", "bb" if k % 2 else "aa") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identified(docs, train(docs)).collect()} == {"aa"}
