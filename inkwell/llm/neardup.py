@@ -1,14 +1,16 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Shingles of five words, hashed to 64 bits; weight tf x idf. idf counts every document: shingles in at least ``SHARE`` of all documents
-   get a weight between ``FLOOR`` and 1 by their frequency, the others (below the share) weigh 1, so the table of frequent shingles
-   is bounded by mean length / SHARE whatever the input. Task counts below half the share are not sent, so a frequency is low by at most SHARE / 2.
+1. Shingles of five words, hashed to 64 bits; weight tf x idf. idf counts every document, exactly: a first pass counts shingles by hashed cell, and only
+   shingles of cells that at least ``SHARE`` of all documents hit are counted one by one in a second. Shingles in that share of documents
+   get a weight between ``FLOOR`` and 1 by their frequency, rarer ones weigh 1, so the table of weights is bounded by mean length / SHARE.
 2. Documents of equal words become one representative. ``BANDS`` x ``ROWS`` consistent weighted samples give each its band keys, and as many
    samples of its plain shingle set (weight 1, tf ignored) further ones, so that either similarity has candidates of its own.
    Weight 1 is sampled alike in both, so a text whose weights are all 1 has one set of keys, which meets both sets of another text.
 3. In each band bucket every member is verified against the smallest one; members that fail are compared with all others of their
    bucket, in blocks of about ``BLOCK`` texts, so no task ever holds a whole hot bucket and no link between two components is lost.
-4. Links are contracted to connected components, round by round, as DataFrames.
+   Of the links within a block only those that join two of its components are returned.
+4. Links are contracted to connected components as DataFrames: a round points every text to its smallest neighbour, follows the pointers to
+   their ends by doubling, and contracts, which takes a logarithmic number of rounds and steps whatever the shape.
 
 Two texts are near-duplicates where the weighted Jaccard similarity, or that of the plain shingle sets, is ``SIMILAR`` or more.
 """
@@ -25,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.bpe import slices
-from inkwell.llm.common import cut
+from inkwell.llm.common import BLOCK_ROWS, cut, fresh, in_blocks, own_worker, summed, text_slices, whole
 from inkwell.llm.exact_dedup import HOT_SHARE, maybe_repeated, member_filter
 from inkwell.llm.licenses import IN_WORD
 
@@ -34,10 +35,18 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 SHARE, FLOOR = 0.001, 0.25
 BLOCK = 250
-#: Entries of the table of random variates; shingles that share one stay apart by their own hash.
+#: Entries of a sample's table of random variates. Each sample reads other bits of a shingle's hash, so two shingles share a variate in one sample of TABLE.
 TABLE = 1 << 16
+#: Cells in which shingles are counted first, and the blocks in which the counts are added up.
+CELLS, CELL_BLOCKS = 1 << 20, 256
 #: Shingle hashes that a task counts at once.
 HELD = 4_000_000
+#: Bytes of text that are shingled at once.
+AT_ONCE = 1 << 20
+#: Rows of a side, of some numbers each, that is broadcast: 16 MB at most.
+SMALL = 200_000
+#: Blocks to which one copy of a leader's text is dealt at once.
+SPAN = 200
 
 U = np.uint64
 P = U(0x9E3779B97F4A7C15)
@@ -120,30 +129,45 @@ class Weights:
         return tf * np.where(self.hashes[k] == hashes, self.idf[k], 1.0)
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, some texts at a time."""
+    for batch in batches:
+        for _, texts in text_slices(batch, 0, AT_ONCE):
+            yield Shingled(texts.to_pylist()).hashes
+
+
 def frequent(docs: DataFrame, text_col: str, documents: int) -> Weights:
-    """Pass over all documents for the shingles that at least SHARE of them hold."""
+    """Two passes over all documents for the shingles that at least SHARE of them hold, with exact counts."""
+    least = max(2.0, SHARE * documents)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, 0
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CELLS, np.int64)
+        for h in _hashes(batches):
+            out += np.bincount((h >> U(44)).astype(np.int64), minlength=CELLS)
+        yield in_blocks(out, CELL_BLOCKS)
 
-        def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, seen * SHARE / 2)
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+    texts = docs.select(text_col)
+    found = summed(texts.mapInArrow(cells, BLOCK_ROWS), CELL_BLOCKS)
+    full = docs.sparkSession.sparkContext.broadcast(whole(found, CELLS, CELL_BLOCKS) >= least)
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
-                held.append(Shingled(texts[a:b]).hashes)
-                size, seen = size + len(held[-1]), seen + b - a
-                if size >= HELD:
-                    yield counted()
-                    held, size, seen = [], 0, 0
-        if held:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        for h in _hashes(batches):
+            held.append(h[full.value[(h >> U(44)).astype(np.int64)]])
+            size += len(held[-1])
+            if size >= HELD:
+                yield counted()
+                held, size = [], 0
+        if size:
             yield counted()
 
-    counts = docs.select(text_col).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= max(2.0, SHARE * documents)).toPandas()  # bounded: mean shingles a document / SHARE
+    exact = texts.mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = exact.where(F.col("n") >= least).toPandas()  # bounded: mean shingles a document / SHARE
     return Weights(rows["h"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.float64), documents)
 
 
@@ -173,18 +197,19 @@ def band_keys(found: Shingled, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(some):
         return out, plain
     begins = found.ends[some] - sizes[some]
-    entry = (found.hashes >> U(48)).astype(np.int64) % TABLE
-    place = np.arange(len(entry)).astype(U)
+    place = np.arange(len(found.hashes)).astype(U)
     odd = np.flatnonzero(weights != 1.0)
-    odd_entry, log_w = entry[odd], np.log(weights[odd]).astype(np.float32)
+    log_w = np.log(weights[odd]).astype(np.float32)
     least = lambda a: (np.minimum.reduceat((a << U(32)) | place, begins) & U(0xFFFFFFFF)).astype(np.int64)
     for s in range(BANDS * ROWS):
+        entry = (found.hashes * U(2 * s + 1) * P >> U(48)).astype(np.int64)
         a = unit[s][entry].astype(U)
         k = least(a)
         band = s // ROWS
         plain[some, band] = _mix(plain[some, band] * P + _mix(found.hashes[k]) + U(s + 1))
         step = np.zeros(len(entry), np.int64)
         if len(odd):
+            odd_entry = entry[odd]
             rs, bs = r[s][odd_entry], beta[s][odd_entry]
             t = np.floor(log_w / rs + bs)
             a[odd] = _ordered(c[s][odd_entry] - rs * (t - bs) - rs)
@@ -199,23 +224,22 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("neardup", _variates.cache_clear)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                found = Shingled(texts[a:b])
+            for source, texts in text_slices(batch, size=AT_ONCE):
+                found = Shingled(texts.to_pylist())
                 keys, plain = band_keys(found, shared.value(found.hashes, found.tf))
                 both = np.concatenate([keys, plain], axis=1)
                 new = np.concatenate([np.ones(keys.shape, bool), keys != plain], axis=1) & (np.diff(np.concatenate([[0], found.ends])) > 0)[:, None]
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]), pa.int32()), pa.array(both[new].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found.keys, pa.binary()), bands], names=["id", "key", "bands"])
-        _variates.cache_clear()  # workers live on: what they hold would add up over a pipeline's stages
+                yield pa.RecordBatch.from_arrays([source.column(0), pa.array(found.keys, pa.binary()), bands], names=["id", "key", "bands"])
 
     return docs.select(id_col, text_col).mapInArrow(work, f"id {dict(docs.dtypes)[id_col]}, key binary, bands array<long>")
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def _join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, group_key: str | None = None) -> DataFrame:
     """rows join groups on ``key``; groups of over 1 / HOT_SHARE of ``total`` rows, under HOT_SHARE of them, are broadcast, so that no task gets one."""
-    groups = groups.withColumnRenamed(key, "__of")
+    groups = groups.withColumnRenamed(group_key or key, "__of")
     on, large = F.col(key) == F.col("__of"), F.col(count) * HOT_SHARE > total
     hot = F.broadcast(groups.where(large))
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(groups.where(~large), on)).drop("__of")
@@ -237,44 +261,45 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(shared, first_round: bool):
-    """Of a block: (id, other, failed): links found, and ids that are not linked to the leader's component (failed)."""
+    """Of a block: (id, other, failed): links found, each of which joins two components of the block, and ids that are not linked to the leader's component (failed)."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["id", "side", "text"])
         found: dict[tuple[int, int], tuple] = {}
-        texts = rows["text"].fillna("").tolist()
-        for a, b in slices(texts):
-            some = Shingled(texts[a:b])
+        for part, texts in text_slices(pa.RecordBatch.from_pandas(rows[["id", "side", "key", "text"]], preserve_index=False), 3, AT_ONCE):
+            some = Shingled(texts.to_pylist())
             weights = shared.value(some.hashes, some.tf)
-            for k in range(b - a):
-                row = rows.iloc[a + k]
-                if some.keys[k] == row["key"]:  # else another row of the same id
-                    found[int(row["side"]), int(row["id"])] = (some.of(k, some.hashes), some.of(k, weights))
+            for k, (i, side, key) in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)):
+                if some.keys[k] == key:  # else another row of the same id
+                    found[side, i] = (some.of(k, some.hashes), some.of(k, weights))
         links: list[tuple[int, int, bool]] = []
+        root = {i: i for _, i in found}
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        def link(x: tuple[int, int], y: tuple[int, int]) -> None:
+            if top(x[1]) != top(y[1]) and similar(found[x], found[y]):
+                links.append((x[1], y[1], False))
+                root[top(x[1])] = top(y[1])
+
         if first_round:
             ids = sorted(i for s, i in found if s == 0)
             leader = int(rows["leader"].iloc[0])
-            root = {i: i for i in ids}
-
-            def top(i: int) -> int:
-                while root[i] != i:
-                    i = root[i]
-                return i
-
+            missed = lambda i: leader not in root or top(i) != top(leader)
             for i in ids:
-                if i != leader and leader in root and similar(found[0, leader], found[0, i]):
-                    links.append((i, leader, False))
-                    root[i] = leader
-            for i in [i for i in ids if leader not in root or top(i) != leader]:
+                if i != leader and leader in root:
+                    link((0, i), (0, leader))
+            for i in [i for i in ids if missed(i)]:
                 for j in ids:
-                    if j != leader and top(i) != top(j) and similar(found[0, i], found[0, j]):
-                        links.append((i, j, False))
-                        root[top(i)] = top(j)
-            links += [(i, leader, True) for i in ids if leader not in root or top(i) != leader]
+                    link((0, i), (0, j))
+            links += [(i, leader, True) for i in ids if missed(i)]
         else:
-            for (s, i), x in found.items():
-                if s == 1:
-                    links += [(i, j, False) for (t, j), y in found.items() if t == 0 and i != j and similar(x, y)]
+            for x in [k for k in found if k[0] == 1]:
+                for y in [k for k in found if k[0] == 0]:
+                    link(x, y)
         return pd.DataFrame(links, columns=["id", "other", "failed"]).astype({"id": "int64", "other": "int64", "failed": bool})
 
     return work
@@ -288,30 +313,62 @@ def _with_texts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     return members.join(texts, F.col("id") == F.col("doc")).drop("doc")
 
 
+def _joined(rows: DataFrame, groups: DataFrame, key: str, group_key: str, total: int) -> DataFrame:
+    """rows join groups, which have one row a key. Groups of up to SMALL rows are broadcast; beyond that only those of keys that over 1 / HOT_SHARE of
+    ``rows`` have, under HOT_SHARE of them, and all others meet in a shuffle. ``total``: the number of rows. groups is a written table."""
+    if groups.count() <= SMALL:
+        return rows.join(F.broadcast(groups), F.col(key) == F.col(group_key)).drop(group_key)
+    hot = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_n")).where(F.col("hot_n") * HOT_SHARE > total).select("hot_key")
+    hot_groups = groups.join(F.broadcast(hot), F.col(group_key) == F.col("hot_key")).drop("hot_key")
+    some = rows.join(F.broadcast(hot_groups), F.col(key) == F.col(group_key))
+    rest = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left_anti").join(groups, F.col(key) == F.col(group_key))
+    return some.unionByName(rest).drop(group_key)
+
+
+def _followed(parents: DataFrame) -> DataFrame:
+    """(v, parent) with every parent the end of its chain, by doubling: each step follows twice as many pointers."""
+    total = parents.count()
+    while True:
+        above = parents.select(F.col("v").alias("pv"), F.col("parent").alias("pp"))
+        moved = cut(_joined(parents, above, "parent", "pv", total), "parents")
+        if moved.where("pp <> parent").isEmpty():
+            return parents
+        parents = moved.select("v", F.col("pp").alias("parent"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each id's connected component, for ids that stand in (id, other) links. Contracts until no link is left."""
     edges = cut(links.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct(), "edges")
     roots = None
-    while not edges.isEmpty():
+    while (total := edges.count()) > 0:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("parent")), "parents")
-        one = parents.select(F.col("v").alias("va"), F.col("parent").alias("pa"))
-        two = parents.select(F.col("v").alias("vb"), F.col("parent").alias("pb"))
-        edges = cut(edges.join(one, F.col("a") == F.col("va")).join(two, F.col("b") == F.col("vb")).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "edges")
+        parents = _followed(cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("parent")), "parents"))
+        one = _joined(edges, parents.withColumnRenamed("parent", "pa"), "a", "v", total)
+        two = _joined(one, parents.withColumnRenamed("parent", "pb"), "b", "v", total)
+        edges = cut(two.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "edges")
         if roots is None:
             roots = parents.select(F.col("v").alias("id"), F.col("parent").alias("root"))
         else:
-            roots = cut(roots.join(parents, F.col("root") == F.col("v"), "left").select("id", F.coalesce("parent", "root").alias("root")), "roots")
+            # roots that no link is left to stay
+            ends = cut(roots.select("root").distinct().join(parents, F.col("root") == F.col("v"), "left").select(F.col("root").alias("v"), F.coalesce("parent", "root").alias("parent")), "ends")
+            roots = cut(_joined(roots, ends, "root", "v", roots.count()).select("id", F.col("parent").alias("root")), "roots")
     return roots if roots is not None else links.select("id", F.col("other").alias("root")).limit(0)
 
 
-def _leader_blocks(candidates: DataFrame) -> DataFrame:
-    """(leader, id, block, blocks): the members of each leader dealt into blocks, the leader in all of them."""
-    counts = candidates.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = _join_groups(candidates, counts, "leader", "n", candidates.count())
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("leader", "id", "block", "blocks")
-    leaders = counts.select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-    return dealt.unionByName(leaders)
+def _leader_blocks(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leader, id, key, block, blocks): the members of each leader dealt into blocks; and (leader, key, blocks)."""
+    counts = cut(candidates.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.first("leader_key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "leaders")
+    sizes = counts.select(F.col("leader").alias("of"), "blocks")
+    members = _joined(candidates, sizes, "leader", "of", candidates.count())
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("leader", "id", "key", "block", "blocks")
+    return dealt, counts.select("leader", "key", "blocks")
+
+
+def _in_all_blocks(leaders: DataFrame) -> DataFrame:
+    """Each leader's row, its text with it, in all of its blocks: dealt to salts first, so that no task makes all copies of a hot leader's text."""
+    salted = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / SPAN).cast("int")))).repartition("leader", "salt")
+    low = F.col("salt") * SPAN
+    return salted.withColumn("block", F.explode(F.sequence(low, F.least(low + SPAN, F.col("blocks")) - 1))).drop("salt")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,41 +387,51 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     keyed = named.where("id IS NOT NULL")
     total = keyed.agg(F.sum(F.size("bands"))).first()[0] or 0
-    buckets = keyed.select("id", F.explode("bands").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    candidates = cut(_join_groups(buckets, leaders, "bucket", "m", total).where("id <> leader").select("id", "leader").distinct(), "candidates")
+    buckets = keyed.select("id", "key", F.explode("bands").alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("id", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = _join_groups(buckets, leaders, "bucket", "m", total).where("id <> lead.id")
+    candidates = cut(met.select("id", "key", F.col("lead.id").alias("leader"), F.col("lead.key").alias("leader_key")).distinct(), "candidates")
 
-    keys = named.select(F.col("id").alias("kid"), "key")
-    blocks = cut(_leader_blocks(candidates), "blocks")
+    members, heads = _leader_blocks(candidates)
+    blocks = cut(members, "blocks")
     schema = "id long, other long, failed boolean"
 
-    def verified(members: DataFrame, by: list[str | Column], first_round: bool) -> DataFrame:
-        whole = _with_texts(members, docs, id_col, text_col).join(keys, F.col("id") == F.col("kid")).drop("kid")
-        return cut(whole.groupBy(*by).applyInPandas(_verify(shared, first_round), schema), "verified")
+    def texts_of(members: DataFrame) -> DataFrame:
+        return _with_texts(members, docs, id_col, text_col)
+
+    def verified(rows: DataFrame, by: list[str | Column], first_round: bool) -> DataFrame:
+        return cut(rows.withColumn("side", F.col("side").cast("int")).groupBy(*by).applyInPandas(_verify(shared, first_round), schema), "verified")
 
-    first = verified(blocks.withColumn("side", F.lit(0)), ["leader", "block"], True)
+    copies = _in_all_blocks(texts_of(heads.withColumn("id", F.col("leader"))))
+    first = verified(texts_of(blocks).unionByName(copies).withColumn("side", F.lit(0)), ["leader", "block"], True)
     links = first.where("NOT failed").select("id", "other")
 
     # ids that failed in a leader's group of several blocks meet that group's other blocks as well
     failed = first.where("failed").select("id", F.col("other").alias("leader")).distinct().join(blocks.where("blocks > 1"), ["leader", "id"])
-    failed = cut(failed.where("id <> leader"), "failed")
-    if not failed.isEmpty():
+    failed = cut(failed, "failed") if not first.where("failed").isEmpty() else None
+    if failed is not None and not failed.isEmpty():
         deal = failed.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deals")).withColumnRenamed("leader", "fl")
         asked = failed.join(deal, F.col("leader") == F.col("fl")).withColumn("deal", F.pmod(F.xxhash64("id", F.lit(1)), F.col("deals")).cast("int"))
-        probes = asked.select("leader", "id", "deal", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("own <> block").select("leader", "id", "deal", "block", F.lit(1).alias("side"))
-        others = blocks.join(deal, F.col("leader") == F.col("fl")).select("leader", "id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "block", F.lit(0).alias("side"))
-        links = links.unionByName(verified(probes.unionByName(others), ["leader", "deal", "block"], False).select("id", "other"))
+        probes = asked.select("leader", "id", "key", "deal", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("own <> block").select("leader", "id", "key", "deal", "block", F.lit(1).alias("side"))
+        others = blocks.join(deal, F.col("leader") == F.col("fl")).select("leader", "id", "key", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "block", F.lit(0).alias("side"))
+        links = links.unionByName(verified(texts_of(probes.unionByName(others)), ["leader", "deal", "block"], False).select("id", "other"))
 
     roots = components(links).withColumnRenamed("id", "rid")
+    roots = F.broadcast(roots) if roots.count() <= SMALL else roots
     by_key = named.join(roots, F.col("id") == F.col("rid"), "left").select("key", "n", F.coalesce("root", "id").alias("class_id"))
     out = _join_groups(signed.select("id", "key"), by_key, "key", "n", documents)
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that classes() keeps, with all their columns. Rows that surely stay are not shuffled."""
-    gone = cut(classes(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    bloom, blocks = member_filter(gone, F.col("__gone"), gone.count())
-    probed = maybe_repeated(docs, F.col(id_col).cast("long"), bloom, blocks, "__maybe")
-    stay = probed.where("NOT __maybe").select(*docs.columns)
-    return stay.unionByName(probed.where("__maybe").join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns))
+    """The rows of ``docs`` that classes() keeps, with all their columns, whatever their names and types. Rows that surely stay are not shuffled.
+
+    Repeated rows of an id that stays all stay, as do rows of a null id that are alone; an empty table gives an empty result.
+    """
+    gone_id, maybe = fresh(docs, "gone"), fresh(docs, "maybe")
+    gone = cut(classes(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(gone_id)).distinct(), "gone")
+    bloom, blocks = member_filter(gone, F.col(gone_id), gone.count())
+    probed = maybe_repeated(docs, F.col(f"`{id_col}`").cast("long"), bloom, blocks, maybe)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = probed.where(~F.col(maybe)).select(*columns)
+    return stay.unionByName(probed.where(F.col(maybe)).join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id)), "left_anti").select(*columns))
