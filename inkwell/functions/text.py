@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The lines that the rules look for.
 FENCE = r"^\s*```"
 LIST_ITEM = r"(?U)^\s*([-*+]|\d+\.)\s+"
 TABLE_ROW = r"^\s*\|"
@@ -50,24 +51,45 @@ def _is(line: Column, pattern: str) -> Column:
     return F.coalesce(line.rlike(pattern), F.lit(False))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with ``value`` worked out once: an expression that a lambda refers to is otherwise worked out again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fence_mask(rows: Column) -> Column:
-    """For each line whether it is a fence line or stands between an odd fence line and the next."""
-    none = F.transform(rows, lambda _: F.lit(False))
-    start = F.struct(F.array().cast("array<boolean>").alias("mask"), F.lit(False).alias("open"))
+    """For each line whether it is a fence line or stands between an odd fence line and the next.
+
+    The lines from one fence line to the next have one value, so the mask is put together from runs, in time linear in the lines.
+    """
+    def runs(at: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(at, k + 1), F.size(rows))
+        after = F.transform(at, lambda f, k: F.concat(F.array(F.lit(True)), F.array_repeat(k % 2 == 0, stop(k) - f - 1)))
+        return F.concat(F.array_repeat(F.lit(False), stop(F.lit(-1))), F.flatten(after))
+
+    fences = F.filter(F.transform(rows, lambda x, i: F.when(_is(x, FENCE), i)), lambda i: i.isNotNull())
+    return bound(fences, runs)
 
-    def step(state: Column, line: Column) -> Column:
-        fence = _is(line, FENCE)
-        return F.struct(F.concat(state["mask"], F.array(fence | state["open"])).alias("mask"), (state["open"] != fence).alias("open"))
 
-    # most texts have no fence: they skip the fold
-    return F.when(F.exists(rows, lambda x: _is(x, FENCE)), F.aggregate(rows, start, step, lambda s: s["mask"])).otherwise(none)
+class Line:
+    """A line outside fences with its neighbours: text, whether they stand in a fence, and whether it is the first."""
 
+    def __init__(self, x: Column) -> None:
+        self.text, self.before, self.after = x["line"], x["before"], x["after"]
+        self.before_fenced, self.after_fenced = x["before_mask"], x["after_mask"]
+        self.first = self.before.isNull()
 
-def _by_line(text: Column, rule) -> Column:
-    """Applies rule(lines, mask, line, position) to each line outside fences; others stay."""
-    rows = lines(text)
-    mask = fence_mask(rows)
-    return joined(F.transform(rows, lambda line, i: F.when(F.get(mask, i), line).otherwise(rule(rows, mask, line, i))))
+
+def _by_line(text: Column, needed: str, rule) -> Column:
+    """Applies rule(Line) to each line outside fences; others stay. Only texts that match ``needed`` are taken apart."""
+    shifted = lambda x, kind: (F.concat(F.array(F.lit(None).cast(kind)), F.slice(x, 1, F.size(x) - 1)), F.concat(F.slice(x, 2, F.size(x)), F.array(F.lit(None).cast(kind))))
+
+    def masked(rows: Column, mask: Column) -> Column:
+        (before, after), (before_mask, after_mask) = shifted(rows, "string"), shifted(mask, "boolean")
+        whole = F.arrays_zip(rows.alias("line"), mask.alias("mask"), before.alias("before"), after.alias("after"), before_mask.alias("before_mask"), after_mask.alias("after_mask"))
+        return F.transform(whole, lambda x: F.when(x["mask"], x["line"]).otherwise(rule(Line(x))))
+
+    done = bound(lines(text), lambda rows: bound(fence_mask(rows), lambda mask: masked(rows, mask)))
+    return F.when(text.rlike(needed), joined(done)).otherwise(text)
 
 
 def front_matter(text: Column) -> Column:
@@ -89,62 +111,68 @@ def zero_width_fences(text: Column) -> Column:
 
 def export_timestamps(text: Column) -> Column:
     """M/D/YYYY or YYYY/M/D stamps after a Created, Updated or Exported label become ISO; impossible dates stay."""
-    def rule(rows: Column, mask: Column, line: Column, i: Column) -> Column:
-        part = lambda k: F.regexp_extract(line, STAMP, k)
-        number = lambda *ks: F.coalesce(*[F.expr("int(null)") if k is None else F.nullif(part(k), F.lit("")).try_cast("int") for k in ks])
+    def rule(line: Line) -> Column:
+        part = lambda k: F.regexp_extract(line.text, STAMP, k)
+        number = lambda *ks: F.coalesce(*[F.nullif(part(k), F.lit("")).try_cast("int") for k in ks])
         moment = F.try_make_timestamp(number(2, 7), number(3, 5), number(4, 6), number(8), number(9), F.nullif(part(10), F.lit("")).try_cast("decimal(8,6)"))
         sound = (number(8) < 24) & (number(9) < 60) & (part(10) < "60") & moment.isNotNull() & (number(2, 7) > 0)
-        return F.when(line.rlike(STAMP) & sound, F.concat(part(1), F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), part(11))).otherwise(line)
+        return F.when(line.text.rlike(STAMP) & sound, F.concat(part(1), F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), part(11))).otherwise(line.text)
 
-    return _by_line(text, rule)
+    return _by_line(text, r"(?m)^\*\*(?:Created|Updated|Exported):\*\*", rule)
 
 
 def metadata_breaks(text: Column) -> Column:
     """A bold label line that another follows ends in a hard break."""
-    def rule(rows: Column, mask: Column, line: Column, i: Column) -> Column:
-        followed = _is(F.get(rows, i + 1), LABEL_LINE) & ~F.coalesce(F.get(mask, i + 1), F.lit(True))
-        return F.when(_is(line, LABEL_LINE) & followed & ~line.endswith("  "), F.concat(line, F.lit("  "))).otherwise(line)
+    def rule(line: Line) -> Column:
+        followed = _is(line.after, LABEL_LINE) & ~F.coalesce(line.after_fenced, F.lit(True))
+        return F.when(_is(line.text, LABEL_LINE) & followed & ~line.text.endswith("  "), F.concat(line.text, F.lit("  "))).otherwise(line.text)
 
-    return _by_line(text, rule)
+    return _by_line(text, r"(?m)^\*\*[^*\n]+:\*\*", rule)
 
 
 def paren_lists(text: Column) -> Column:
     """``N)`` items become ``N.`` where a blank line, another item or the start stands before, or an item after."""
-    def rule(rows: Column, mask: Column, line: Column, i: Column) -> Column:
-        before, after = F.when(i > 0, F.get(rows, F.greatest(i - 1, F.lit(0)))), F.get(rows, i + 1)
-        opens = (i == 0) | (~F.coalesce(F.get(mask, F.greatest(i - 1, F.lit(0))), F.lit(False)) & (_is(before, r"(?U)^\s*$") | _is(before, PAREN_ITEM)))
-        goes_on = ~F.coalesce(F.get(mask, i + 1), F.lit(True)) & _is(after, PAREN_ITEM)
-        return F.when(_is(line, PAREN_ITEM) & (opens | goes_on), F.regexp_replace(line, PAREN_ITEM, "$1$2.$3$4")).otherwise(line)
+    def rule(line: Line) -> Column:
+        opens = line.first | (~F.coalesce(line.before_fenced, F.lit(False)) & (_is(line.before, r"(?U)^\s*$") | _is(line.before, PAREN_ITEM)))
+        goes_on = ~F.coalesce(line.after_fenced, F.lit(True)) & _is(line.after, PAREN_ITEM)
+        return F.when(_is(line.text, PAREN_ITEM) & (opens | goes_on), F.regexp_replace(line.text, PAREN_ITEM, "$1$2.$3$4")).otherwise(line.text)
 
-    return _by_line(text, rule)
+    return _by_line(text, r"(?mU)^\s*\d{1,9}\\?\)\s", rule)
 
 
 def hashtags(text: Column) -> Column:
     """A run of # at the start of a line, right before other text, is escaped: it is no heading."""
-    return _by_line(text, lambda rows, mask, line, i: F.regexp_replace(line, r"(?U)^(#+)(?=[^#\s])", r"\\$1"))
+    return _by_line(text, r"(?mU)^#+[^#\s]", lambda line: F.regexp_replace(line.text, r"(?U)^(#+)(?=[^#\s])", r"\\$1"))
 
 
 def blank_before_blocks(text: Column) -> Column:
     """A list or table that follows other text gets an empty line before it."""
-    rows = lines(text)
-    mask = fence_mask(rows)
     block = lambda x: _is(x, LIST_ITEM) | _is(x, TABLE_ROW)
 
-    def one(line: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(rows, F.greatest(i - 1, F.lit(0)))).otherwise("")
-        new = ~F.get(mask, i) & block(line) & ~_is(before, r"(?U)^\s*$") & ~block(before)
-        return F.when(new, F.array(F.lit(""), line)).otherwise(F.array(line))
+    def rule(line: Line) -> Column:
+        new = block(line.text) & ~line.first & ~_is(line.before, r"(?U)^\s*$") & ~block(line.before)
+        return F.when(new, F.concat(F.lit("\n"), line.text)).otherwise(line.text)
 
-    return joined(F.flatten(F.transform(rows, one)))
+    return _by_line(text, r"(?mU)^\s*(?:[-*+]\s|\d+\.\s|\|)", rule)
 
 
 def safe_symbols(text: Column) -> Column:
-    """Symbols become plain text, with a blank where a letter or digit follows."""
-    for plain, symbols in SYMBOLS.items():
-        found = f"(?:{'|'.join(symbols.split())})[︎️]?"
-        safe = plain.replace("$", r"\$")
-        text = F.regexp_replace(F.regexp_replace(text, found + r"(?=[\p{L}\p{N}])", safe + " "), found, safe)
-    return text
+    """Symbols become plain text, with a blank where a letter or digit follows.
+
+    Symbols are first put together by their replacement, each as one private character, so that two patterns serve them all. A text that
+    holds such characters itself, or no symbol, does not go that way.
+    """
+    classes = {chr(0xE000 + k): (plain, found.split()) for k, (plain, found) in enumerate(SYMBOLS.items())}
+    marks = "[\\x{E000}-\\x{" + f"{0xE000 + len(classes) - 1:X}" + "}]"
+    put = F.translate(text, "".join(x for _, found in classes.values() for x in found), "".join(mark for mark, (_, found) in classes.items() for _ in found))
+    put = F.regexp_replace(F.regexp_replace(put, rf"({marks})[︎️]?(?=[\p{{L}}\p{{N}}])", "$1 "), f"({marks})[︎️]", "$1")
+    one_by_one = text
+    for mark, (plain, found) in classes.items():
+        put = F.replace(put, F.lit(mark), F.lit(plain))
+        pattern, safe = f"(?:{'|'.join(found)})[︎️]?", plain.replace("$", r"\$")
+        one_by_one = F.regexp_replace(F.regexp_replace(one_by_one, pattern + r"(?=[\p{L}\p{N}])", safe + " "), pattern, safe)
+    some = f"[{''.join(x for _, found in classes.values() for x in found)}]"
+    return F.when(~text.rlike(some), text).when(text.rlike(marks), one_by_one).otherwise(put)
 
 
 def emoji(text: Column) -> Column:

@@ -103,3 +103,24 @@ def test_sources_and_publishers(spark):
     domains = spark.createDataFrame([("gov.uk", "Government"), ("stats.gov.uk", "Statistics")], "domain string, publisher string")
     pages = spark.createDataFrame([("https://www.stats.gov.uk/a",), ("https://notgov.uk",), ("https://x.gov.uk",)], "url string")
     assert {r.url: r.publisher for r in urls.publishers(pages, domains).collect()} == {"https://www.stats.gov.uk/a": "Statistics", "https://notgov.uk": "notgov.uk", "https://x.gov.uk": "Government"}
+
+
+def test_twenty_thousand_fenced_lines_take_seconds(spark):
+    import time
+
+    lines = []
+    for k in range(4000):
+        lines += ["#tag", "1) item", "**A:** x", "```" if k % 3 == 0 else "text", "- list"]
+    source = "\n".join(lines)
+    docs = spark.createDataFrame([(source,)], "t string").cache()
+    docs.count()
+    for rule in (text.hashtags, text.paren_lists, text.metadata_breaks, text.blank_before_blocks, text.export_timestamps):
+        began = time.time()
+        docs.select(F.length(rule(F.col("t")))).collect()
+        assert time.time() - began < 5, rule
+
+
+def test_mask_of_fences(spark):
+    rows = ["a", "```", "b", "```", "c", "  ```x", "d"]
+    got = spark.createDataFrame([(rows,), (["a"],), (["```"],), ([""],)], "r array<string>").select(text.fence_mask(F.col("r")).alias("m")).collect()
+    assert [r.m for r in got] == [[False, True, True, True, False, True, True], [False], [True], [False]]
