@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,29 +10,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Hosts of over one in so many rows are hot.
+HOT_SHARE = 1000
 # Query parameters that only track clicks.
 TRACKING = ("gclid", "fbclid", "msclkid", "mc_cid", "mc_eid")
 
 
-def _key(url: str | None) -> str | None:
-    if url is None:
-        return None
-    parts = urlsplit(url.strip())
-    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING]
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), parts.path, urlencode(kept), ""))
+#: Scheme, host with its slashes, path, and query of a URL; the fragment is left out.
+WHOLE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?"
+#: A query that is as it would be written anew: no escape, and one = a parameter at most.
+SIMPLE_QUERY = r"^(?:[A-Za-z0-9_.~-]*(?:=[A-Za-z0-9_.~-]*)?(?:&|$))*$"
 
 
 @F.pandas_udf(T.StringType())
-def _key_udf(urls: pd.Series) -> pd.Series:
-    return urls.map(_key)
+def _decoded_query(queries: pd.Series) -> pd.Series:
+    """Queries with escapes, parted and written anew; parameters stay in order, blank ones too."""
+    return queries.map(lambda q: None if q is None else urlencode(parse_qsl(q, keep_blank_values=True)))
 
 
 def normalised(url: Column) -> Column:
-    """A match key: scheme and host in lower case, no fragment, no tracking parameters. Only URLs with a query or an escape need Python."""
-    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
-    head = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0)
-    simple = url.rlike(r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]+(/[^?#\s]*)?(#\S*)?\s*$")
-    return F.when(simple, F.concat(F.lower(head), F.substr(bare, F.length(head) + 1))).otherwise(_key_udf(F.when(simple, F.lit(None)).otherwise(url)))
+    """A match key: scheme and host in lower case, no fragment, no tracking parameters. Only a query with escapes needs Python."""
+    part = lambda k: F.regexp_extract(F.trim(url), WHOLE, k)
+    query = part(4)
+    simple = query.rlike(SIMPLE_QUERY)
+    plain = F.coalesce(F.when(simple, query), _decoded_query(F.when(~simple, query)))
+    own = F.filter(F.split(plain, "&"), lambda p: (p != "") & ~_tracks(F.lower(F.substring_index(p, "=", 1))))
+    kept = F.array_join(F.transform(own, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    return F.concat(F.lower(part(1)), F.lower(part(2)), part(3), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+
+
+def _tracks(name: Column) -> Column:
+    return name.startswith("utm_") | name.isin(*TRACKING)
 
 
 def host(url: Column) -> Column:
@@ -60,11 +68,22 @@ def publishers(urls: DataFrame, domains: DataFrame, url_col: str = "url") -> Dat
 
     The host is cut into its suffixes, so it meets the domains in an equi-join whatever their number.
     """
-    labels = F.split(host(F.col(url_col)), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    hosts = urls.select(host(F.col(url_col)).alias("h"), F.explode(suffixes).alias("suffix")).distinct()
-    best = hosts.join(domains.select(F.col("domain").alias("suffix"), "publisher"), "suffix").groupBy("h").agg(F.max_by("publisher", F.length("suffix")).alias("publisher"))
-    return urls.withColumn("h", host(F.col(url_col))).join(best, "h", "left").withColumn("publisher", F.coalesce("publisher", site(F.col(url_col)))).drop("h")
+    known = domains.select(F.col("domain").alias("suffix"), "publisher")
+    hosts = urls.select(host(F.col(url_col)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    best = hosts.select("h", "n", F.explode(suffixes_of(F.col("h"))).alias("suffix")).join(known, "suffix").groupBy("h", "n").agg(F.max_by("publisher", F.length("suffix")).alias("found"))
+    named = urls.withColumn("h", host(F.col(url_col)))
+    # hosts of over a thousandth of all rows, under a thousand of them, are broadcast: no task gets all rows of a hot host
+    hot = best.join(hosts.agg((F.sum("n") / HOT_SHARE).alias("least")), F.lit(True)).where("n > least").select(F.col("h").alias("of"), F.col("found").alias("hot"), F.lit(True).alias("is_hot"))
+    first = named.join(F.broadcast(hot), F.col("h") == F.col("of"), "left").drop("of")
+    rest = first.where("is_hot IS NULL").join(best.select(F.col("h").alias("of"), "found"), F.col("h") == F.col("of"), "left")
+    done = first.where("is_hot").select(*urls.columns, F.col("hot").alias("publisher")).unionByName(rest.select(*urls.columns, F.col("found").alias("publisher")))
+    return done.withColumn("publisher", F.coalesce("publisher", site(F.col(url_col))))
+
+
+def suffixes_of(name: Column) -> Column:
+    """A host and what is left of it after each of its dots."""
+    labels = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
 
 
 def validated_sources(selected: DataFrame, known: DataFrame, by: list[str], cap: int = 3) -> DataFrame:

@@ -9,18 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ID = r"([A-Za-z_][\w-]*)"
-SHAPE = r"\s*(\[[^\[\]]*\]|\{[^{}]*\}|\(\([^()]*\)\)|\([^()]*\))?"
-NODE = re.compile(ID + SHAPE + r"\s*$")
-#: The forms of an edge, tried in order: text inside the arrow, text inside a dotted arrow, plain with an optional |text|.
-EDGES = (
-    (re.compile(ID + SHAPE + r"\s*(?:--|==)\s+(?P<label>.+?)\s+(?P<arrow>-->|==>)\s*" + ID + SHAPE + r"\s*$")),
-    (re.compile(ID + SHAPE + r"\s*(?P<arrow>-\.)\s*(?P<label>[^.]*?)\s*\.->\s*" + ID + SHAPE + r"\s*$")),
-    (re.compile(ID + SHAPE + r"\s*(?P<arrow><-->|<==>|-\.->|-->|==>)\s*(?:\|(?P<label>[^|]*)\|\s*)?" + ID + SHAPE + r"\s*$")),
-)
-HEADER = re.compile(r"(?:flowchart|graph)\s+(TB|TD|BT|RL|LR)\b", re.I)
-SUBGRAPH = re.compile(r'subgraph\s+(?:[A-Za-z_][\w-]*\s*\[(?P<a>[^\]]*)\]|"(?P<b>[^"]*)"|(?P<c>.+?))\s*$', re.I)
-SKIPPED = ("classdef", "class ", "style ", "click ", "%%", "linkstyle", "direction ")
+# Brackets of a node by its shape, arrows by their style, openings of lines that draw nothing.
+SHAPES = {"((": ("))", "circle"), "[": ("]", "box"), "{": ("}", "diamond"), "(": (")", "round")}
+ARROWS = {"<-->": "solid", "<==>": "solid", "-.->": "dashed", "-->": "solid", "==>": "solid"}
+SILENT_LINES = ("classdef", "class ", "style ", "click ", "%%", "linkstyle", "direction ")
+DIRECTIONS = ("TB", "TD", "BT", "RL", "LR")
+NAME = re.compile(r"[A-Za-z_][\w-]*?(?=\s*(?:$|[\[({]|<?--|<?==|-\.))|[A-Za-z_][\w-]*")
 TRANSITION = re.compile(r"(\[\*\]|[\w.-]+)\s*-->\s*(\[\*\]|[\w.-]+)\s*(?::\s*(.*))?$")
 ALIAS = re.compile(r'state\s+"([^"]*)"\s+as\s+([\w.-]+)\s*$', re.I)
 PARTICIPANT = re.compile(r"(?:participant|actor)\s+([\w.-]+)(?:\s+as\s+(.+))?$", re.I)
@@ -38,64 +32,113 @@ def _label(text: str | None) -> str | None:
     return text or None
 
 
-def _shape(token: str | None) -> tuple[str | None, str | None]:
-    if not token:
-        return None, None
-    if token.startswith("(("):
-        return "circle", _label(token[2:-2])
-    return {"[": "box", "{": "diamond", "(": "round"}[token[0]], _label(token[1:-1])
+class Reader:
+    """A line of a flowchart read from left to right: each method takes what it names off the front, or gives None and leaves the line."""
+
+    def __init__(self, line: str) -> None:
+        self.left = line.strip()
+
+    def _take(self, n: int) -> str:
+        taken, self.left = self.left[:n], self.left[n:].lstrip()
+        return taken
+
+    def node(self) -> tuple[str, str | None, str | None] | None:
+        """(name, shape, label)"""
+        if (m := NAME.match(self.left)) is None:
+            return None
+        name = self._take(m.end())
+        opening = next((o for o in SHAPES if self.left.startswith(o)), None)
+        if opening is None:
+            return name, None, None
+        closing, shape = SHAPES[opening]
+        end = self.left.find(closing, len(opening))
+        inner = self.left[len(opening) : end]
+        if end < 0 or any(c in inner for c in opening[0] + closing[0]):
+            return name, None, None
+        self._take(end + len(closing))
+        return name, shape, _label(inner)
+
+    def arrow(self) -> tuple[str, bool, str | None] | None:
+        """(style, both ways, label): the label between bars behind the arrow, or within it."""
+        plain = next((a for a in ARROWS if self.left.startswith(a)), None)
+        if plain is not None:
+            self._take(len(plain))
+            bar = self.left.find("|", 1) if self.left.startswith("|") else -1
+            return ARROWS[plain], plain[0] == "<", _label(self._take(bar + 1)[1:-1]) if bar > 0 else None
+        if self.left.startswith("-."):
+            end = self.left.find(".->", 2)
+            return None if end < 0 or "." in self.left[2:end] else ("dashed", False, _label(self._take(end + 3)[2:-3]))
+        if self.left.startswith(("-- ", "== ")):
+            ends = [k for k in (self.left.find(f" {a}", 3) for a in ("-->", "==>")) if k > 0]
+            return ("solid", False, _label(self._take(min(ends) + 4)[2:-3])) if ends else None
+        return None
+
+
+def _group(line: str) -> str | None:
+    """The title of a subgraph line: in brackets behind its name, in quotes, or the rest of it."""
+    word, _, rest = line.partition(" ")
+    if word.lower() != "subgraph" or not rest.strip():
+        return None
+    rest = rest.strip()
+    name, bracket, inner = rest.partition("[")
+    return (_label(inner[:-1]) if bracket and rest.endswith("]") and NAME.fullmatch(name.strip()) else _label(rest)) or ""
 
 
 def flowchart(source: str) -> list[dict] | None:
     """Rows (kind, src, dst, label, style, bidirectional) of a flowchart: its direction, nodes in order, edges, and lines not understood; None for anything else."""
     lines = [s for x in source.splitlines() if (s := x.strip())]
-    if not lines or not (m := HEADER.match(lines[0])):
+    head = lines[0].split() if lines else []
+    if len(head) < 2 or head[0].lower() not in ("flowchart", "graph") or head[1].rstrip(";").upper() not in DIRECTIONS:
         return None
     nodes: dict[str, dict] = {}
     edges, unknown, path = [], [], []
+    row = lambda kind, src, dst=None, label=None, style=None, both=None: {"kind": kind, "src": src, "dst": dst, "label": label, "style": style, "bidirectional": both}
 
-    def see(name: str, token: str | None) -> None:
-        node = nodes.setdefault(name, {"kind": "node", "src": name, "dst": "/".join(path) or None, "label": None, "style": None, "bidirectional": None})
-        if token:
-            node["style"], node["label"] = _shape(token)
+    def see(name: str, shape: str | None, label: str | None) -> None:
+        node = nodes.setdefault(name, row("node", name, "/".join(path) or None))
+        if shape:
+            node["style"], node["label"] = shape, label
 
     for line in lines[1:]:
-        low = line.lower()
-        if low.startswith(SKIPPED):
+        if line.lower().startswith(SILENT_LINES):
             continue
-        if s := SUBGRAPH.match(line):
-            path.append(_label(s["a"] or s["b"] or s["c"]) or "")
-        elif low == "end":
+        if (title := _group(line)) is not None:
+            path.append(title)
+            continue
+        if line.lower() == "end":
             del path[-1:]
-        elif e := next((e for form in EDGES if (e := form.match(line))), None):
-            ends = [g for k, g in enumerate(e.groups(), 1) if k not in (form_group(e, "label"), form_group(e, "arrow"))]
-            see(ends[0], ends[1])
-            see(ends[2], ends[3])
-            arrow = e["arrow"]
-            edges.append({"kind": "edge", "src": ends[0], "dst": ends[2], "label": _label(e["label"]), "style": "dashed" if arrow.startswith("-.") else "solid", "bidirectional": arrow[0] == "<"})
-        elif n := NODE.match(line):
-            see(n[1], n[2])
-        else:
-            unknown.append({"kind": "unparsed", "src": line, "dst": None, "label": None, "style": None, "bidirectional": None})
+            continue
+        reader = Reader(line)
+        first = reader.node()
+        arrow = reader.arrow() if first and reader.left else None
+        second = reader.node() if arrow else None
+        if first is None or reader.left or arrow and second is None:
+            unknown.append(row("unparsed", line))
+            continue
+        see(*first)
+        if arrow:
+            see(*second)
+            style, both, label = arrow
+            edges.append(row("edge", first[0], second[0], label, style, both))
     if not nodes:
         return None
-    top = m[1].upper()
-    return [{"kind": "direction", "src": "TB" if top == "TD" else top, "dst": None, "label": None, "style": None, "bidirectional": None}, *nodes.values(), *edges, *unknown]
-
-
-def form_group(match: re.Match, name: str) -> int:
-    return match.re.groupindex.get(name, 0)
+    top = head[1].rstrip(";").upper()
+    return [row("direction", "TB" if top == "TD" else top), *nodes.values(), *edges, *unknown]
 
 
 def state_diagram(source: str) -> list[dict] | None:
-    """As flowchart(), of a state diagram; every [*] is a state of its own."""
+    """As flowchart(), of a state diagram, with its direction where it states one; every [*] is a state of its own."""
     lines = [s for x in source.splitlines() if (s := x.strip().rstrip(";"))]
     if not lines or not lines[0].lower().startswith("statediagram"):
         return None
     labels: dict[str, str | None] = {}
-    edges, pseudo = [], 0
+    edges, pseudo, top = [], 0, []
     for line in lines[1:]:
-        if a := ALIAS.match(line):
+        word, _, way = line.partition(" ")
+        if word.lower() == "direction" and way.strip().upper() in DIRECTIONS:
+            way = way.strip().upper()
+            top = [{"kind": "direction", "src": "TB" if way == "TD" else way, "dst": None, "label": None, "style": None, "bidirectional": None}]
+        elif a := ALIAS.match(line):
             labels[a[2]] = a[1]
         elif t := TRANSITION.match(line):
             ends = []
@@ -106,7 +149,7 @@ def state_diagram(source: str) -> list[dict] | None:
                 ends.append(token)
             edges.append({"kind": "edge", "src": ends[0], "dst": ends[1], "label": _label(t[3]), "style": "solid", "bidirectional": False})
     nodes = [{"kind": "node", "src": k, "dst": None, "label": v, "style": "pseudo" if k.startswith("[*]") else "state", "bidirectional": None} for k, v in labels.items()]
-    return [*nodes, *edges] or None
+    return [*top, *nodes, *edges] if nodes else None
 
 
 def sequence_diagram(source: str) -> list[dict] | None:
@@ -128,34 +171,43 @@ def sequence_diagram(source: str) -> list[dict] | None:
     return [*({"kind": "node", "src": k, "dst": None, "label": v, "style": "participant", "bidirectional": None} for k, v in people.items()), *sent]
 
 
+QUOTED_ID = re.compile(r'\bid\s*:\s*"([^"]*)"')
+
+
 def git_graph(source: str) -> list[dict] | None:
-    """As flowchart(), of a git graph: a node per commit, numbered over all branches, edges to its parents; the merge of a branch without commits is skipped."""
-    lines = [s for x in source.splitlines() if (s := x.strip())]
+    """As flowchart(), of a git graph: a node per commit, numbered over all branches, edges to its parents.
+
+    A new branch has no commit of its own, so merging it as it is does nothing; its first commit hangs from where it left its parent.
+    Declaring a branch again only goes to it. Of a line's options the id alone names a node.
+    """
+    lines = [s for x in source.splitlines() if (s := x.strip().rstrip(";"))]
     if not lines or not lines[0].lower().startswith("gitgraph"):
         return None
-    heads: dict[str, str | None] = {"main": None}
+    own: dict[str, list[str]] = {"main": []}  # a branch's commits
+    start: dict[str, str | None] = {"main": None}  # the commit that it left from
     at, nodes, edges = "main", [], []
 
-    def commit(label: str | None, *parents: str | None) -> None:
-        name = f"c{len(nodes)}"
+    def commit(label: str | None, merged: str | None = None) -> None:
+        name, before = f"c{len(nodes)}", own[at][-1] if own[at] else start[at]
         nodes.append({"kind": "node", "src": name, "dst": at, "label": label, "style": "commit", "bidirectional": None})
-        edges.extend({"kind": "edge", "src": p, "dst": name, "label": None, "style": "solid", "bidirectional": False} for p in parents if p)
-        heads[at] = name
+        edges.extend({"kind": "edge", "src": p, "dst": name, "label": None, "style": "solid", "bidirectional": False} for p in (before, merged) if p)
+        own[at].append(name)
 
     for line in lines[1:]:
         word, _, rest = line.partition(" ")
-        name = rest.split()[0] if rest.split() else ""
-        tag = re.search(r'(?:id|tag)\s*:\s*"([^"]*)"', rest)
+        name = (rest.split() or [""])[0]
+        label = m[1] if (m := QUOTED_ID.search(rest)) else None
         if word == "commit":
-            commit(tag and tag[1], heads[at])
+            commit(label)
         elif word == "branch" and name:
-            heads[name] = heads[at]
+            if name not in own:
+                own[name], start[name] = [], own[at][-1] if own[at] else start[at]
             at = name
-        elif word in ("checkout", "switch") and name in heads:
+        elif word in ("checkout", "switch") and name in own:
             at = name
-        elif word == "merge" and heads.get(name):
-            commit(tag[1] if tag else f"merge {name}", heads[at], heads[name])
-    return [*nodes, *edges] or None
+        elif word == "merge" and own.get(name):
+            commit(label or f"merge {name}", own[name][-1])
+    return [*nodes, *edges] if nodes else None
 
 
 PARSERS = (flowchart, state_diagram, sequence_diagram, git_graph)
@@ -177,16 +229,15 @@ def depths(edges: DataFrame, by: str = "graph_id") -> DataFrame:
     edges = edges.select(by, "src", "dst").distinct()
     nodes = edges.select(by, F.explode(F.array("src", "dst")).alias("node")).distinct()
     sizes = nodes.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    length, k = cut(nodes.join(sizes, by).withColumn("depth", F.lit(1))), 0
+    length = cut(nodes.join(sizes, by).withColumn("depth", F.lit(1)).withColumn("grown", F.lit(True)))
     while True:
-        k += 1
-        step = length.select(by, F.col("node").alias("src"), (F.col("depth") + 1).alias("next"))
+        # only nodes that have grown can make others grow
+        step = length.where("grown").select(by, F.col("node").alias("src"), (F.col("depth") + 1).alias("next"))
         longer = edges.join(step, [by, "src"]).groupBy(by, F.col("dst").alias("node")).agg(F.max("next").alias("next"))
-        grown = length.join(longer, [by, "node"], "left").where(F.col("depth") <= F.col("n"))
-        new = cut(length.join(longer, [by, "node"], "left").select(by, "node", "n", F.when(F.col("depth") <= F.col("n"), F.greatest("depth", F.coalesce("next", "depth"))).otherwise(F.col("depth")).alias("depth")))
-        if grown.where("next > depth").isEmpty():
+        grows = F.coalesce((F.col("next") > F.col("depth")) & (F.col("depth") <= F.col("n")), F.lit(False))
+        length = cut(length.drop("grown").join(longer, [by, "node"], "left").select(by, "node", "n", F.when(grows, F.col("next")).otherwise(F.col("depth")).alias("depth"), grows.alias("grown")))
+        if length.where("grown").isEmpty():
             break
-        length = new
     found = length.groupBy(by, "n").agg(F.max("depth").alias("depth"))
     return found.select(by, F.when(F.col("depth") <= F.col("n"), F.col("depth")).alias("depth"))
 
