@@ -75,8 +75,8 @@ def next_delivery(items: DataFrame, state: DataFrame, max_sends: int = MAX_SENDS
 
 def seeded(items: DataFrame, state: DataFrame, leave: int, at: Column) -> DataFrame:
     """The state after all but the newest ``leave`` items are marked; those there already keep their mark."""
-    rank = F.row_number().over(Window.orderBy(F.desc("pub_date"), "feed_pos"))
-    marked = items.withColumn("rank", rank).where(F.col("rank") > leave).select("guid", F.lit("seeded").alias("how"), at.alias("at"))
+    left = newest(items, leave).select("guid")  # a top-k: no order over all items
+    marked = items.join(left, "guid", "left_anti").select("guid", F.lit("seeded").alias("how"), at.alias("at"))
     return state.unionByName(marked.join(state.select("guid"), "guid", "left_anti"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder with the driver")
         own = tempfile.mkdtemp(prefix="inkwell-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(own)

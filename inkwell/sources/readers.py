@@ -34,6 +34,107 @@ def media_type(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
+def fetched(pages: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
+    """Landed fetches (url, status, content) with ``error``: an HTTP status, a body over the cap, or none. Rows are never dropped."""
+    bad = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(F.col("content").isNull(), "no body").when(F.octet_length("content") > cap, "too large")
+    return pages.withColumn("error", bad).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+
+
+def best_attempts(attempts: DataFrame, by: list[str], what: Column) -> DataFrame:
+    """(by, content, error) of landed attempts (by, attempt, content, kind, code): the first that succeeded, else the class and number of the last error, never its message."""
+    order = F.struct(F.col("content").isNull(), F.when(F.col("content").isNull(), -F.col("attempt")).otherwise(F.col("attempt")))
+    best = attempts.groupBy(*by).agg(F.min_by(F.struct("content", "kind", "code"), order).alias("a"))
+    failed = F.concat(what, F.lit(": "), F.concat_ws(" ", F.col("a.kind"), F.col("a.code").cast("string")))
+    return best.select(*by, F.col("a.content").alias("content"), F.when(F.col("a.content").isNull(), failed).alias("error"))
+
+
+# Bytes that image files begin with.
+MAGIC = {"image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "474946383961", "image/gif ": "474946383761", "image/bmp": "424D"}
+
+
+def image_of(url: Column, status: Column, content_type: Column, content: Column, alt: Column, failure: Column, cap: int = MAX_BYTES) -> Column:
+    """struct(media_type, reason, placeholder) of a fetched image: what it is by its bytes, or why it cannot be shown and the text in its place.
+
+    ``failure`` is timeout, connection error or fetch error where nothing came; a body that is named an image and is none is corrupt.
+    """
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    vector = (kind == "image/svg+xml") | (F.lower(F.substring_index(url, "?", 1)).endswith(".svg") & kind.isin("text/xml", "application/xml", "image/svg+xml"))
+    begins = lambda hexed: F.hex(F.substring(content, 1, len(hexed) // 2)) == hexed
+    raster = F.when((F.hex(F.substring(content, 1, 4)) == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250"), "image/webp")
+    for name, hexed in MAGIC.items():
+        raster = raster.when(begins(hexed), name.strip())
+    drawn = F.contains(F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1")), F.lit("<svg"))
+    reason = F.when(failure.isNotNull(), failure).when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))).when((kind != "") & ~kind.startswith("image/") & ~vector, "not an image").when(F.octet_length(content) > cap, "too large").when(vector & ~drawn, "not an image").when(~vector & raster.isNull(), "corrupt image data")
+    shown = F.when(reason.isNull(), F.when(vector, "image/svg+xml").otherwise(raster))
+    place = F.when(reason.isNotNull(), F.concat(F.lit("[Image could not be loaded: "), F.left(F.coalesce(F.nullif(F.trim(alt), F.lit("")), url), F.lit(60)), F.lit("]")))
+    return F.struct(shown.alias("media_type"), reason.alias("reason"), place.alias("placeholder"))
+
+
+def image_document(path: Column) -> Column:
+    """An image file as a document of its own: a paragraph with the image, its name as the text in its place."""
+    quoted = lambda x: F.replace(escaped_text(x), F.lit('"'), F.lit("&quot;"))
+    return F.concat(F.lit('<p><img src="'), quoted(path), F.lit('" alt="'), quoted(F.replace(stem(path), F.lit("_"), F.lit(" "))), F.lit('"/></p>'))
+
+
+def escaped_text(x: Column) -> Column:
+    from inkwell.functions.text import escaped
+
+    return escaped(x)
+
+
+# Extensions of pasted inputs by their format.
+PASTED = {"md": ".md", "html": ".html", "txt": ".txt"}
+
+
+def pasted_name(title: Column, fmt: Column, at: Column) -> Column:
+    """The file name of a pasted input: its title's slug, else ``pasted``, and the time."""
+    from inkwell.functions.text import page_slug
+
+    ending = F.create_map(*[F.lit(x) for pair in PASTED.items() for x in pair])[fmt]
+    return F.concat(F.coalesce(page_slug(title, None), F.lit("pasted")), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), ending)
+
+
+def fetched_name(title: Column, url: Column, date: Column, at: Column) -> Column:
+    """The file name of a fetched page: ``url_``, the slug of its title, else of its URL, its own date where it has one, and the time."""
+    from inkwell.functions.text import page_slug
+
+    bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return F.concat(F.lit("url_"), F.coalesce(page_slug(title, None), page_slug(bare)), F.lit("_"), F.coalesce(F.concat(date, F.lit("_")), F.lit("")), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".html"))
+
+
+def fetched_document(title: Column, url: Column, article: Column) -> Column:
+    """A fetched article as an HTML file of its own."""
+    named = escaped_text(F.coalesce(title, url))
+    return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), named, F.lit("</title></head>\n<body>\n"), article, F.lit("\n</body></html>"))
+
+
+def elements_html(kind: Column, level: Column, text: Column, rows: Column) -> Column:
+    """An element of a paginated document as HTML: a heading, h4 at the lowest, a paragraph, or a table of rows of cells; a null cell is empty."""
+    tag = F.concat(F.lit("h"), F.least(level, F.lit(4)).cast("string"))
+    cells = lambda r: F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), escaped_text(F.coalesce(c, F.lit(""))), F.lit("</td>"))), "")
+    table = F.when(F.size(rows) > 0, F.concat(F.lit("<table><tbody>"), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr>"), cells(r), F.lit("</tr>"))), ""), F.lit("</tbody></table>"))).otherwise("")
+    heading = F.concat(F.lit("<"), tag, F.lit(">"), escaped_text(text), F.lit("</"), tag, F.lit(">"))
+    return F.when(kind == "heading", heading).when(kind == "para", F.concat(F.lit("<p>"), F.replace(escaped_text(text), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))).otherwise(table)
+
+
+def summaries(pages: DataFrame) -> DataFrame:
+    """(key, title, extract, url, error) of landed encyclopedia summaries (key, json): one that only tells terms apart, or has no text, is an error."""
+    x = F.from_json("json", "type string, title string, titles struct<normalized:string>, extract string, content_urls struct<desktop:struct<page:string>>")
+    found = pages.select("key", x.alias("s")).withColumn("extract", F.trim("s.extract"))
+    error = F.when(F.col("s").isNull() | (F.coalesce("s.type", F.lit("")) == "disambiguation") | (F.coalesce("extract", F.lit("")) == ""), "no usable extract")
+    good = lambda c: F.when(error.isNull(), c)
+    return found.select("key", good(F.coalesce("s.titles.normalized", "s.title")).alias("title"), good(F.col("extract")).alias("extract"), good(F.col("s.content_urls.desktop.page")).alias("url"), error.alias("error"))
+
+
+def leads(found: DataFrame, pages: DataFrame, cap: int = 600) -> DataFrame:
+    """summaries() with the extract widened to a landed lead section (key, lead), ``cap`` words at most; ``note`` says where the summary's own paragraph had to do."""
+    from inkwell.functions.text import first_words
+
+    both = found.join(pages.select("key", F.nullif(F.trim("lead"), F.lit("")).alias("lead")), "key", "left")
+    usable = F.col("error").isNull() & F.col("lead").isNotNull()
+    return both.select("key", "title", F.when(usable, first_words(F.col("lead"), cap)).otherwise(F.col("extract")).alias("extract"), "url", "error", F.when(F.col("error").isNull() & F.col("lead").isNull(), "full lead unavailable; used the summary paragraph only").alias("note"))
+
+
 def is_png(content: Column) -> Column:
     return F.substring(content, 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))
 
@@ -77,12 +178,20 @@ def imf(pages: DataFrame, last_year: int) -> DataFrame:
     return a.select("indicator", "entity", F.col("year").cast("int").alias("year"), "value").where((F.col("year") <= last_year) & F.col("value").isNotNull())
 
 
-def who(pages: DataFrame, last_year: int) -> DataFrame:
-    """(entity, year, value) of landed ``{value: [...]}`` pages; a second row for an entity and year is an error."""
+def who(pages: DataFrame, last_year: int, entities: list[str] | None = None, pinned: dict[str, str] | None = None) -> DataFrame:
+    """(entity, year, value) of landed ``{value: [...]}`` pages, of the given entities and pinned dimensions (sex, age group) alone; a second row for an entity
+    and year means that the dimensions do not say which, and is an error."""
     from inkwell.operators.series import unambiguous
 
-    rows = F.from_json(F.get_json_object("json", "$.value"), "array<struct<SpatialDim:string,TimeDim:int,NumericValue:double>>")
-    x = pages.select(F.explode(rows).alias("r")).select(F.col("r.SpatialDim").alias("entity"), F.col("r.TimeDim").alias("year"), F.col("r.NumericValue").alias("value"), F.lit(1).alias("one"))
+    pinned = pinned or {}
+    fields = "".join(f",{d}:string" for d in pinned)
+    rows = F.from_json(F.get_json_object("json", "$.value"), f"array<struct<SpatialDim:string,TimeDim:int,NumericValue:double{fields}>>")
+    x = pages.select(F.explode(rows).alias("r")).select("r.*")
+    for d, value in pinned.items():
+        x = x.where(F.col(d) == value)
+    if entities is not None:
+        x = x.where(F.col("SpatialDim").isin(*entities))
+    x = x.select(F.col("SpatialDim").alias("entity"), F.col("TimeDim").alias("year"), F.col("NumericValue").alias("value"), F.lit(1).alias("one"))
     return unambiguous(x.where((F.col("year") <= last_year) & F.col("value").isNotNull()), ["one"]).drop("one")
 
 
@@ -102,11 +211,33 @@ def catalogue(spark: SparkSession, path: str, field: str, schema: str) -> DataFr
     return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(f"`{field}` array<struct<{schema}>>").json(path).select(F.explode(field).alias("r")).select("r.*")
 
 
+def break_faults(breaks: DataFrame) -> DataFrame:
+    """Entries of a calendar (name, start, end) that cannot be: no name, no date, or an end before the start."""
+    return breaks.where((F.coalesce(F.trim("name"), F.lit("")) == "") | F.col("start").isNull() | F.col("end").isNull() | (F.col("start") > F.col("end")))
+
+
+def rota_faults(rota: DataFrame) -> DataFrame:
+    """Rows of a stewards' rota (date, team, note) that cannot be: a date given twice, both or neither of team and note, or a text that is empty, of several lines or marked up."""
+    from pyspark.sql.window import Window
+
+    plain = lambda c: F.col(c).isNull() | ((F.trim(c) != "") & ~F.col(c).rlike(r"(?i)[\r\n\[\]<>*_`|\\$#]|https?:|www\."))
+    counted = rota.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    wrong = F.array_compact(F.array(F.when(F.col("times") > 1, "duplicate"), F.when(F.col("team").isNull() == F.col("note").isNull(), "one of team and note"), F.when(~(plain("team") & plain("note")), "text")))
+    return counted.select("date", "team", "note", wrong.alias("faults")).where(F.size("faults") > 0)
+
+
+def state_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a state table whose pointer is there, that is which were written whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix("_current-")) for n in names if n.startswith("_current-"))
+
+
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state table, or an empty one where there is none yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """A state table's last whole version, or an empty table where there is none yet."""
+    versions = state_versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 # Spans of a paginated document: headings by size, tables by overlap
@@ -130,3 +261,23 @@ def table_of_block(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     height = F.greatest(F.lit(0.0), F.least("y1", "ty1") - F.greatest("y0", "ty0"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return both.where((area > 0) & (width * height > 0.5 * area)).groupBy("doc_id", "block").agg(F.min("table").alias("table"))
+
+
+def page_elements(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, page, y, kind, level, text, rows) of a paginated document in reading order: by page, then from top to bottom.
+
+    blocks: (doc_id, page, block, text, level, x0, y0, x1, y1); tables: (doc_id, page, table, rows, x0, y0, x1, y1). A block that a table covers over half of is that
+    table's text and is left out; the table stands where it begins.
+    """
+    inside = table_of_block(blocks, tables).select("doc_id", "block")
+    none = F.lit(None).cast("array<array<string>>")
+    kind = F.when(F.col("level").isNotNull(), "heading").otherwise("para")
+    texts = blocks.join(inside, ["doc_id", "block"], "left_anti").select("doc_id", "page", F.col("y0").alias("y"), kind.alias("kind"), "level", "text", none.alias("rows"))
+    grids = tables.select("doc_id", "page", F.col("y0").alias("y"), F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), "rows")
+    return texts.unionByName(grids)
+
+
+def pages_html(elements: DataFrame) -> DataFrame:
+    """(doc_id, html): a document's elements, in reading order, as HTML."""
+    piece = F.struct("page", "y", elements_html(F.col("kind"), F.col("level"), F.col("text"), F.col("rows")).alias("html"))
+    return elements.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["html"]), "").alias("html"))

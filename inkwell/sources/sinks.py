@@ -10,22 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSS = "body{font-family:serif;line-height:1.4}h1,h2,h3{font-family:sans-serif}pre{white-space:pre-wrap}.qa-label{font-weight:bold}"
-
-
-def write_texts(df: DataFrame, path: str) -> None:
-    df.select("slug", "text").write.mode("overwrite").partitionBy("slug").text(path)
+CSS = "\n".join(
+    (
+        "body{font-family:serif;line-height:1.4}",
+        "h1,h2,h3,h4{font-family:sans-serif;line-height:1.2;page-break-after:avoid}",
+        "h1{page-break-before:always}",
+        "pre,code{font-family:monospace}",
+        "pre{white-space:pre-wrap;border:1px solid #999;padding:.5em}",
+        "table{border-collapse:collapse;width:100%}",
+        "th,td{border:1px solid #999;padding:.2em .4em;vertical-align:top}",
+        "blockquote{margin:1em;padding-left:.6em;border-left:3px solid #999}",
+        "img.content-img{max-width:100%}",
+        ".subtitle{font-style:italic}",
+        ".qa-label{font-weight:bold}",
+        ".img-fallback{color:#555}",
+    )
+)
+
+
+def write_texts(df: DataFrame, path: str, folders: int = 256) -> None:
+    """Texts by their slug: JSON lines (slug, text) in at most ``folders`` folders by the slug's hash, so that many texts do not make as many folders."""
+    df.select("slug", "text", F.pmod(F.xxhash64("slug"), F.lit(folders)).alias("part")).repartition("part").write.mode("overwrite").partitionBy("part").json(path)
+
+
+def read_text(spark, path: str, slug: str, folders: int = 256) -> str | None:
+    """The text of a slug, from its folder alone."""
+    rows = spark.read.schema("slug string, text string, part long").json(path)
+    found = rows.where((F.col("part") == F.pmod(F.xxhash64(F.lit(slug)), F.lit(folders))) & (F.col("slug") == slug)).first()
+    return found and found.text
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    """Replaces a state table: the new one is written beside it first, then takes its place."""
+    """Replaces a state table. The new one is written as a version of its own under ``path``; then a pointer of its number is put down, which
+    readers follow. A crash at any moment leaves the version before in force. Versions before the last two are removed."""
+    from inkwell.sources.readers import state_versions
+
     spark = state.sparkSession
-    new, target = spark._jvm.org.apache.hadoop.fs.Path(path + ".new"), spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    state.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(target, True)
-    if not fs.rename(new, target):
-        raise OSError(f"the state at {path} could not be replaced")
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at("x").getFileSystem(hadoop)
+    number = max(state_versions(spark, path), default=0) + 1
+    state.write.mode("overwrite").parquet(f"{path}/version={number}")
+    fs.create(at(f"_current-{number}"), True).close()  # an empty file: it is there or it is not
+    for old in state_versions(spark, path):
+        if old < number - 1:
+            fs.delete(at(f"_current-{old}"), False)
+            fs.delete(at(f"version={old}"), True)
 
 
 def epub(title: str, author: str, chapters: list[tuple[str, str]], images: list[tuple[str, str, bytes]] = ()) -> bytes:
@@ -74,6 +104,11 @@ def error_text(kind: Column, code: Column) -> Column:
     return F.concat_ws(" ", kind, code.cast("string"))
 
 
+def math_height(px: Column, reference: Column, display: Column) -> Column:
+    """The height of a rendered expression in em: against a line's own height, 1 at least, 1.3 at most within a line and 6 on a line of its own."""
+    return F.least(F.greatest(F.lit(1.0), F.round(px / reference, 2)), F.when(display, F.lit(6.0)).otherwise(F.lit(1.3)))
+
+
 def image_scale(width: Column, height: Column, column: Column) -> Column:
     """The largest scale, 1 at most, at which an image fits the column and 7.3 inches at 96 dots an inch."""
     return F.least(F.lit(1.0), column / width, F.lit(7.3 * 96) / height)

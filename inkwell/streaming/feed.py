@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.operators.feed import MAX_SENDS, unseen
 from inkwell.sources.readers import state as read_state
+from inkwell.sources.sinks import write_state
 
 STATE = "guid string, how string, at timestamp"
 
@@ -19,14 +20,15 @@ def deliver(items: DataFrame, state_path: str, checkpoint: str, sink: Callable[[
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        new = unseen(rows.dropDuplicates(["guid"]), read_state(spark, state_path, STATE)).persist()
+        known = read_state(spark, state_path, STATE)
+        new = unseen(rows.dropDuplicates(["guid"]), known).persist()
         try:
             count = new.count()
             if max_sends is not None and count > max_sends:
                 raise ValueError(f"{count} unseen items exceed {max_sends}")
             if count:
                 sink(new.orderBy("pub_date"))
-                new.select("guid", F.lit("sent").alias("how"), F.current_timestamp().alias("at")).write.mode("append").parquet(state_path)
+                write_state(known.unionByName(new.select("guid", F.lit("sent").alias("how"), F.current_timestamp().alias("at"))), state_path)
         finally:
             new.unpersist()
 

@@ -137,14 +137,54 @@ def test_guards(spark):
     assert one(spark, guards.numbers(F.lit("From 2019-2026, -5 or 1,200.5 and 2 Million"))) == ["-5", "1200.5", "2 million", "2019", "2026"]
     assert one(spark, guards.quantities(F.lit("20°C, 3 per cent in 2020"))) == ["2020|", "20|°c", "3|%"]
     assert one(spark, guards.unsupplied(F.lit("20 knots"), F.lit("20°C"))) == ["20|"]
-    assert one(spark, guards.weather_contradictions(F.lit("Dry all day. No rain expected this morning."), F.lit(True))) == ["dry day"]
-    assert guards.labelled("a low of 3°c and a high of 13°c", "13°C", guards.HIGH, guards.LOW) and not guards.labelled("a low of 13°c", "13°C", guards.HIGH, guards.LOW)
     assert one(spark, guards.parsed_output(F.lit('{"a": "x", "b": 1}'), {"a": 5})).error == "unknown field"
     assert one(spark, guards.parsed_output(F.lit('{"a": "x"}'), {"a": 5})).value.a == "x"
     assert one(spark, guards.parsed_output(F.lit("nonsense"), {"a": 5})).error == "not an object"
     assert one(spark, guards.safe_notice(F.lit("Closed today\r\nUse buses"))) and not one(spark, guards.safe_notice(F.lit("x\n- y")))
 
 
+BLOCK = "SKY: grey\nHIGH: 20°C\nLOW: 12°C\npeak chance 80%"
+
+
+@pytest.mark.parametrize(
+    ("said", "day", "faults"),
+    [
+        ("Grey with rain likely this afternoon. A high of 20°C.", (True, False, False, True), []),
+        ("Grey and cold. A high of 20°C.", (True, False, False, True), ["no rain"]),
+        ("Dry all day with showers. Up to 20°C.", (True, False, False, True), ["dry day"]),
+        ("Rain later. No rain expected this morning; a high of 20°C.", (True, False, False, True), []),
+        ("Showers about. It won’t rain. Highs of 20°C.", (True, False, False, True), ["denial"]),
+        ("Rain this morning. A high of 20°C.", (True, True, True, True), ["heavy", "thunder"]),
+        ("Heavy thunderstorms. A high of 20°C.", (True, True, True, True), []),
+        ("Rain in the morning. A high of 20°C.", (True, False, False, False), ["certain"]),
+        ("Possibly rain in the morning. A high of 20°C.", (True, False, False, False), []),
+        ("Sunny. A high of 20°C.", (False, False, False, False), ["not dry"]),
+        ("Dry. Rain at noon. A high of 20°C.", (False, False, False, False), ["rain"]),
+        ("Dry with a low of 20°C.", (False, False, False, False), ["high"]),
+        ("Dry, a high of 20°C and 30 mm.", (False, False, False, False), ["quantity"]),
+        ("A low of 12°C, a high of 20°C, and rain is unlikely.", (False, False, False, False), []),
+    ],
+)
+def test_weather_faults(spark, said, day, faults):
+    assert one(spark, guards.weather_faults(F.lit(said), F.lit("20°C"), F.lit(BLOCK), *map(F.lit, day))) == faults
+
+
+def test_comparison_and_fact_faults(spark):
+    block, years = F.lit("A 5 (2020)\nB 4 (2019)\nRELATION: 1.2× the UK's"), F.array(F.lit(2020), F.lit(2019))
+    check = lambda t, r="1.2× the UK's": one(spark, guards.comparison_faults(F.lit(t), F.lit(r), years, block))
+    assert check("It is 1.2× The UK’s, more than in 2019 against 2020.") == []
+    assert check("It is 1.2× the UK's. In 2019 and 2020.") == ["sentences"] and check("In 2019 and 2020 it is higher.") == ["relation"]
+    assert check("1.2× the UK's in 2020") == ["years"] and check("1.2× the UK's, 2019, 2020 and 7") == ["number"] and check("  ", "") == ["empty", "years"]
+    fact = lambda t, r: one(spark, guards.fact_faults(F.lit(t), F.lit(r), F.lit(None).cast("array<int>"), block))
+    assert fact("It is higher.", "") == ["compares"] and fact("5 because of 4.", "") == ["cause"] and fact("It is 1.2× the UK's, higher.", "1.2× the UK's") == [] and fact("It is 9.", "") == ["quantity"]
+    label = lambda t, v: one(spark, guards.labelled(F.lit(t), F.lit(v), guards.HIGH, guards.LOW))
+    assert label("a low of 3°c and a high of 13°c", "13°C") and not label("a low of 13°c", "13°C") and not label("a high of 13°C", "3°C")
+    assert label("low of 20°C then a high of 20°C", "20°C") and not label("high " + "x" * 50 + " 20°C", "20°C")
+    lists = one(spark, guards.parsed_output(F.lit('{"a": ["x", "y"], "b": "z"}'), {"a": 5, "b": 5}, ("a",)))
+    assert lists.error is None and lists.value.a == ["x", "y"]
+    assert one(spark, guards.parsed_output(F.lit('{"a": 1}'), {"a": 5})).error == "a missing" and one(spark, guards.parsed_output(F.lit('{"a": ["see www.x.org"]}'), {"a": 5}, ("a",))).error == "a unsafe"
+
+
 def test_diagrams(spark):
     rows = diagrams.flowchart("flowchart TD\n subgraph one [Group]\n A[Start] -->|yes| B{Choice}\n end\n B -- no --> C\n B -. maybe .-> D((x))\n A <--> D\n ???\n style A fill:#fff")
     edges = [(r["src"], r["dst"], r["label"], r["style"], r["bidirectional"]) for r in rows if r["kind"] == "edge"]
@@ -154,6 +194,9 @@ def test_diagrams(spark):
     assert len([r for r in diagrams.state_diagram("stateDiagram-v2\n[*] --> A\nA --> [*] : done") if r["style"] == "pseudo"]) == 2
     assert [r["style"] for r in diagrams.sequence_diagram("sequenceDiagram\nA->>B: hi\nB-->>A: ho") if r["kind"] == "edge"] == ["solid", "dashed"]
     assert len([r for r in diagrams.git_graph("gitGraph\ncommit\nbranch x\ncommit\ncheckout main\nmerge x") if r["kind"] == "node"]) == 3
+    lone = diagrams.git_graph('gitGraph\ncommit tag: "v1"\nbranch dev\ncheckout main\ncommit id: "two"\nmerge dev\nbranch dev\ncommit\nbranch dev\ncommit')
+    assert [(r["src"], r["dst"], r["label"]) for r in lone if r["kind"] == "node"] == [("c0", "main", None), ("c1", "main", "two"), ("c2", "dev", None), ("c3", "dev", None)]
+    assert [(r["src"], r["dst"]) for r in lone if r["kind"] == "edge"] == [("c0", "c1"), ("c0", "c2"), ("c2", "c3")]
     assert diagrams.flowchart("pie") is None
     graph = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (2, "a", "b"), (2, "b", "a"), *[(3, "r", str(k)) for k in range(5)]], "graph_id int, src string, dst string")
     assert {r.graph_id: r.depth for r in diagrams.depths(graph).collect()} == {1: 3, 2: None, 3: 2}
@@ -239,3 +282,37 @@ def test_stream_delivers_once(spark, tmp_path):
     with pytest.raises(Exception, match="exceed"):
         run("c3", max_sends=1).awaitTermination()
     assert len(sent) == 3
+
+
+def test_state_survives_a_crash_between_its_versions(spark, tmp_path):
+    path = str(tmp_path / "state")
+    sinks.write_state(spark.createDataFrame([("a",)], "guid string"), path)
+    # a version whose pointer was never put down is not read
+    spark.createDataFrame([("x",)], "guid string").write.parquet(f"{path}/version=2")
+    assert [r.guid for r in readers.state(spark, path, "guid string").collect()] == ["a"]
+    for k in range(3):
+        sinks.write_state(spark.createDataFrame([(str(k),)], "guid string"), path)
+    assert [r.guid for r in readers.state(spark, path, "guid string").collect()] == ["2"]
+    assert len(readers.state_versions(spark, path)) == 2
+
+
+def test_pages_without_html_and_large_ones_stay(spark):
+    pages = spark.createDataFrame([(1, "u", "<h1>A</h1>"), (2, "u", None), (3, "u", "<p>" + "x " * 11_000_000 + "</p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.title, r.n) for r in html.articles(pages).select("page_id", "title", F.length("text").alias("n")).collect()}
+    assert got == {1: ("A", 1), 2: (None, 0), 3: (None, 21_999_999)}
+
+
+def test_texts_are_written_to_few_folders(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    sinks.write_texts(spark.createDataFrame([(f"s{k}", f"line\n{k}") for k in range(50)], "slug string, text string"), path, 8)
+    assert sinks.read_text(spark, path, "s7", 8) == "line\n7" and sinks.read_text(spark, path, "none", 8) is None
+    assert len([p for p in (tmp_path / "texts").iterdir() if p.name.startswith("part=")]) <= 8
+
+
+def test_hot_hosts(spark):
+    from inkwell.functions import urls
+
+    rows = [(f"https://hot.gov.uk/{k}",) for k in range(3000)] + [("https://x.org/1",), ("https://a.gov.uk/",)]
+    domains = spark.createDataFrame([("gov.uk", "Government")], "domain string, publisher string")
+    got = {r.publisher: r.n for r in urls.publishers(spark.createDataFrame(rows, "url string"), domains).groupBy("publisher").agg(F.count("*").alias("n")).collect()}
+    assert got == {"Government": 3001, "x.org": 1}
