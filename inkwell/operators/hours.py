@@ -12,6 +12,7 @@ WET_CHANCE, SURE_CHANCE, WET_MM, HEAVY_MM, MODERATE_MM = 50, 70, 0.1, 4.0, 0.5
 DAYTIME = (7, 19)
 PARTS = ((0, 6, "early morning"), (6, 12, "morning"), (12, 17, "afternoon"), (17, 22, "evening"), (22, 24, "late evening"))
 KINDS = (("thunderstorms", range(95, 100)), ("snow", (71, 73, 75, 77, 85, 86)), ("showers", (80, 81, 82)), ("rain", range(61, 68)), ("drizzle", range(51, 58)))
+CODES = {0: "clear sky", 1: "mainly clear skies", 2: "partly cloudy", 3: "overcast", 45: "fog", 48: "freezing fog", 51: "light drizzle", 53: "drizzle", 55: "heavy drizzle", 56: "light freezing drizzle", 57: "freezing drizzle", 61: "light rain", 63: "rain", 65: "heavy rain", 66: "light freezing rain", 67: "freezing rain", 71: "light snow", 73: "snow", 75: "heavy snow", 77: "snow grains", 80: "light showers", 81: "showers", 82: "heavy showers", 85: "light snow showers", 86: "heavy snow showers", 95: "thunderstorms", 96: "thunderstorms with hail", 99: "thunderstorms with heavy hail"}
 FEELS = ((8, "cold"), (12, "chilly"), (16, "cool"), (20, "mild"), (25, "warm"))
 
 
@@ -76,6 +77,11 @@ def sky(hours: DataFrame, by: list[str]) -> DataFrame:
     return shares.select(*by, word.alias("sky"))
 
 
+def code_text(code: Column) -> Column:
+    """A weather code in words; null for one that is not known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), code)
+
+
 def whole_degrees(value: Column) -> Column:
     return F.concat(F.floor(value + 0.5).cast("string"), F.lit("°C"))
 
@@ -101,6 +107,34 @@ def overlaps(start: Column, end: Column, date: Column) -> Column:
     return (start < day_end(date)) & (end > day_start(date))
 
 
+def line_status(pages: DataFrame, safe) -> DataFrame:
+    """(date, notices, dropped) of landed pages (date, json): the notices of one line that hold on the London date, in order, and how many had to be left out.
+
+    A status other than good service counts where it has no period or one that overlaps the day. One whose period is malformed, or whose reason is
+    missing, empty or not ``safe`` (a rule over a column), is left out and counted. Of reasons that are equal but for white space the first stays.
+    A page of another shape is an error.
+    """
+    period = "struct<fromDate:string,toDate:string>"
+    lines = F.from_json("json", f"array<struct<lineStatuses:array<struct<statusSeverityDescription:string,reason:string,validityPeriods:array<{period}>>>>>")
+    statuses = F.get(lines, F.lit(0))["lineStatuses"]
+    sound = F.when((F.size(lines) == 1) & statuses.isNotNull(), statuses).otherwise(F.raise_error(F.lit("unexpected response shape")).cast(f"array<struct<statusSeverityDescription:string,reason:string,validityPeriods:array<{period}>>>"))
+    each = pages.select("date", sound.alias("all")).select("date", F.posexplode_outer("all").alias("seq", "s"))
+    moment = lambda x: F.try_to_timestamp(x)
+    periods = F.transform(F.coalesce("s.validityPeriods", F.array().cast(f"array<{period}>")), lambda p: F.struct(moment(p["fromDate"]).alias("from"), moment(p["toDate"]).alias("to")))
+    judged = each.withColumn("periods", periods).withColumn("reason", F.trim("s.reason"))
+    hits = F.transform("periods", lambda p: overlaps(p["from"], p["to"], F.col("date")))
+    # a period before a malformed one may already have decided
+    holds = (F.size("periods") == 0) | F.exists(hits, lambda h: F.coalesce(h, F.lit(False)))
+    broken = ~holds & F.exists(hits, lambda h: h.isNull())
+    bad = F.coalesce("s.statusSeverityDescription", F.lit("")) != "Good Service"
+    good = holds & F.coalesce((F.col("reason") != "") & safe(F.col("reason")), F.lit(False))
+    marked = judged.withColumn("kept", F.col("s").isNotNull() & bad & good).withColumn("lost", F.col("s").isNotNull() & bad & (broken | holds & ~good))
+    key = F.regexp_replace("reason", r"\s+", " ")
+    once = marked.withColumn("k", F.row_number().over(Window.partitionBy("date", "kept", F.when(F.col("kept"), key)).orderBy("seq")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("kept") & (F.col("k") == 1), F.struct("seq", "reason"))))
+    return once.groupBy("date").agg(F.transform(listed, lambda x: x["reason"]).alias("notices"), F.sum(F.col("lost").cast("int")).cast("int").alias("dropped"))
+
+
 def notices(statuses: DataFrame, date: Column) -> DataFrame:
     """(seq, reason) of statuses other than good service that have no period or one that overlaps the date; the first of equal reasons, white space aside."""
     hit = (F.size(F.coalesce("periods", F.array())) == 0) | F.exists("periods", lambda p: overlaps(p["from"], p["to"], date))

@@ -120,3 +120,56 @@ def delivery_date(now: Column) -> Column:
 def recent_topics(state: DataFrame, cap: int = 60) -> DataFrame:
     """The last ``cap`` non-empty topics, oldest first."""
     return state.where("topic IS NOT NULL AND topic <> ''").orderBy(F.desc("date")).limit(cap).orderBy("date")
+
+
+def chapter_range(first: Column, last: Column) -> Column:
+    """``1–2``, or ``51`` for one chapter."""
+    return F.when(first == last, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("–"), last.cast("string")))
+
+
+def reading_title(book: Column, first: Column, last: Column) -> Column:
+    """``Sirach 1–2``, ``Sirach 51``, or ``Sirach overview`` where there are no chapters."""
+    return F.concat(book, F.lit(" "), F.coalesce(chapter_range(first, last), F.lit("overview")))
+
+
+def chapter_words(verses: DataFrame) -> DataFrame:
+    """(book, chapter, words) of (book, chapter, verse, lines): words between white space."""
+    words = F.aggregate("lines", F.lit(0), lambda n, line: n + F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")))
+    return verses.groupBy("book", "chapter").agg(F.sum(words).alias("words"))
+
+
+def day_plans(days: DataFrame, items: DataFrame, named: DataFrame, readings: DataFrame, duty: DataFrame) -> DataFrame:
+    """One row per date: its picks (category to item), its break (name, back) or null, its reading on a Sunday that is no break day, its stewards on a Sunday.
+
+    named: the calendar of break_names(), reaching beyond the days; readings: of readings(); duty: of stewards().
+    """
+    # a date has as many picks as there are categories
+    chosen = picks(days, items).groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "item")))).alias("picks"))
+    breaks = breaks_with_return(named).select("date", F.struct("name", "back").alias("on_break"))
+    read = readings.select("date", F.struct("absolute", "week", "book", "first", "last", "previous_date", "next_date").alias("reading"))
+    served = duty.select("date", F.struct(*[c for c in duty.columns if c != "date"]).alias("stewards"))
+    out = days.select("date")
+    for part in (chosen, breaks, read, served):
+        out = out.join(part, "date", "left")
+    return out
+
+
+def geography(iso3: Column, known: DataFrame) -> tuple[DataFrame, Column]:
+    """``known`` (iso3, geography) as a side to join by ``iso3``, and the geography of a row that it has none for."""
+    return known, F.coalesce("geography", F.lit("the whole country"))
+
+
+# What a run ends with.
+STATUS = {"done": 0, "failure": 1, "not sent": 2, "diagrams": 3, "flood": 4, "nothing": 10}
+
+
+def run_status(failed: Column, problems: Column, unseen: Column, cap: Column, wants_send: Column, sent: Column) -> Column:
+    """A run's status: a failure first, then diagrams that would not be drawn, nothing new, too much at once, and a package that was made but not sent."""
+    return (
+        F.when(failed, STATUS["failure"])
+        .when(problems > 0, STATUS["diagrams"])
+        .when(unseen == 0, STATUS["nothing"])
+        .when(unseen > cap, STATUS["flood"])
+        .when(wants_send & ~sent, STATUS["not sent"])
+        .otherwise(STATUS["done"])
+    )

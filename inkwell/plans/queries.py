@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import folds, text, urls
-from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts
+from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
+from inkwell.plans import vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,11 +35,11 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | vectors.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | vectors.oracle_sql()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,26 +107,14 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(r"""
-    SELECT doc_id, trim(regexp_replace(regexp_replace(left(lower(text), 200), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))[:60] AS slug,
-           regexp_replace(lower(left(text, 200)), '[^a-z0-9]', '', 'g') AS alnum,
-           replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped,
-           len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS words
-    FROM documents
-""")
-def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left("text", F.lit(200))
-    return table(spark, sf_dir, "documents").select("doc_id", text.page_slug(head, None).alias("slug"), text.alnum(head).alias("alnum"), text.escaped(head).alias("escaped"), text.n_words(F.col("text")).alias("words"))
-
-
 @query(r"""
     SELECT doc_id, nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')[:60], '') AS slug,
            md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS alnum, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped,
            len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS words
     FROM documents
 """)
-def text_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As text_keys, of whole texts; what has no length limit comes as a digest."""
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has no length limit comes as a digest."""
     x = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", text.page_slug(x, None).alias("slug"), F.md5(text.alnum(x)).alias("alnum"), F.md5(text.escaped(x)).alias("escaped"), text.n_words(x).alias("words"))
 
@@ -134,14 +123,22 @@ def text_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH p AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages)
+    WITH p AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages)
     SELECT page_id, url, regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) AS host,
-           trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS published
+           trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS published,
+           md5(trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS body
     FROM p
 """)
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.articles(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", urls.host(F.col("url")).alias("host"), "title", "author", F.col("date").alias("published"))
+    return found.select("page_id", "url", urls.host(F.col("url")).alias("host"), "title", "author", F.col("date").alias("published"), F.md5("text").alias("body"))
+
+
+@query()
+def page_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of every page's article as XHTML."""
+    found = html.articles(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.lit("html").alias("format"), F.col("html").alias("text"))
+    return xhtml.rendered(found)
 
 
 @query()
@@ -296,33 +293,7 @@ def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("date", "absolute", F.col("week").cast("int").alias("week"), "book", "first", "last", "previous_date", "next_date")
 
 
-# series: yearly order totals of nations
-
-_SQL_SERIES = "(SELECT c_mktsegment AS segment, n_name AS entity, year(o_orderdate)::INTEGER AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 2 GROUP BY ALL)"
-
-
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").where("n_nationkey < 2")
-    sold = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return sold.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("entity"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("value"))
-
-
-@query(f"WITH s AS (SELECT segment, year FROM {_SQL_SERIES} GROUP BY ALL HAVING count(DISTINCT entity) = 2) SELECT segment, max(year) AS common FROM s GROUP BY segment")
-def latest_common_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.latest_common_year(_series(spark, sf_dir), ["segment"], 2)
-
-
-@query(f"""
-    WITH s AS (SELECT * FROM {_SQL_SERIES} WHERE year BETWEEN 1992 AND 1998),
-    c AS (SELECT segment, max(year) AS common FROM (SELECT segment, year FROM s GROUP BY ALL HAVING count(DISTINCT entity) = 2) GROUP BY segment),
-    o AS (SELECT segment, entity, max(year) AS own FROM s GROUP BY ALL)
-    SELECT o.segment, o.entity, coalesce(common, own) AS year, round(s.value, 2) AS value FROM o LEFT JOIN c USING (segment) JOIN s ON s.segment = o.segment AND s.entity = o.entity AND s.year = coalesce(common, own)
-""")
-def country_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.observations(_series(spark, sf_dir), ["segment"], 2, 1998).withColumn("value", F.round("value", 2))
-
-
-# each nation against a home nation (key 0), by segment: a series of two entities per other nation
+# series: yearly order totals; each nation against a home nation (key 0), by segment: a series of two entities per other nation
 
 _SQL_HOME = """
     t AS (SELECT c_mktsegment AS segment, n_nationkey AS k, n_name AS entity, year(o_orderdate)::INTEGER AS year, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
@@ -340,7 +311,7 @@ def _against_home(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_SQL_HOME}, s AS (SELECT segment, other, year FROM p GROUP BY ALL HAVING count(DISTINCT entity) = 2) SELECT segment, other, max(year) AS common FROM s GROUP BY ALL")
-def latest_common_year_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_common_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.latest_common_year(_against_home(spark, sf_dir), ["segment", "other"], 2)
 
 
@@ -350,7 +321,7 @@ def latest_common_year_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     o AS (SELECT segment, other, entity, max(year) AS own FROM s GROUP BY ALL)
     SELECT o.segment, o.other, o.entity, coalesce(common, own) AS year, round(s.value, 2) AS value FROM o LEFT JOIN c USING (segment, other) JOIN s ON s.segment = o.segment AND s.other = o.other AND s.entity = o.entity AND s.year = coalesce(common, own)
 """)
-def country_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def country_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.observations(_against_home(spark, sf_dir), ["segment", "other"], 2, 1998).withColumn("value", F.round("value", 2))
 
 
@@ -394,22 +365,12 @@ def day_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.sky(_hours(spark, sf_dir).withColumn("date", F.to_date(F.expr("t - interval 1 hour"))), ["place", "date"])
 
 
-@query(f"""
-    WITH h AS (SELECT t, count(*) AS n FROM {_SQL_HOURS} WHERE place = 3 GROUP BY t), d AS (SELECT DISTINCT ts::DATE AS date FROM events),
-    w AS (SELECT date, date + INTERVAL 1 HOUR * k AS t FROM d, unnest(range(1, 25)) AS u(k))
-    SELECT date, count(*) AS expected, sum(coalesce(n, 0))::BIGINT AS found, bool_and(coalesce(n, 0) = 1) AS complete FROM w LEFT JOIN h USING (t) GROUP BY date
-""", dates=('date',))
-def hour_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()
-    return hours.coverage(_hours(spark, sf_dir).where("place = 3"), days)
-
-
 @query(f"""
     WITH h AS (SELECT place, t, count(*) AS n FROM {_SQL_HOURS} GROUP BY ALL), d AS (SELECT DISTINCT ts::DATE AS date FROM events),
     w AS (SELECT place, date, date + INTERVAL 1 HOUR * k AS t FROM d, (SELECT DISTINCT place FROM h), unnest(range(1, 25)) AS u(k))
     SELECT place, date, count(*) AS expected, sum(coalesce(n, 0))::BIGINT AS found, bool_and(coalesce(n, 0) = 1) AS complete FROM w LEFT JOIN h USING (place, t) GROUP BY ALL
 """, dates=('date',))
-def hour_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hour_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct()
     return hours.coverage(_hours(spark, sf_dir), days, ["place"])
 
@@ -478,9 +439,21 @@ def feed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # guards
 
 
-@query()
+# a minus behind a word is no sign: it becomes a mark that no number holds
+_SQL_NUMBER, _SQL_UNIT = r"(?i)[-−]?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s+(?:million|billion|trillion)\b)?", r"(?:\s?(?:°c|%|per cent\b|percentage points?\b|mm\b|am\b|pm\b|per\b|years?\b|×))?"
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, regexp_replace(text, '(\w)[-−]', '\1~', 'g') AS x FROM documents),
+    q AS (SELECT doc_id, x, regexp_extract_all(x, '{_SQL_NUMBER}{_SQL_UNIT}') AS found FROM t),
+    norm AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(x, '{_SQL_NUMBER}'), lambda n: trim(regexp_replace(lower(replace(replace(n, '−', '-'), ',', '')), '\s+', ' ', 'g'))))) AS numbers,
+        list_sort(list_distinct(list_transform(found, lambda f: trim(regexp_replace(lower(replace(replace(regexp_extract(f, '^{_SQL_NUMBER}'), '−', '-'), ',', '')), '\s+', ' ', 'g')) || '|' ||
+            replace(replace(replace(trim(lower(f[length(regexp_extract(f, '^{_SQL_NUMBER}')) + 1:])), 'per cent', '%'), 'percentage points', 'percentage point'), 'percentage point', 'percentage points')))) AS quantities FROM q)
+    SELECT doc_id, array_to_string(numbers, ';') AS numbers, array_to_string(list_transform(quantities, lambda x: CASE WHEN ends_with(x, '|year') THEN x || 's' ELSE x END), ';') AS quantities FROM norm
+""")
 def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", guards.numbers(F.col("text")).alias("numbers"), guards.quantities(F.col("text")).alias("quantities"))
+    found = table(spark, sf_dir, "documents").select("doc_id", guards.numbers(F.col("text")).alias("numbers"), guards.quantities(F.col("text")).alias("quantities"))
+    return found.select("doc_id", F.array_join("numbers", ";").alias("numbers"), F.array_join("quantities", ";").alias("quantities"))
 
 
 @query(r"""
@@ -490,9 +463,18 @@ def guard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(guards.URL).alias("has_url"), F.col("text").rlike(guards.MAIL).alias("has_mail"))
 
 
-@query()
+@query(r"""
+    WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^!])\(?\[([^\]]*)\]\([^)]*\)\)?', '\1', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+([.,;:])', '\1', 'g')) AS t FROM documents),
+    r AS (SELECT doc_id, [CASE WHEN regexp_matches(t, '(?i)https?://|www\.|\b[a-z][a-z0-9+.-]*://|\bmailto:') THEN 'url' END,
+        CASE WHEN regexp_matches(t, '(?m)<\s*[A-Za-z/!]|\]\(|!\[|(^|[^:/])//\w|\] ?\[|^[ \t>*+\-\d.)]*\[[^\]]+\]:') THEN 'markup' END,
+        CASE WHEN regexp_matches(t, '(?s)\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)') THEN 'math' END,
+        CASE WHEN regexp_matches(t, '[\w.+-]+@[\w-]+\.[\w.-]+') THEN 'link' END,
+        CASE WHEN regexp_matches(t, '(?m)^(?:```|~~~| {4}\S)') THEN 'code' END,
+        CASE WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) > 600 THEN 'length' END] AS v FROM c)
+    SELECT doc_id, array_to_string(list_filter(v, lambda x: x IS NOT NULL), ',') AS violations FROM r
+""")
 def guard_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", guards.violations(F.col("text"), 600).alias("violations"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(guards.violations(F.col("text"), 600), ",").alias("violations"))
 
 
 # diagrams: orders that share a customer in a month chain into graphs
@@ -584,6 +566,10 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.blocks(convert.documents(raw))
 
 
-@query()
+@query(_SQL_LINES + """
+    , em AS (SELECT doc_id, i, unnest(regexp_extract_all(line, '✅|⚠️?')) AS mark FROM w), o AS (SELECT doc_id, mark, min(i) AS first FROM em GROUP BY ALL),
+    l AS (SELECT doc_id, string_agg(mark, ' ' ORDER BY first) AS emoji FROM o GROUP BY doc_id)
+    SELECT documents.doc_id, coalesce(l.emoji, '') AS emoji FROM documents LEFT JOIN l ON l.doc_id = documents.doc_id
+""")
 def text_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(table(spark, sf_dir, "documents")).select("doc_id", text.emoji(F.col("text")).alias("emoji"))
+    return _marked(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.emoji(F.col("text")), " ").alias("emoji"))

@@ -1,0 +1,551 @@
+"""Registered queries over fixed vectors: operators that the tables cannot exercise, each case with the result that its rule demands, as text.
+
+The SQL of such a query is the table of those results, written down from the rules, so that a comparison holds every operator to them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.functions import folds, text, urls
+from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, sections, series, xhtml
+from inkwell.sources import readers, sinks
+
+Case = tuple[str, Callable[[], Column], str | None]
+L = F.lit
+
+
+def _text(value: str | None) -> str:
+    return "NULL::VARCHAR" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def sql_of(cases: list[Case]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({_text(name)}, {_text(want)})" for name, _, want in cases) + ") AS t(name, result)"
+
+
+def frame_of(spark: SparkSession, cases: list[Case]) -> DataFrame:
+    one = spark.range(1)
+    rows = F.array(*[F.struct(L(name).alias("name"), made().cast("string").alias("result")) for name, made, _ in cases])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def joined(x: Column, joint: str = "|") -> Column:
+    return F.array_join(x, joint, "NULL")
+
+
+def _spans(t: str) -> Column:
+    return joined(F.transform(folds.math(L(t)), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["latex"], s["display"].cast("string"))), ";")
+
+
+def _article(field: str, page: str, url: str = "https://e.org/d/p") -> Column:
+    return html.extract(L(page), L(url))[field]
+
+
+def _blocks(source: str, fmt: str) -> Column:
+    return joined(F.transform(xhtml.blocks(L(source), L(fmt)), lambda b: b["xhtml"]), "\n")
+
+
+def _markdown(source: str) -> Column:
+    return joined(F.transform(convert.markdown_blocks(L(source)), lambda b: F.concat_ws(":", b["tag"], b["text"])), "|")
+
+
+def _parsed(source: str) -> Column:
+    return joined(F.transform(diagrams.parsed(L(source)), lambda p: F.concat_ws(",", p["kind"], p["src"], p["dst"], p["label"], p["style"])), ";")
+
+
+def _date(d: str) -> Column:
+    return L(d).cast("date")
+
+
+PAGE = """<html><head><title>T &amp; U</title><meta name="author" content="Ann"><meta property="article:published_time" content="2026-02-03T10:00"></head><body><nav>n</nav><main><h1>A <b>B</b></h1><script>var x='</p>'</script><div><p>We use cookies here</p></div><p>Text &amp; more</p><img src="data:x" srcset="/a.png 1x, /b.png 2x, /c.png 2x"><a href="../rel">l</a><a href="#top">t</a></main><footer>f</footer></body></html>"""
+LAZY = '<body><picture><source srcset="/s.png 2x"><img src="" data-src=""></picture><img data-original="o.png"><img src="real.png" data-src="no.png"></body>'
+BARE = "<body><header>h</header><p>x</p><time datetime='2025-01-02T03:04'></time><meta property='article:author' content='Ben'></body>"
+BLOCK = "SKY: grey\nHIGH: 20°C\nLOW: 12°C\npeak chance 80%"
+
+
+def _weather(said: str, wet: bool, heavy: bool = False, thunder: bool = False, sure: bool = True) -> Column:
+    return joined(guards.weather_faults(L(said), L("20°C"), L(BLOCK), L(wet), L(heavy), L(thunder), L(sure)))
+
+
+def _fact(said: str, relation: str, years: tuple[int, ...] = ()) -> Column:
+    listed = F.array(*map(L, years)) if years else L(None).cast("array<int>")
+    return joined(guards.fact_faults(L(said), L(relation), listed, L("UK: 4 (2019)\nJAMAICA: 5% (2020)")))
+
+
+def _entry(**over) -> Column:
+    values = {"label": "Rate", "meaning": "A share.", "format": "pct", "unit": None, "org": "Bank", "code": "X.Y", "source": "worldbank", "harmonised": True, "not_compared_because": None} | over
+    return F.struct(*[L(v).cast("boolean" if k == "harmonised" else "string").alias(k) for k, v in values.items()])
+
+
+FIGURE = {"value": "double", "year": "int", "via": "string", "estimate": "boolean", "unit_note": "string", "url": "string", "org": "string", "tier": "int"}
+
+
+def _figure(**over) -> Column:
+    values = {"value": 1.0, "year": 2020, "via": "api", "estimate": False, "unit_note": None, "url": "https://b.org/x", "org": "Bank", "tier": None} | over
+    return F.struct(*[L(values[k]).cast(t).alias(k) for k, t in FIGURE.items()])
+
+
+NO_FIGURE = "struct<" + ",".join(f"{k}:{t}" for k, t in FIGURE.items()) + ">"
+SEARCHED = {"via": "search", "url": "https://www.s.org/p", "org": "Office", "unit_note": "heads.", "tier": 1}
+
+GOLDEN: dict[str, list[Case]] = {
+    "vec_normalisers": [
+        ("front matter", lambda: text.front_matter(L("---\na: 1\nb: 2\n---\nText")), "a: 1  \nb: 2\nText"),
+        ("front matter only at the start", lambda: text.front_matter(L("x\n---\na\n---\n")), "x\n---\na\n---\n"),
+        ("zero-width fence", lambda: text.zero_width_fences(L("`​`​`mermaid\na​b")), "```mermaid\na​b"),
+        ("mixed fence stays", lambda: text.zero_width_fences(L("`​~​`x")), "`​~​`x"),
+        ("blank around a fence", lambda: folds.spaced_fences(L("text\n```\ncode\n```\nmore")), "text\n\n```\ncode\n```\n\nmore"),
+        ("quoted fence", lambda: folds.spaced_fences(L("> text\n> ```\n> x\n> ```\n> - a")), "> text\n>\n> ```\n> x\n> ```\n>\n> - a"),
+        ("indented fence stays", lambda: folds.spaced_fences(L("- a\n  ```\n  x\n  ```\n- b")), "- a\n  ```\n  x\n  ```\n- b"),
+        ("longer fence holds shorter", lambda: folds.spaced_fences(L("a\n````\n```\n````\nb")), "a\n\n````\n```\n````\n\nb"),
+        ("deep list", lambda: folds.nested_lists(L("* a\n    * b\n        * c\n* d")), "* a\n  * b\n    * c\n* d"),
+        ("shallow list stays", lambda: folds.nested_lists(L("* a\n  * b")), "* a\n  * b"),
+        ("prose ends a list", lambda: folds.nested_lists(L("* a\ntext\n    * b")), "* a\ntext\n    * b"),
+        ("list in a fence stays", lambda: folds.nested_lists(L("* a\n```\n    * b\n```")), "* a\n```\n    * b\n```"),
+        ("export stamp", lambda: text.export_timestamps(L("**Created:** 8/31/2026 9:44:08")), "**Created:** 2026-08-31 09:44:08"),
+        ("year first", lambda: text.export_timestamps(L("**Updated:** 2026/8/1 09:44:08 ")), "**Updated:** 2026-08-01 09:44:08 "),
+        ("impossible date", lambda: text.export_timestamps(L("**Created:** 2/30/2026 9:44:08")), "**Created:** 2/30/2026 9:44:08"),
+        ("impossible hour", lambda: text.export_timestamps(L("**Created:** 2/3/2026 24:00:00")), "**Created:** 2/3/2026 24:00:00"),
+        ("labels", lambda: text.metadata_breaks(L("**A:** x\n**B:** y\nz")), "**A:** x  \n**B:** y\nz"),
+        ("labels with a break", lambda: text.metadata_breaks(L("**A:** x  \n**B:** y")), "**A:** x  \n**B:** y"),
+        ("paren list", lambda: text.paren_lists(L("intro:\n1) a\n2\\) b")), "intro:\n1. a\n2. b"),
+        ("lone paren", lambda: text.paren_lists(L("see\n1) alone\nin prose")), "see\n1) alone\nin prose"),
+        ("paren after a blank", lambda: text.paren_lists(L("\n1) a")), "\n1. a"),
+        ("hashtag", lambda: text.hashtags(L("#Tag #Other")), "\\#Tag #Other"),
+        ("heading stays", lambda: text.hashtags(L("## Heading")), "## Heading"),
+        ("fenced hash stays", lambda: text.hashtags(L("```\n#a\n```\n#b")), "```\n#a\n```\n\\#b"),
+        ("label and dash", lambda: folds.promoted_labels(L("- **RAG** - uses an index")), "- **RAG**\n  - uses an index"),
+        ("plain and dash", lambda: folds.promoted_labels(L("- plain - text")), "- plain - text"),
+        ("numbered label", lambda: folds.promoted_labels(L("1. **A:** – b")), "1. **A:**\n  - b"),
+        ("blank before a list", lambda: text.blank_before_blocks(L("Foo:\n- a\n- b\n| t |")), "Foo:\n\n- a\n- b\n| t |"),
+        ("symbols", lambda: text.safe_symbols(L("✅Done ⚠️ 🔥! ⬇️ ⭐x 🟡 ➡⬆ 📝")), "[Yes] Done [Warning] [Hot]! v * x [Partial] ->^ [Note]"),
+        ("emoji", lambda: joined(text.emoji(L("a 😀 b 👍🏽 😀 🇬🇧"))), "😀|👍🏽|🇬🇧"),
+    ],
+    "vec_texts": [
+        ("links out", lambda: text.clean_text(L("See [x](http://y) now  , ok .")), "See now, ok."),
+        ("paragraphs", lambda: text.paragraphs(L(" a \n\n\n b\n \n")), "a\n\nb"),
+        ("sentences", lambda: joined(text.sentences(L("One. Two! Is it? yes; done"))), "One.|Two!|Is it?|yes;|done"),
+        ("slug", lambda: text.page_slug(L("  A -- b! ")), "a-b"),
+        ("slug of nothing", lambda: text.page_slug(L("!!")), "page"),
+        ("version", lambda: text.versioned_title(L("Plan"), L("x_V2")), "Plan (V2)"),
+        ("version once", lambda: text.versioned_title(L("Plan (V2)"), L("x_V2")), "Plan (V2)"),
+        ("first words", lambda: text.first_words(L("a  b c"), 2), "a b"),
+        ("all words", lambda: text.first_words(L("a  b"), 2), "a  b"),
+        ("escape", lambda: text.escaped(L("<a & b>")), "&lt;a &amp; b&gt;"),
+        ("squeeze", lambda: text.squeezed(L(" a\t\n b c ")), "a b c"),
+        ("url", lambda: urls.normalised(L("HTTPS://Example.COM/A/?utm_source=x&b=1#frag")), "https://example.com/A/?b=1"),
+        ("url blank value", lambda: urls.normalised(L("https://example.com/?q=&GCLID=1")), "https://example.com/?q="),
+        ("url escapes", lambda: urls.normalised(L("https://e.org/?q=a%20b&c=d+e")), "https://e.org/?q=a+b&c=d+e"),
+        ("url order", lambda: urls.normalised(L("https://www.e.org/p/?b=2&fbclid=z&a=1")), "https://www.e.org/p/?b=2&a=1"),
+        ("label", lambda: urls.label(L("https://www.Example.org/a/b/?q=1")), "example.org/a/b"),
+        ("long label", lambda: urls.label(L("https://e.org/" + "x" * 80)), "e.org/" + "x" * 61 + "..."),
+    ],
+    "vec_math": [
+        ("kinds", lambda: _spans("$x^2$ $$a_b$$ \\(d\\) \\[e\\]"), "0:5:x^2:false;6:13:a_b:true;14:19:d:false;20:25:e:true"),
+        ("money and code", lambda: _spans("$5 and $6 `$c^2$`"), ""),
+        ("brackets on lines of their own", lambda: _spans("[\ny = 1\n===\n]"), "0:13:y = 1\n=:true"),
+        ("amount is none", lambda: _spans("$1,000$"), ""),
+        ("scripts", lambda: joined(F.array(folds.scripts(L("H_2O")), folds.scripts(L("x^{10}")), folds.scripts(L("\\frac{1}{2}")))), "H<sub>2</sub>O|x<sup>10</sup>|NULL"),
+        ("height within a line", lambda: sinks.math_height(L(90.0), L(30.0), L(False)), "1.3"),
+        ("height of its own", lambda: sinks.math_height(L(90.0), L(30.0), L(True)), "3.0"),
+        ("tallest", lambda: sinks.math_height(L(900.0), L(30.0), L(True)), "6.0"),
+        ("least height", lambda: sinks.math_height(L(9.0), L(30.0), L(False)), "1.0"),
+    ],
+    "vec_articles": [
+        ("title", lambda: _article("title", PAGE), "AB"),
+        ("author", lambda: _article("author", PAGE), "Ann"),
+        ("date", lambda: _article("date", PAGE), "2026-02-03"),
+        ("text", lambda: _article("text", PAGE), "A B Text & more l t"),
+        ("html", lambda: _article("html", PAGE), '<h1>A <b>B</b></h1><p>Text &amp; more</p><img src="https://e.org/c.png" srcset="/a.png 1x, /b.png 2x, /c.png 2x"/><a href="https://e.org/rel">l</a><a href="#top">t</a>'),
+        ("no title", lambda: _article("title", BARE), None),
+        ("other author", lambda: _article("author", BARE), "Ben"),
+        ("date of a time", lambda: _article("date", BARE), "2025-01-02"),
+        ("title of the page", lambda: _article("title", "<title>Only</title><body><p>x</p></body>"), "Only"),
+        ("lazy images", lambda: _article("html", LAZY), '<picture><source srcset="/s.png 2x"/><img src="https://e.org/s.png" data-src=""/></picture><img data-original="o.png" src="https://e.org/d/o.png"/><img src="https://e.org/d/real.png" data-src="no.png"/>'),
+        ("no html", lambda: html.extract(L(None).cast("string"), L(None).cast("string"))["text"], ""),
+    ],
+    "vec_xhtml": [
+        ("headings", lambda: _blocks("<h1>A <b>x</b></h1><h4>B</h4><h5>c</h5>", "html"), "<h1>A <strong>x</strong></h1>\n<h4>B</h4>\n<p>c</p>"),
+        ("inline", lambda: _blocks('<p>a <i>b</i> <a href="u&v">c</a><br>d &lt; <code>e</code></p>', "html"), '<p>a <em>b</em> <a href="u&amp;v">c</a><br/>d &lt; <code>e</code></p>'),
+        ("list start", lambda: _blocks('<ol start="3"><li>a<ul><li>b</li></ul></li></ol><ol start="1"><li>c</li></ol>', "html"), '<ol start="3"><li>a<ul><li>b</li></ul></li></ol>\n<ol><li>c</li></ol>'),
+        ("table head", lambda: _blocks("<table><tr><th>x</th><th colspan='2'>y</th></tr><tr><td>1</td></tr></table>", "html"), '<table><thead><tr><th>x</th><th colspan="2">y</th></tr></thead><tbody><tr><td>1</td></tr></tbody></table>'),
+        ("table without a head", lambda: _blocks("<table><tr><th>x</th><td>1</td></tr></table>", "html"), "<table><tbody><tr><th>x</th><td>1</td></tr></tbody></table>"),
+        ("code and quote", lambda: _blocks("<pre>\na &lt; b\n</pre><blockquote><p>q</p></blockquote><hr>", "html"), "<pre><code>a &lt; b</code></pre>\n<blockquote><p>q</p></blockquote>\n<hr/>"),
+        ("wrappers", lambda: _blocks("<div><section>loose<p>x</p></section></div>", "html"), "<p>loose</p>\n<p>x</p>"),
+        ("body alone", lambda: _blocks("<html><head><title>t</title></head><body>b</body></html>", "html"), "<p>b</p>"),
+        ("text", lambda: _blocks("a\nb\n\n<c>", "txt"), "<p>a<br/>b</p>\n<p>&lt;c&gt;</p>"),
+        ("markdown", lambda: _blocks("# T\n\n**b** and *e* `c*d*` [l](http://u)\n\n- x\n  - y\n- z", "md"), '<h1>T</h1>\n<p><strong>b</strong> and <em>e</em> <code>c*d*</code> <a href="http://u">l</a></p>\n<ul><li>x<ul><li>y</li></ul></li><li>z</li></ul>'),
+        ("markdown blocks", lambda: _markdown("# A #\np1\np2\n- x\n  more\n1. y\n~~~ js\n# no\n~~~\n---\n> q"), "h1:A|p:p1\np2|li:x\nmore|oli:y|pre:# no|hr:|blockquote:q"),
+        ("elements", lambda: readers.elements_html(L("heading"), L(6), L("a<b"), F.array().cast("array<array<string>>")), "<h4>a&lt;b</h4>"),
+        ("element table", lambda: readers.elements_html(L("table"), L(None).cast("int"), L(None).cast("string"), F.array(F.array(L("x"), L(None).cast("string")))), "<table><tbody><tr><td>x</td><td></td></tr></tbody></table>"),
+        ("image file", lambda: readers.image_document(L("/a/My_pic.png")), '<p><img src="/a/My_pic.png" alt="My pic"/></p>'),
+        ("text paragraphs", lambda: joined(readers.text_paragraphs(L("a\nb\n\n c"))), "<p>a<br/>b</p>|<p> c</p>"),
+        ("anchor", lambda: xhtml.anchored(L("A & B: c!")), "a-b-c"),
+    ],
+    "vec_diagrams": [
+        ("flowchart", lambda: _parsed('graph TD\n A[Start] -->|yes| B{Choice}\n B -- no --> C((x))'), "direction,TB;node,A,Start,box;node,B,Choice,diamond;node,C,x,circle;edge,A,B,yes,solid;edge,B,C,no,solid"),
+        ("dotted and both ways", lambda: _parsed("flowchart LR\nA -. maybe .-> B\nA <--> B\n???"), "direction,LR;node,A;node,B;edge,A,B,maybe,dashed;edge,A,B,solid;unparsed,???"),
+        ("groups", lambda: _parsed('flowchart TB\nsubgraph one [Group]\nA(round)\nend\nB'), "direction,TB;node,A,Group,round,round;node,B"),
+        ("states", lambda: _parsed("stateDiagram-v2\n[*] --> A\nA --> [*] : done"), "node,[*]0,pseudo;node,A,state;node,[*]1,pseudo;edge,[*]0,A,solid;edge,A,[*]1,done,solid"),
+        ("sequence", lambda: _parsed("sequenceDiagram\nparticipant A as Ann\nA->>B: hi\nB-->>A: ho"), "node,A,Ann,participant;node,B,B,participant;edge,A,B,hi,solid;edge,B,A,ho,dashed"),
+        ("merge of nothing", lambda: _parsed("gitGraph\ncommit\nbranch dev\ncheckout main\ncommit\nmerge dev"), "node,c0,main,commit;node,c1,main,commit;edge,c0,c1,solid"),
+        ("merge", lambda: _parsed('gitGraph\ncommit id: "a"\nbranch dev\ncommit tag: "t"\ncheckout main\nmerge dev'), "node,c0,main,a,commit;node,c1,dev,commit;node,c2,main,merge dev,commit;edge,c0,c1,solid;edge,c0,c2,solid;edge,c1,c2,solid"),
+        ("direction of states", lambda: _parsed("stateDiagram-v2\ndirection LR\nA --> B"), "direction,LR;node,A,state;node,B,state;edge,A,B,solid"),
+        ("other", lambda: _parsed("pie\n x"), None),
+        ("text diagram", lambda: diagrams.is_text_diagram(L("┌─┐")), "true"),
+        ("prose", lambda: diagrams.is_text_diagram(L("plain words\nmore words")), "false"),
+        ("flow", lambda: diagrams.is_flow_diagram(L("a --> b\n  |\nc")), "true"),
+        ("arrow in prose", lambda: diagrams.is_flow_diagram(L("same → input")), "false"),
+        ("scale", lambda: F.round(diagrams.fit_scale(L(2144.0), L(100.0)), 3), "0.5"),
+    ],
+    "vec_series": [
+        ("percent", lambda: series.format_value(L(0.25), L("pct")), "0.2%"),
+        ("money", lambda: series.format_value(L(1.5e12), L("usd")), "$1.5 trillion"),
+        ("millions", lambda: series.format_value(L(2e6), L("number")), "2 million"),
+        ("decimals", lambda: series.format_value(L(1234.56), L("dec")), "1,234.6"),
+        ("index", lambda: series.format_value(L(0.12345), L("index")), "0.123"),
+        ("area", lambda: series.format_value(L(0.5), L("area")), "0.5 km²"),
+        ("larger area", lambda: series.format_value(L(243610.0), L("area")), "243,610 km²"),
+        ("ratio", lambda: series.compare_to_home(L(3.0), L(2.0)), "1.5× the UK's"),
+        ("share", lambda: series.compare_to_home(L(1.0), L(4.0)), "25% of the UK's"),
+        ("small share", lambda: series.compare_to_home(L(1.0), L(50.0)), "2.0% of the UK's"),
+        ("smallest share", lambda: series.compare_to_home(L(1.0), L(400.0)), "0.25% of the UK's"),
+        ("same land", lambda: series.land_relation(L(2.0), L(2.0)), "the same size as the UK"),
+        ("tiny land", lambda: series.land_relation(L(1.0), L(1e6)), "99.9999% smaller than the UK"),
+        ("larger land", lambda: series.land_relation(L(3.0), L(1.0)), "200% larger than the UK"),
+        ("gap of what is shown", lambda: series.gap(L(5.04), L(5.0), L("pct")), "the same as the UK's"),
+        ("gap", lambda: series.gap(L(5.16), L(5.0), L("pct")), "0.2 percentage points higher than the UK's"),
+        ("lower", lambda: series.gap(L(4.0), L(5.0), L("pct")), "1.0 percentage points lower than the UK's"),
+        ("no gap but a ratio", lambda: series.gap(L(3.0), L(2.0), L("usd")), "1.5× the UK's"),
+        ("compared", lambda: F.to_json(series.comparability(L(1.0), L(2.0), L("usd"), L(True), L(1))), '{"compared":true,"reason":""}'),
+        ("not harmonised", lambda: series.comparability(L(1.0), L(2.0), L("usd"), L(False), L(1))["reason"], "the two countries define and count this differently"),
+        ("wider source", lambda: series.comparability(L(1.0), L(2.0), L("usd"), L(True), L(2))["reason"], "a figure comes from a different source, so definitions may differ"),
+        ("not positive", lambda: series.comparability(L(0.0), L(2.0), L("usd"), L(True), L(1))["reason"], "the UK figure is not positive, so no ratio can be given"),
+        ("world bank page", lambda: sections.source_page(L("worldbank"), L("A.B"), L("JM"), L(None).cast("string")), "https://data.worldbank.org/indicator/A.B?locations=JM"),
+        ("fund page", lambda: sections.source_page(L("imf"), L("N"), L("JM"), L(None).cast("string")), "https://www.imf.org/external/datamapper/N"),
+        ("own page", lambda: sections.source_page(L("who"), L("N"), L("JM"), L("https://w.int/x")), "https://w.int/x"),
+    ],
+    "vec_hours": [
+        ("clock in summer", lambda: hours.clock(L("2026-07-01 14:05:00").cast("timestamp")), "15:05 (3:05pm)"),
+        ("midday", lambda: hours.clock(L("2026-01-01 12:00:00").cast("timestamp")), "12:00 (midday)"),
+        ("midnight", lambda: hours.clock(L("2026-01-01 00:00:00").cast("timestamp")), "midnight"),
+        ("degrees", lambda: hours.whole_degrees(L(12.5)), "13°C"),
+        ("feel", lambda: joined(F.array(*[hours.feel(L(x)) for x in (7.4, 7.5, 11.5, 16.0, 20.4, 25.0)])), "cold|chilly|cool|mild|warm|hot"),
+        ("codes", lambda: joined(F.array(*[hours.code_text(L(x)) for x in (0, 3, 65, 99, 4)])), "clear sky|overcast|heavy rain|thunderstorms with heavy hail|NULL"),
+        ("easter", lambda: joined(F.array(*[rotation.easter(L(y)).cast("string") for y in (2024, 2025, 2026, 2027, 2038)])), "2024-03-31|2025-04-20|2026-04-05|2027-03-28|2038-04-25"),
+        ("date in words", lambda: rotation.ordinal_date(_date("2026-10-13")), "Today is Tuesday 13th October 2026."),
+        ("second", lambda: rotation.ordinal_date(_date("2026-10-22")), "Today is Thursday 22nd October 2026."),
+        ("reading", lambda: rotation.reading_title(L("Sirach"), L(1), L(2)), "Sirach 1–2"),
+        ("reading of one", lambda: rotation.reading_title(L("Sirach"), L(51), L(51)), "Sirach 51"),
+        ("overview", lambda: rotation.reading_title(L("Sirach"), L(None).cast("int"), L(None).cast("int")), "Sirach overview"),
+        ("delivery date", lambda: rotation.delivery_date(L("2026-07-01 23:30:00").cast("timestamp")), "2026-07-03"),
+        ("overlap ends before", lambda: hours.overlaps(L("2026-06-01 10:00:00").cast("timestamp"), L("2026-06-01 23:00:00").cast("timestamp"), _date("2026-06-02")), "false"),
+        ("overlap", lambda: hours.overlaps(L("2026-06-01 10:00:00").cast("timestamp"), L("2026-06-01 23:00:01").cast("timestamp"), _date("2026-06-02")), "true"),
+    ],
+    "vec_guards": [
+        ("fine", lambda: joined(guards.violations(L("fine text"), 5)), ""),
+        ("url", lambda: joined(guards.violations(L("see www.x.org"), 5)), "url"),
+        ("markup", lambda: joined(guards.violations(L("<b>x"), 5)), "markup"),
+        ("mail", lambda: joined(guards.violations(L("me@x.org"), 5)), "link"),
+        ("math", lambda: joined(guards.violations(L("a $$x$$"), 5)), "math"),
+        ("code", lambda: joined(guards.violations(L("a\n```\nx"), 5)), "code"),
+        ("length", lambda: joined(guards.violations(L("a b c d e f"), 5)), "length"),
+        ("inline link is taken out", lambda: joined(guards.violations(L("a [b](http://c) d"), 5)), ""),
+        ("notice", lambda: guards.safe_notice(L("Closed today\r\nUse buses")), "true"),
+        ("notice with an item", lambda: guards.safe_notice(L("x\n- y")), "false"),
+        ("notice that opens a list", lambda: guards.safe_notice(L("- x")), "false"),
+        ("numbers", lambda: joined(guards.numbers(L("From 2019-2026, -5 or 1,200.5 and 2 Million"))), "-5|1200.5|2 million|2019|2026"),
+        ("quantities", lambda: joined(guards.quantities(L("20°C, 3 per cent in 2020, 1 year")), ";"), "1|years;2020|;20|°c;3|%"),
+        ("unsupplied", lambda: joined(guards.unsupplied(L("20 knots"), L("20°C")), ";"), "20|"),
+        ("label", lambda: guards.labelled(L("a low of 3°c and a high of 13°c"), L("13°C"), guards.HIGH, guards.LOW), "true"),
+        ("wrong label", lambda: guards.labelled(L("a low of 13°c"), L("13°C"), guards.HIGH, guards.LOW), "false"),
+        ("inside another number", lambda: guards.labelled(L("a high of 13°C"), L("3°C"), guards.HIGH, guards.LOW), "false"),
+        ("wet day", lambda: _weather("Grey with rain likely. A high of 20°C.", True), ""),
+        ("wet day without rain", lambda: _weather("Grey and cold. A high of 20°C.", True), "no rain"),
+        ("wet day called dry", lambda: _weather("Dry all day with showers. Up to 20°C.", True), "dry day"),
+        ("denied", lambda: _weather("Showers about. It won’t rain. Highs of 20°C.", True), "denial"),
+        ("denied for a part", lambda: _weather("Rain later. No rain expected this morning; a high of 20°C.", True), ""),
+        ("heavy and thunder", lambda: _weather("Rain this morning. A high of 20°C.", True, True, True), "heavy|thunder"),
+        ("only possible", lambda: _weather("Rain in the morning. A high of 20°C.", True, sure=False), "certain"),
+        ("dry day not said", lambda: _weather("Sunny. A high of 20°C.", False), "not dry"),
+        ("rain on a dry day", lambda: _weather("Dry. Rain at noon. A high of 20°C.", False), "rain"),
+        ("high as low", lambda: _weather("Dry with a low of 20°C.", False), "high"),
+        ("quantity not given", lambda: _weather("Dry, a high of 20°C and 30 mm.", False), "quantity"),
+        ("fact", lambda: _fact("It is 5% and 4, 1.0 percentage points higher.", "1.0 percentage points higher"), "quantity"),
+        ("fact compares", lambda: _fact("5% is higher than 4.", ""), "compares"),
+        ("fact with a cause", lambda: _fact("5% because of 4.", ""), "cause"),
+        ("fact without a year", lambda: _fact("5% in 2020.", "", (2020, 2019)), "years"),
+        ("output", lambda: guards.parsed_output(L('{"a": "x"}'), {"a": 5})["value"]["a"], "x"),
+        ("output with more", lambda: guards.parsed_output(L('{"a": "x", "b": 1}'), {"a": 5})["error"], "unknown field"),
+        ("output of another type", lambda: guards.parsed_output(L('{"a": 1}'), {"a": 5})["error"], "a missing"),
+        ("output unsafe", lambda: guards.parsed_output(L('{"a": "www.x.org"}'), {"a": 5})["error"], "a unsafe"),
+        ("output lists", lambda: joined(guards.parsed_output(L('{"a": ["x", "y"]}'), {"a": 5}, ("a",))["value"]["a"]), "x|y"),
+        ("no output", lambda: guards.parsed_output(L("nonsense"), {"a": 5})["error"], "not an object"),
+        ("soft failure", lambda: F.to_json(guards.or_unavailable(L("v"), L("FetchError 503"))), '{"diagnostic":"FetchError 503"}'),
+    ],
+    "vec_feed": [
+        ("slug", lambda: feed.names(L("NEW!  1 John 5. Day 198 - Read"))["slug"], "item-day-198-1-john-5"),
+        ("display", lambda: feed.names(L("Revelation 22 - Day 1260 - The End"))["display"], "Revelation 22 — Day 1260"),
+        ("title line", lambda: feed.is_title_line(L("1 JOHN 5 - Day 198 now"), L("1 John 5. Day 198 - Read")), "true"),
+        ("other line", lambda: feed.is_title_line(L("1 John 5. Day 199"), L("1 John 5. Day 198")), "false"),
+        ("notes", lambda: joined(F.transform(feed.notes(L("<p>1 John 5. Day 198</p><p>Episode Notes:</p><p>In Today's Episode</p><ul><li>a</li><li>Contact us x</li></ul><p>“This is it” — 1 John 5:11</p>"), L("1 John 5. Day 198 - Read")), lambda b: F.concat_ws(":", b["tag"], b["text"]))), "h2:In Today's Episode|li:a|blockquote:“This is it” — 1 John 5:11"),
+        ("document", lambda: feed.document(L("D & 1"), L(None).cast("string"), F.array(F.struct(L("p").alias("tag"), L("x").alias("text"))), L("https://e.org"), _date("2026-01-05")), '<h1>D &amp; 1</h1>\n<p>x</p>\n<p><a href="https://e.org">https://e.org</a> · 5 January 2026</p>'),
+    ],
+    "vec_sections": [
+        ("break", lambda: sections.break_section(L("Easter"), _date("2026-04-07")), "> **Break day — Easter.** No study today. Back on Tuesday 7 April."),
+        ("weather block", lambda: sections.weather_block(F.struct(L("grey").alias("sky"), L("cool").alias("feel"), L("13°C").alias("high"), L("8°C").alias("low"), L("06:00 (6am)").alias("sunrise"), L("20:00 (8pm)").alias("sunset"), F.array(*[F.struct(L(a).alias("start"), L(b).alias("end"), L("rain").alias("kind"), L(i).alias("intensity"), L(y).alias("likely"), L(80).alias("peak_chance"), F.array(*map(L, p)).alias("parts")) for a, b, i, y, p in (("08:00", "09:00", "light", True, ["morning"]), ("11:00", "14:00", "heavy", False, ["morning", "afternoon"]))]).alias("spells")), lambda x: x), "SKY (07:00 to 19:00): grey\nFEELS: cool\nHIGH: 13°C\nLOW: 8°C\nRAIN SPELLS:\n- light rain, likely, in the morning, from 08:00 to 09:00, peak chance 80%\n- heavy rain, possible, in the morning and afternoon, from 11:00 to 14:00, peak chance 80%\nON AND OFF: morning\nHEAVY: yes\nSUNRISE: 06:00 (6am)\nSUNSET: 20:00 (8pm)"),
+        ("no weather", lambda: sections.weather_section(L(None).cast("struct<sky:string,feel:string,high:string,spells:array<struct<intensity:string,kind:string,likely:boolean,parts:array<string>>>>"), L(None).cast("string")), "## Weather in Croydon\n\n*Unavailable today: the Croydon weather forecast. See the run check above.*"),
+        ("dry weather", lambda: sections.weather_sentence(F.struct(L("mostly sunny").alias("sky"), L("mild").alias("feel"), L("18°C").alias("high"), F.array().cast("array<struct<intensity:string,kind:string,likely:boolean,parts:array<string>>>").alias("spells"))), "Mostly sunny and mild, and rain is unlikely. A high of 18°C."),
+        ("wet weather", lambda: sections.weather_sentence(F.struct(L("grey").alias("sky"), L("cool").alias("feel"), L("13°C").alias("high"), F.array(F.struct(L("light").alias("intensity"), L("rain").alias("kind"), L(True).alias("likely"), F.array(L("morning"), L("afternoon")).alias("parts"))).alias("spells"))), "Grey and cool, with light rain likely in the morning and afternoon. A high of 13°C."),
+        ("stewards on duty", lambda: sections.stewards_section(L("Red"), L("Ann, Ben"), L(True), L(None).cast("string"), L(None).cast("string"), L("Ask for the next rota")), "## Stewards on Duty\n\n**Red team** (Ann, Ben) — **you are on duty today.**\n\n> **Ask for the next rota**"),
+        ("no team", lambda: sections.stewards_section(L(None).cast("string"), L(None).cast("string"), L(False), L("Fair"), L(None).cast("string"), L("")), "## Stewards on Duty\n\nNo team on duty: Fair. You are not on duty."),
+        ("reviewer", lambda: sections.reviewer_note(L("Not so"), L("https://www.a.org/x/")), "> **AI reviewer note:** Not so. Reviewer's source: [a.org/x](https://www.a.org/x/). The text above follows its cited source; this note is the AI reviewer's own view and may be wrong."),
+        ("all well", lambda: sections.run_check_box(L("ok"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array().cast("array<string>")), ""),
+        ("reviewer failed", lambda: sections.run_check_box(L(None).cast("string"), F.array().cast("array<string>"), F.array(L("x: y")), F.array().cast("array<string>")), "> **Run check — warning:** Run check unavailable; raw diagnostics below.\n>\n> - x: y"),
+        ("notes and pointer", lambda: sections.run_check_box(L("warning"), F.array(L("Odd."), L("More.")), F.array().cast("array<string>"), F.array(L("Weather"))), "> **Run check — warning:** Odd. More.\n>\n> AI reviewer disagrees with a sourced claim in: Weather."),
+        ("pointer alone", lambda: sections.run_check_box(L("ok"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array(L("Trains"))), "> **Run check — warning:** AI reviewer disagrees with a sourced claim in: Trains."),
+        ("warning without details", lambda: sections.run_check_box(L("warning"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array().cast("array<string>")), "> **Run check — warning:** the reviewer flagged a problem but gave no details."),
+        ("no research", lambda: sections.research_section(L("Birds"), L(None).cast("string"), L("b"), L("t"), L("https://w")), "## Research Fact: Birds\n\n*Unavailable today: the research fact. See the run check above.*"),
+        ("research", lambda: sections.research_section(L("Birds"), L("They fly"), L("One.\n\n\nTwo."), L("Bird"), L("https://w")), "## Research Fact: They fly\n\nOne.\n\nTwo.\n\nSource: [Bird — Wikipedia](https://w)"),
+        ("engineering", lambda: sections.engineering_section(L("Agents"), F.struct(L("Tools").alias("title"), L("c").alias("concept"), F.array(L("w")).alias("why"), F.array(L("https://a.org/x")).alias("urls"))), "## AI Engineering: Tools\n\n*Theme: Agents*\n\n### Concept\n\nc\n\n### Why it matters\n\n- w\n\n### Sources\n\n- [a.org/x](https://a.org/x)"),
+        ("chapter", lambda: sections.chapter_text(L("Sirach"), L(2), L("Patience"), F.array(F.struct(L("1").alias("v"), F.array(L("My son,"), L("be set.")).alias("lines"))), F.array(L("5-6"))), "### Sirach 2\n\n*Patience*\n\n**1** My son,  \nbe set.\n\n*Verses 5–6 are left out of this translation: the best manuscripts do not have them.*"),
+        ("outline", lambda: sections.outline(F.array(F.struct(L(1).alias("first"), L(2).alias("last"), L("A").alias("label")), F.struct(L(3).alias("first"), L(4).alias("last"), L("B").alias("label"))), lambda a, b: F.concat(a.cast("string"), L("-"), b.cast("string"))), '```mermaid\nflowchart TD\n    s0["1-2: A"]\n    s1["3-4: B"]\n    s0 --> s1\n```'),
+        ("outline label", lambda: sections.outline_label(F.array(F.struct(L(1).alias("first"), L(2).alias("last"), L("A").alias("label")), F.struct(L(3).alias("first"), L(4).alias("last"), L("B").alias("label"))), F.array(L(2), L(3))), "A; B"),
+        ("fact block", lambda: sections.fact_block(_entry(), _figure(value=5.0), _figure(value=6.5, year=2021)), "FACT: Rate\nMEANING: A share.\nUK: 5.0% (2020) (Bank data)\nJAMAICA: 6.5% (2021) (Bank data)\nRELATION: 1.5 percentage points higher than the UK's\nNOTE: the figures are from different years (Jamaica 2021, UK 2020)"),
+        ("fact block without a figure", lambda: sections.fact_block(_entry(), _figure(value=5.0), L(None).cast(NO_FIGURE)), "FACT: Rate\nMEANING: A share.\nUK: 5.0% (2020) (Bank data)\nJAMAICA: not available today"),
+        ("searched figure", lambda: sections.fact_how(_entry(), _figure(**SEARCHED)), "found by an AI web search of s.org (Office); it counts: heads."),
+        ("fact sentence", lambda: sections.fact_sentence(_entry(), _figure(value=5.0), _figure(value=5.0)), "A share. The UK's figure is 5.0% (2020) and Jamaica's is 5.0% (2020). Jamaica's figure is the same as the UK's."),
+        ("search note", lambda: sections.search_note(_entry(), _figure(), _figure(**SEARCHED | {"tier": 2})), "> **Note:** Jamaica's figure was found by an AI (LLM) web search fallback of s.org (a wider search of official statistics sites), not from a data API."),
+        ("comparison", lambda: sections.comparison_section(_entry(harmonised=False), _figure(value=5.0), _figure(value=6.0), L("Text.")), "## UK vs Jamaica\n\n### Rate\n\n| | UK | Jamaica |\n|---|---|---|\n| Rate | 5.0% (2020) | 6.0% (2020) |\n\n*Not compared: the two countries define and count this differently.*\n\nText.\n\nSources: [Bank — X.Y](https://b.org/x)"),
+        ("land block", lambda: sections.land_block(L("Malta"), F.struct(L(316.0).alias("value"), L(243610.0).alias("home"), L(2022).alias("year")))["block"], "COUNTRY: Malta\nLAND AREA: 316 km² (2022)\nUK LAND AREA: 243,610 km² (2022)\nSIZE RATIO: 0.13% of the UK's\nRELATION: 99.9% smaller than the UK"),
+        ("minutes", lambda: sections.reading_minutes(L(1300)), "6"),
+        ("trains", lambda: sections.trains_section(_date("2026-06-01"), F.struct(F.array(L("Closed")).alias("notices"), L(1).alias("dropped")), L(None).cast("struct<status:string,summary:string,urls:array<string>>")), "## Trains\n\n### Windrush line (London Overground)\n\n- Closed\n\n*Some TfL notices could not be shown; check the TfL status page.*\n\nSource: [TfL line status](https://tfl.gov.uk/tube-dlr-overground/status/)\n\n### Thameslink\n\n*Unavailable today: the Thameslink check. See the run check above.*\n\nCheck: [National Rail status and disruptions](https://www.nationalrail.co.uk/status-and-disruptions/)"),
+    ],
+    "vec_rules": [
+        ("send", lambda: sinks.should_send(L(None).cast("boolean"), L("epub")), "true"),
+        ("send a pdf", lambda: sinks.should_send(L(True), L("pdf")), "false"),
+        ("error", lambda: sinks.error_text(L("HTTPError"), L(503)), "HTTPError 503"),
+        ("image scale", lambda: sinks.image_scale(L(800.0), L(100.0), L(400.0)), "0.5"),
+        ("columns", lambda: joined(F.array(*[L(x) for x in sinks.column_widths([10, 90], [5, 5], 100)])), "17.0|83.0"),
+        ("media type", lambda: readers.media_type(L("a/B.JPG")), "image/jpeg"),
+        ("pasted", lambda: readers.pasted_name(L("My Title"), L("md"), L("2026-01-02 03:04:05").cast("timestamp")), "my-title_20260102_030405.md"),
+        ("pasted without a title", lambda: readers.pasted_name(L(None).cast("string"), L("txt"), L("2026-01-02 03:04:05").cast("timestamp")), "pasted_20260102_030405.txt"),
+        ("fetched", lambda: readers.fetched_name(L("A b"), L("https://e.org/x"), L("2026-01-01"), L("2026-01-02 03:04:05").cast("timestamp")), "url_a-b_2026-01-01_20260102_030405.html"),
+        ("fetched without a title", lambda: readers.fetched_name(L(None).cast("string"), L("https://e.org/x"), L(None).cast("string"), L("2026-01-02 03:04:05").cast("timestamp")), "url_e-org-x_20260102_030405.html"),
+        ("fetched file", lambda: readers.fetched_document(L("A&B"), L("u"), L("<p>x</p>")), '<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>A&amp;B</title></head>\n<body>\n<p>x</p>\n</body></html>'),
+        ("png", lambda: readers.image_of(L("u.png"), L(200), L("image/png"), F.unhex(L("89504E470D0A1A0A00")), L(""), L(None).cast("string"))["media_type"], "image/png"),
+        ("corrupt", lambda: readers.image_of(L("u.png"), L(200), L("image/png"), F.unhex(L("0000")), L("Map"), L(None).cast("string"))["placeholder"], "[Image could not be loaded: Map]"),
+        ("not an image", lambda: readers.image_of(L("u.png"), L(200), L("text/html; x"), F.unhex(L("00")), L(""), L(None).cast("string"))["reason"], "not an image"),
+        ("missing image", lambda: readers.image_of(L("u.png"), L(404), L("image/png"), F.unhex(L("00")), L(""), L(None).cast("string"))["reason"], "HTTP 404"),
+        ("drawing", lambda: readers.image_of(L("u.svg?x"), L(200), L("text/xml"), F.unhex(F.hex(L("<?xml?><SVG/>"))), L(""), L(None).cast("string"))["media_type"], "image/svg+xml"),
+        ("done", lambda: rotation.run_status(L(False), L(0), L(1), L(5), L(True), L(True)), "0"),
+        ("failure", lambda: rotation.run_status(L(True), L(1), L(1), L(5), L(True), L(True)), "1"),
+        ("not sent", lambda: rotation.run_status(L(False), L(0), L(1), L(5), L(True), L(False)), "2"),
+        ("diagrams", lambda: rotation.run_status(L(False), L(2), L(1), L(5), L(True), L(True)), "3"),
+        ("flood", lambda: rotation.run_status(L(False), L(0), L(9), L(5), L(True), L(True)), "4"),
+        ("nothing new", lambda: rotation.run_status(L(False), L(0), L(0), L(5), L(True), L(True)), "10"),
+        ("run note", lambda: digest.run_note(F.array().cast("array<string>"), F.array(L("x"))), "Diagnostics: x"),
+    ],
+}
+
+
+# Operators over tables: each gives (name, result) rows of its own
+
+
+def _json(spark: SparkSession, value: str) -> DataFrame:
+    return spark.range(1).select(L(value).alias("json"))
+
+
+def _rows(df: DataFrame, name: str) -> DataFrame:
+    """Each row as its values with bars between them."""
+    return df.select(L(name).alias("name"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), L("NULL")) for c in df.columns]).alias("result"))
+
+
+def _sources(spark: SparkSession) -> list[DataFrame]:
+    bank = '[{"page":1}, [{"indicator":{"id":"P"},"countryiso3code":"GBR","date":"2020","value":"1.5"},{"indicator":{"id":"P"},"countryiso3code":"JAM","date":"2020","value":null},{"indicator":{"id":"P"},"countryiso3code":"FRA","date":"2020","value":2}]]'
+    fund = '{"values":{"C":{"GBR":{"2020":1.0,"2030":2.0},"JAM":{"2021":3.0}}}}'
+    health = '{"value":[{"SpatialDim":"GBR","TimeDim":2020,"NumericValue":1.0,"Dim1":"BTSX"},{"SpatialDim":"GBR","TimeDim":2020,"NumericValue":9.0,"Dim1":"FMLE"},{"SpatialDim":"USA","TimeDim":2020,"NumericValue":1.0,"Dim1":"BTSX"},{"SpatialDim":"JAM","TimeDim":2021,"NumericValue":null,"Dim1":"BTSX"}]}'
+    hour = '{"utc_offset_seconds":3600,"hourly":{"time":["2026-06-01T01:00"],"precipitation_probability":[5],"precipitation":[0.1],"weather_code":[3]}}'
+    summary = spark.createDataFrame([("a", '{"type":"standard","title":"A_b","titles":{"normalized":"A b"},"extract":" Text here now ","content_urls":{"desktop":{"page":"https://w/A"}}}'), ("b", '{"type":"disambiguation","title":"B","extract":"x","content_urls":{"desktop":{"page":"https://w/B"}}}'), ("c", '{"type":"standard","title":"C","extract":"","content_urls":{"desktop":{"page":"https://w/C"}}}')], "key string, json string")
+    lead = spark.createDataFrame([("a", "one two three four"), ("c", "x")], "key string, lead string")
+    status = '[{"lineStatuses":[{"statusSeverityDescription":"Good Service","reason":"x"},{"statusSeverityDescription":"Part Closure","reason":" Closed  today ","validityPeriods":[{"fromDate":"2026-06-01T03:00:00Z","toDate":"2026-06-01T05:00:00Z"}]},{"statusSeverityDescription":"Closure","reason":"Closed today"},{"statusSeverityDescription":"Closure","reason":"Past","validityPeriods":[{"fromDate":"2026-05-01T03:00:00Z","toDate":"2026-05-02T05:00:00Z"}]},{"statusSeverityDescription":"Closure","reason":"see www.x.org"},{"statusSeverityDescription":"Closure"},{"statusSeverityDescription":"Closure","reason":"y","validityPeriods":[{"fromDate":"?","toDate":"2026-06-02T05:00:00Z"}]}]}]'
+    line = hours.line_status(_json(spark, status).withColumn("date", _date("2026-06-01")), guards.safe_notice).select("date", joined(F.col("notices"), ";").alias("notices"), "dropped")
+    attempts = spark.createDataFrame([("u", 1, None, "TimeoutError", None), ("u", 2, "body", None, None), ("v", 1, None, "HTTPError", 503), ("v", 2, None, "HTTPError", 404)], "url string, attempt int, content string, kind string, code int")
+    fetched = readers.fetched(spark.createDataFrame([("a", 200, bytearray(b"x")), ("b", 404, bytearray(b"x")), ("c", 200, bytearray(b"xxx")), ("d", 200, None)], "url string, status int, content binary"), 2)
+    breaks = spark.sql("SELECT * FROM VALUES ('A', DATE'2026-01-02', DATE'2026-01-01'), (' ', DATE'2026-01-01', DATE'2026-01-01'), ('B', DATE'2026-01-01', DATE'2026-01-03') AS t(name, start, end)")
+    rota = spark.sql("SELECT * FROM VALUES (DATE'2026-01-04', 'Red', NULL), (DATE'2026-01-11', 'Red', 'x'), (DATE'2026-01-18', NULL, 'see www.x.org'), (DATE'2026-01-25', 'A', NULL), (DATE'2026-01-25', 'B', NULL) AS t(date, team, note)")
+    spans = spark.createDataFrame([(1, 1, 1, "Head", 18.0, True), (1, 2, 1, "a", 10.0, False), (1, 2, 2, "b", 10.0, False), (1, 3, 1, "bold", 10.0, True)], "doc_id int, block int, pos int, text string, size double, bold boolean")
+    return [
+        _rows(readers.world_bank(_json(spark, bank), ["GBR", "JAM"]), "world bank"),
+        _rows(readers.imf(_json(spark, fund), 2025), "imf"),
+        _rows(readers.who(_json(spark, health), 2025, ["GBR", "JAM"], {"Dim1": "BTSX"}), "who"),
+        _rows(readers.hourly(_json(spark, hour)), "hourly"),
+        _rows(readers.leads(readers.summaries(summary), lead, 3), "lead"),
+        _rows(line, "line status"),
+        _rows(readers.best_attempts(attempts, ["url"], L("page")), "retries"),
+        _rows(fetched.select("url", "error", F.col("content").isNotNull().alias("kept")), "fetched"),
+        _rows(readers.break_faults(breaks).select("name"), "bad break"),
+        _rows(readers.rota_faults(rota).select("date", joined(F.col("faults"), ",").alias("faults")), "bad rota"),
+        _rows(readers.spans_to_blocks(spans).select("block", "text", "level"), "spans"),
+    ]
+
+
+SOURCES_WANT = [
+    ("world bank", "P|GBR|2020|1.5"),
+    ("imf", "C|GBR|2020|1.0"),
+    ("imf", "C|JAM|2021|3.0"),
+    ("who", "GBR|2020|1.0"),
+    ("hourly", "2026-06-01 00:00:00|5.0|0.1|3"),
+    ("lead", "a|A b|one two three|https://w/A|NULL|NULL"),
+    ("lead", "b|NULL|NULL|NULL|no usable extract|NULL"),
+    ("lead", "c|NULL|NULL|NULL|no usable extract|NULL"),
+    ("line status", "2026-06-01|Closed  today|3"),
+    ("retries", "u|body|NULL"),
+    ("retries", "v|NULL|page: HTTPError 404"),
+    ("fetched", "a|NULL|true"),
+    ("fetched", "b|HTTP 404|false"),
+    ("fetched", "c|too large|false"),
+    ("fetched", "d|no body|false"),
+    ("bad break", "A"),
+    ("bad break", " "),
+    ("bad rota", "2026-01-11|one of team and note"),
+    ("bad rota", "2026-01-18|text"),
+    ("bad rota", "2026-01-25|duplicate"),
+    ("bad rota", "2026-01-25|duplicate"),
+    ("spans", "1|Head|1"),
+    ("spans", "2|a b|NULL"),
+    ("spans", "3|bold|3"),
+]
+
+
+def _tables(spark: SparkSession) -> list[DataFrame]:
+    series_rows = spark.createDataFrame([("f", "GBR", 2020, 1.0), ("f", "GBR", 2022, 2.0), ("f", "JAM", 2020, 3.0), ("g", "GBR", 2021, 4.0), ("h", "GBR", 2023, 1.0), ("h", "JAM", 2023, 2.0), ("h", "JAM", 2024, -1.0)], "fact string, entity string, year int, value double")
+    versus = series.versus(series_rows, ["fact"], "GBR", "JAM", 2024).withColumn("warnings", joined(F.col("warnings"), ","))
+    wanted = spark.createDataFrame([("GBR",), ("JAM",), ("FRA",)], "entity string")
+    figure = lambda *rows: spark.createDataFrame(list(rows), "entity string, figure double")
+    tiers = sections.figures_by_tier(wanted, [figure(("GBR", 1.0)), figure(("GBR", 9.0), ("JAM", 2.0)), figure(("JAM", 9.0))], ["entity"])
+    days = spark.sql("SELECT DATE'2026-01-04' AS date")
+    failed = lambda v, e: spark.sql(f"SELECT DATE'2026-01-04' AS date, CAST({v} AS string) AS value, CAST({e} AS string) AS error")
+    gathered = digest.gather(days, {"a": failed("''", "NULL"), "b": failed("NULL", "'FetchError 503'"), "c": failed("'x'", "NULL")}).withColumn("diagnostics", joined(F.col("diagnostics"), ","))
+    known = spark.createDataFrame([("d", 1, "https://A.org/x?utm_a=1"), ("d", 2, "https://a.org/x"), ("d", 3, "https://c.org")], "day string, seq int, url string")
+    chosen = spark.createDataFrame([("d", 1, "https://a.org/x#y", "s"), ("d", 2, "https://a.org/x", "t"), ("d", 3, "https://b.org", "u"), ("d", 4, "https://c.org", "v")], "day string, seq int, url string, supports string")
+    calls = spark.createDataFrame([("search",), (None,), ("open_page",), ("search",)], "kind string")
+    links = spark.createDataFrame([(1, "https://a.org"), (1, "https://evil.org")], "doc_id int, url string")
+    notes = spark.createDataFrame([("d", 1, "ai", "Wrong", "u1"), ("d", 2, "ai", "WRONG", "u1"), ("d", 3, "nope", "x", "u1"), ("d", 4, "ai", "y", "u9"), ("d", 5, "trains", "word " * 51, "u1"), ("d", 6, "trains", "z", "u2")], "date string, seq int, section string, note string, url string")
+    good = guards.disagreements(notes, ["ai", "trains"], spark.createDataFrame([("u1",), ("u2",)], "url string"))
+    items = spark.createDataFrame([(str(k), f"2026-01-0{1 + k // 2}", -k) for k in range(4)], "guid string, pub_date string, feed_pos int")
+    state = spark.createDataFrame([("0", "sent", "2026-01-01")], "guid string, how string, at string")
+    marked = feed.marked(state, spark.createDataFrame([("0", "again", "2026-01-02"), ("7", "sent", "2026-01-02")], "guid string, how string, at string"))
+    rota = spark.sql("SELECT * FROM VALUES (DATE'2026-03-01', 'Red', NULL), (DATE'2026-03-15', NULL, 'Fair'), (DATE'2026-03-22', 'Blue', NULL) AS t(date, team, note)")
+    teams = spark.createDataFrame([("Red", "Ann, Ben"), ("Blue", "Cy")], "team string, names string")
+    duty = rotation.stewards(rotation.dates(spark, "2026-03-01", "2026-03-22"), rota, teams, "Red").select("date", "team", "names", "mine", "note", F.col("missing").isNotNull().alias("lacks"))
+    day = spark.createDataFrame([("d", "T", "Today.", "ok", [], [])], "date string, title string, dated string, status string, review_notes array<string>, diagnostics array<string>")
+    parts = spark.createDataFrame([("d", 0, "ai", "AI", "## A"), ("d", 1, "trains", "Trains", sections.MISSING.format("x"))], "date string, ord int, key string, name string, text string")
+    said = spark.createDataFrame([("d", "ai", 1, "No", "https://a.org"), ("d", "trains", 2, "No", "https://b.org")], "date string, section string, seq int, note string, url string")
+    document = sections.documents(day, parts, said).select(F.col("document"), joined(F.col("noted"), ",").alias("noted"))
+    topics = digest.category_counts(spark.createDataFrame([("A b", "x", 1), ("a_B ", "y", 2), ("C", "x", 3)], "title string, category string, seq int"))
+    box = "doc_id int, page int, {} int, x0 double, y0 double, x1 double, y1 double"
+    table = readers.table_of_block(spark.createDataFrame([(1, 1, 7, 0.0, 0.0, 10.0, 10.0)], box.format("block")), spark.createDataFrame([(1, 1, 2, 0.0, 0.0, 10.0, 6.0), (1, 1, 1, 0.0, 0.0, 10.0, 5.0)], box.format("table")))
+    raw = spark.createDataFrame([(1, "md", "Intro\n# One\ntext\n# Two\nend", None, "a_V2", "Ann", "Sub"), (2, "html", "<p>x</p>", None, "b_c", "Ann", None), (3, "md", "# D\n```mermaid\npie\n```", "Given", "d", "Ann", None)], "doc_id int, format string, text string, title string, stem string, author string, subtitle string")
+    converted = xhtml.converted(raw).select("doc_id", "title", "status", joined(F.col("problems"), ",").alias("problems"), F.col("epub").isNotNull().alias("made"))
+    docs = raw.select("doc_id", "format", "text").where("doc_id < 3")
+    found = xhtml.rendered(docs)
+    titles = xhtml.titled(found, raw.where("doc_id < 3"))
+    chapters = xhtml.chapters(xhtml.with_heading(found, titles, raw.select("doc_id", "subtitle")), titles).select("doc_id", "chapter", "title", F.replace("xhtml", L("\n"), L("")).alias("xhtml"))
+    span = lambda rows: spark.createDataFrame(rows, "doc_id int, page int, block int, text string, level int, x0 double, y0 double, x1 double, y1 double")
+    grid = spark.createDataFrame([(1, 1, 1, [["a", None]], 0.0, 20.0, 10.0, 30.0)], "doc_id int, page int, table int, rows array<array<string>>, x0 double, y0 double, x1 double, y1 double")
+    pages = readers.pages_html(readers.page_elements(span([(1, 2, 1, "later", None, 0.0, 0.0, 9.0, 9.0), (1, 1, 2, "Head", 1, 0.0, 0.0, 9.0, 9.0), (1, 1, 3, "a", None, 0.0, 21.0, 9.0, 29.0), (1, 1, 4, "x\ny", None, 0.0, 40.0, 9.0, 49.0)]), grid))
+    words = rotation.chapter_words(spark.createDataFrame([("S", 1, "1", ["a b", " c"]), ("S", 1, "2", ["d"])], "book string, chapter int, verse string, lines array<string>"))
+    recent = rotation.recent_topics(spark.createDataFrame([("2026-01-03", "c"), ("2026-01-01", "a"), ("2026-01-02", ""), ("2026-01-04", "d")], "date string, topic string"), 2)
+    calendar = rotation.break_names(rotation.dates(spark, "2026-04-03", "2026-04-14"), spark.sql("SELECT 1 AS priority, 'x' AS name, DATE'2027-01-01' AS start, DATE'2027-01-01' AS end"), spark.sql("SELECT DATE'2027-01-01' AS date, 'y' AS name"))
+    books = spark.sql("SELECT 1 AS seq, 'Sirach' AS book, 3 AS chapters")
+    read = rotation.readings(calendar, rotation.reading_plan(books), "2026-04-01")
+    plan = rotation.day_plans(rotation.dates(spark, "2026-04-05", "2026-04-12"), spark.sql("SELECT 'c' AS category, 7 AS item"), calendar, read, duty).select("date", F.col("picks")["c"].alias("pick"), "on_break.name", "on_break.back", "reading.book", "reading.week").where("date IN ('2026-04-05', '2026-04-07', '2026-04-12')")
+    return [
+        _rows(pages, "pages"),
+        _rows(words, "words"),
+        _rows(recent, "recent"),
+        _rows(plan, "day"),
+        _rows(versus, "versus"),
+        _rows(tiers, "tiers"),
+        _rows(gathered, "gather"),
+        _rows(urls.validated_sources(chosen, known, ["day"]), "sources"),
+        _rows(urls.search_actions(calls), "actions"),
+        _rows(urls.foreign_links(links, spark.createDataFrame([(1, "https://a.org")], "doc_id int, url string")), "foreign link"),
+        _rows(good, "disagreement"),
+        _rows(feed.newest(items, 1).select("guid"), "preview"),
+        _rows(marked, "marked"),
+        _rows(duty, "stewards"),
+        _rows(digest.recorded(spark.sql("SELECT DATE'2026-01-04' AS date, 'Old' AS topic"), spark.sql("SELECT * FROM VALUES (DATE'2026-01-04', 'New'), (DATE'2026-01-05', 'Next') AS t(date, topic)")), "recorded"),
+        _rows(document, "document"),
+        _rows(topics, "topics"),
+        _rows(table, "table of a block"),
+        _rows(converted, "converted"),
+        _rows(chapters, "chapter"),
+    ]
+
+
+TABLES_WANT = [
+    ("pages", "1|<h1>Head</h1><table><tbody><tr><td>a</td><td></td></tr></tbody></table><p>x<br/>y</p><p>later</p>"),
+    ("words", "S|1|4"),
+    ("recent", "2026-01-03|c"),
+    ("recent", "2026-01-04|d"),
+    ("day", "2026-04-05|7|Easter|2026-04-07|NULL|NULL"),
+    ("day", "2026-04-07|7|NULL|NULL|NULL|NULL"),
+    ("day", "2026-04-12|7|NULL|NULL|Sirach|0"),
+    ("versus", "f|2020|1.0|3.0|older common year,stale"),
+    ("versus", "h|2023|1.0|2.0|"),
+    ("tiers", "GBR|1.0|0"),
+    ("tiers", "JAM|2.0|1"),
+    ("tiers", "FRA|NULL|NULL"),
+    ("gather", "2026-01-04||NULL|x|b: FetchError 503"),
+    ("sources", "d|1|https://A.org/x?utm_a=1|s"),
+    ("sources", "d|2|https://c.org|v"),
+    ("actions", "search|2"),
+    ("actions", "unknown|1"),
+    ("actions", "open_page|1"),
+    ("foreign link", "1|https://evil.org"),
+    ("disagreement", "d|1|ai|Wrong|u1"),
+    ("disagreement", "d|2|trains|z|u2"),
+    ("preview", "3"),
+    ("marked", "0|again|2026-01-02"),
+    ("marked", "7|sent|2026-01-02"),
+    ("stewards", "2026-03-01|Red|Ann, Ben|true|NULL|false"),
+    ("stewards", "2026-03-08|NULL|NULL|false|NULL|true"),
+    ("stewards", "2026-03-15|NULL|NULL|false|Fair|false"),
+    ("stewards", "2026-03-22|Blue|Cy|false|NULL|false"),
+    ("recorded", "2026-01-04|Old"),
+    ("recorded", "2026-01-05|Next"),
+    ("document", "# T\n\nToday.\n\n> **Run check — warning:** AI reviewer disagrees with a sourced claim in: AI.\n\n## A\n\n> **AI reviewer note:** No. Reviewer's source: [a.org](https://a.org). The text above follows its cited source; this note is the AI reviewer's own view and may be wrong.\n\n*Unavailable today: x. See the run check above.*\n|AI"),
+    ("topics", "x|2"),
+    ("table of a block", "1|7|2"),
+    ("converted", "1|One (V2)|0||true"),
+    ("converted", "2|b c|0||true"),
+    ("converted", "3|Given|3|line 2: mermaid fence does not render|false"),
+    ("chapter", "1|1|One|<p>Intro</p>"),
+    ("chapter", '1|2|One|<h1>One</h1><p class="subtitle">Sub</p><p>text</p>'),
+    ("chapter", "1|3|Two|<h1>Two</h1><p>end</p>"),
+    ("chapter", "2|1|b c|<h1>b c</h1><p>x</p>"),
+]
+
+_WHOLE = {"vec_sources": (_sources, SOURCES_WANT), "vec_tables": (_tables, TABLES_WANT)}
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: (lambda spark, sf_dir, cases=cases: frame_of(spark, cases)) for name, cases in GOLDEN.items()}
+    return found | {name: (lambda spark, sf_dir, made=made: _union(made(spark))) for name, (made, _) in _WHOLE.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    found = {name: sql_of(cases) for name, cases in GOLDEN.items()}
+    return found | {name: sql_of([(n, None, want) for n, want in rows]) for name, (_, rows) in _WHOLE.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def test_text_keys_of_whole_texts(spark, tmp_path):
     long = "Some Words & <b> " * 40 + "the end>"
     spark.createDataFrame([(1, long), (2, "!!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in queries.queries()["text_keys_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in queries.queries()["text_keys"](spark, str(tmp_path)).collect()}
     want = spark.createDataFrame([(long,)], "t string").select(F.md5(text.alnum(F.col("t"))), F.md5(F.lit(long.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")))).first()
     assert (got[1].alnum, got[1].escaped) == tuple(want) and got[1].slug == ("some-words-b-" * 40)[:60] and got[2].slug is None
 
@@ -27,5 +27,5 @@ def test_coverage_by_place(spark):
 def test_every_nation_against_home(spark):
     sf_dir = "/root/testdata/sf0.01"
     others = {r.n_name for r in queries.table(spark, sf_dir, "nation").where("n_nationkey <> 0").collect()}
-    for name in ("latest_common_year_all", "country_compare_all"):
+    for name in ("latest_common_year", "country_compare"):
         assert {r.other for r in queries.queries()[name](spark, sf_dir).select("other").distinct().collect()} == others
