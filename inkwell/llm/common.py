@@ -64,6 +64,12 @@ def fresh(df: DataFrame, *wanted: str) -> str:
     return name
 
 
+def mapped(df: DataFrame, work) -> DataFrame:
+    """df.mapInArrow(work) with df's own schema, whatever the columns' names: work sees them by position."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(work, plain.schema).toDF(*df.columns)
+
+
 #: Bytes of text that a worker handles at once; a longer text is a slice of its own.
 SLICE = 1 << 21
 

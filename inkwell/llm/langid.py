@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import own_worker, text_slices
+from inkwell.llm.common import mapped, own_worker, text_slices
 
 #: Documents per language that a model is fitted on, at most.
 SAMPLE_DOCS = 200
@@ -33,7 +33,7 @@ CACHE, AT_ONCE = 200_000, 16_384
 #: Characters that an unseen one is one of.
 ALPHABET = 5000
 #: Rejection: standard errors for a text's length, the quantile of the calibration texts' own excess, and the nats per character that are allowed for what a sample cannot show.
-Z, QUANTILE, MARGIN = 6.0, 0.99, 0.35
+Z, QUANTILE, MARGIN = 6.0, 0.99, 1.5
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -276,4 +276,4 @@ def keep_identified(docs: DataFrame, model: Identifier, text_col: str = "text")
             for source, texts in text_slices(batch, at):
                 yield source.filter(pa.array(~shared.value.predict(texts)[2]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return mapped(docs, work)

@@ -426,12 +426,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that classes() keeps, with all their columns, whatever their names and types. Rows that surely stay are not shuffled.
 
-    Repeated rows of an id that stays all stay, as do rows of a null id that are alone; an empty table gives an empty result.
+    Repeated rows of an id that stays all stay, and rows of a null id always do, as nothing tells one from another; an empty table gives an empty result.
     """
     gone_id, maybe = fresh(docs, "gone"), fresh(docs, "maybe")
-    gone = cut(classes(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(gone_id)).distinct(), "gone")
+    gone = cut(classes(docs, id_col, text_col).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias(gone_id)).distinct(), "gone")
     bloom, blocks = member_filter(gone, F.col(gone_id), gone.count())
     probed = maybe_repeated(docs, F.col(f"`{id_col}`").cast("long"), bloom, blocks, maybe)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = probed.where(~F.col(maybe)).select(*columns)
-    return stay.unionByName(probed.where(F.col(maybe)).join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id)), "left_anti").select(*columns))
+    unsure = F.col(maybe) & F.col(f"`{id_col}`").isNotNull()
+    stay = probed.where(~unsure).select(*columns)
+    return stay.unionByName(probed.where(unsure).join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti").select(*columns))

@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkwell.llm.common import own_worker, text_slices
+from inkwell.llm.common import mapped, own_worker, text_slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "account", "secret")
@@ -179,4 +179,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             clean = pa.array([None if t is None else redacted_text(t) for t in source.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([clean if c == at else column for c, column in enumerate(source.columns)], names=source.schema.names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return mapped(docs, work)

@@ -46,3 +46,30 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     plan = exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan.replace("PandasUDF", "Pandas")
+
+
+def test_stages_take_any_columns(spark):
+    """Map columns, and columns named like those that the operators make for themselves; repeated rows and null ids; an empty table."""
+    from inkwell.llm.exact_dedup import drop_copies
+    from inkwell.llm.langid import keep_identified, train
+    from inkwell.llm.neardup import drop_near_copies
+    from inkwell.llm.pii import redact
+
+    words = " ".join(f"alpha{k} beta" for k in range(40))
+    schema = "doc_id long, text string, lang string, at string, again int, bits map<string,int>, `of` string, gone string, maybe int, row int, sha string, `a.b` int"
+    rows = [(i, t, "en", "x", 1, {"k": i or 0}, "o", "g", 2, 3, "s", 4) for i, t in [(1, words), (2, words), (2, words), (3, words + " more"), (None, None), (4, ""), (5, "mail a.b@c.de " + words[:200])]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = drop_copies(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(2, words), (3, words + " more"), (4, ""), (5, rows[-1][1])])
+    near = drop_near_copies(docs)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in near.collect()) == [0, 1, 4, 5]
+    clean = redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert [r.text for r in clean.where("doc_id = 5").collect()] == ["mail [EMAIL] " + words[:200]] and clean.where("text IS NULL").count() == 1
+    found = keep_identified(docs, train(docs))
+    assert found.columns == docs.columns and found.where("text IS NULL OR text = ''").count() == 0
+    empty = docs.limit(0)
+    for stage in (drop_copies, drop_near_copies, redact, lambda d: keep_identified(d, train(docs))):
+        assert stage(empty).count() == 0

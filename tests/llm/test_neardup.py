@@ -97,3 +97,86 @@ def test_isolated_pairs_of_plain_similarity(spark):
     assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs)
     assert [(i, j) for i, j in pairs if got[i] != got[j]] == []
     assert len(set(got.values())) == len(texts) - len(pairs)
+
+
+def weighted(rows):
+    """Per text its shingles with tf x idf, idf by exact document frequencies over all rows."""
+    import math
+    from collections import Counter
+
+    counted = {}
+    for i, t in rows:
+        w = words(t)
+        counted[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+    df = Counter(s for c in counted.values() for s in c)
+    n = len(rows)
+
+    def idf(s):
+        if df[s] < max(2.0, neardup.SHARE * n):
+            return 1.0
+        return neardup.FLOOR + (1 - neardup.FLOOR) * min(1, max(0, math.log(max(df[s] / n, neardup.SHARE)) / math.log(neardup.SHARE)))
+
+    return {i: {s: c * idf(s) for s, c in x.items()} for i, x in counted.items()}
+
+
+def weighted_jaccard(a, b):
+    both = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def brute_both(rows):
+    """Classes where the weighted or the plain Jaccard similarity is 0.8 or more, over all pairs; texts without a word where they are equal."""
+    w, root, text = weighted(rows), {i: i for i, _ in rows}, dict(rows)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(root)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            same = (text[i] or "") == (text[j] or "") or w[i] and w[j] and (len(w[i].keys() & w[j].keys()) >= 0.8 * len(w[i].keys() | w[j].keys()) or weighted_jaccard(w[i], w[j]) >= 0.8 - 1e-9)
+            if same:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in root}
+
+
+def test_both_clauses_equal_brute_force(spark):
+    """Pairs that the weights alone link, by lines that stand in many texts and by repeated lines, and pairs that they part; recall is 1 here."""
+    rng = random.Random(21)
+    new = lambda n: " ".join(f"n{rng.randrange(10**9)}" for _ in range(n))
+    common = [new(40) for _ in range(3)]
+    texts = [f"{new(60)} {common[k % 3]}" for k in range(60)]
+    for _ in range(40):  # the same rare text beside different common lines: plain 0.7, weighted above
+        own = new(104)
+        texts += [f"{own} {common[0]}", f"{own} {common[1]}"]
+    for _ in range(20):  # a line many times in both, few other words in common by set, most by weight
+        line = new(12)
+        texts += [" ".join([line] * 30 + [new(2)]), " ".join([line] * 30 + [new(2)])]
+    texts += [edited(rng, texts[0], 3) for _ in range(5)]
+    rows = list(enumerate(texts))
+    want = brute_both(rows)
+    plain = brute(rows)
+    assert want != plain  # the weights decide something here
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == want
+
+
+def test_weights_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(5)
+    line = "one very common line of text here"
+    rows = [(k, f"{line} " + " ".join(f"w{rng.randrange(300)}" for _ in range(30))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = neardup.frequent(docs.coalesce(1), "text", 300), neardup.frequent(docs.repartition(40), "text", 300)
+    assert few.hashes.tolist() == many.hashes.tolist() and few.idf.tolist() == many.idf.tolist() and len(few.hashes) >= 3
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1001 + k) for k in range(50)] + [(2000 + k, 2000 + k // 2) for k in range(1, 60)] + [(5000, 5001)]
+    rng.shuffle(edges)
+    links = spark.createDataFrame([(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges], "id long, other long")
+    got = {r.id: r.root for r in neardup.components(links).collect()}
+    assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1051)} | {k: 2000 for k in range(2000, 2060)} | {5000: 5000, 5001: 5000}

@@ -1,11 +1,13 @@
+import re
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkwell.llm.common import cut
-from inkwell.llm.neardup import classes
-from inkwell.llm.pii import redacted_text
+from inkwell.llm.pii import find
+from test_neardup import brute_both
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,10 +35,19 @@ def test_stages_against_brute_force(spark):
     assert after == {i: t for t, i in best.items()}
 
     before, after = ({r.doc_id: r.text for r in x.collect()} for x in seen["near"])
-    assert set(after) == {r.class_id for r in classes(seen["near"][0]).collect()}
+    assert set(after) == set(brute_both(sorted(before.items())).values())
 
     before, after = ({r.doc_id: (r.text, r.n_chars) for r in x.collect()} for x in seen["private"])
-    assert after == {i: (redacted_text(t), len(redacted_text(t))) for i, (t, _) in before.items()}
+    base = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    assert before.keys() == after.keys()
+    for i, (t, _) in before.items():
+        clean, n = after[i]
+        assert n == len(clean) and base.search(clean) is None and clean.count("[EMAIL]") <= len(base.findall(t))
+        # what is not replaced stays, in its order
+        at = 0
+        for piece in re.split(r"\[(?:EMAIL|IP|CARD|PHONE|ADDRESS|ACCOUNT|SECRET)\]", clean):
+            at = t.index(piece, at) + len(piece)
+        assert (clean == t) == (find(t) == {k: [] for k in find("")})
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     left = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, (t, _) in after.items()}
