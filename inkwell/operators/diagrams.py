@@ -219,14 +219,54 @@ def parsed(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else next((x for p in PARSERS if (x := p(s)) is not None), None))
 
 
+#: Edges of a graph that one task folds; a larger one goes round by round.
+FOLDED = 100_000
+
+
+def longest_path(edges: list[tuple[str, str]]) -> int | None:
+    """Nodes on the longest path of a directed graph, None where it has a cycle: nodes are taken off as soon as all that lead to them are gone."""
+    after: dict[str, list[str]] = {}
+    waits: dict[str, int] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        waits[b] = waits.get(b, 0) + 1
+        waits.setdefault(a, 0)
+    depth = dict.fromkeys(waits, 1)
+    free = [n for n, k in waits.items() if k == 0]
+    gone = 0
+    while free:
+        node = free.pop()
+        gone += 1
+        for other in after.get(node, ()):
+            depth[other] = max(depth[other], depth[node] + 1)
+            waits[other] -= 1
+            if waits[other] == 0:
+                free.append(other)
+    return max(depth.values()) if gone == len(waits) else None
+
+
 def depths(edges: DataFrame, by: str = "graph_id") -> DataFrame:
     """(by, depth): nodes on the longest path of each directed graph, null where it has a cycle.
 
-    Path lengths are relaxed round by round for all graphs at once; a graph with n nodes that still grows after n rounds has a cycle.
+    A graph of up to FOLDED edges is folded in one task; larger ones are relaxed round by round, all of them at once.
     """
+    edges = edges.select(by, "src", "dst").distinct()
+    sizes = edges.groupBy(by).agg(F.count(F.lit(1)).alias("edges"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        found = longest_path(list(zip(rows["src"], rows["dst"], strict=True)))
+        return pd.DataFrame({by: [rows[by].iloc[0]], "depth": pd.array([found], "Int32")})
+
+    kind = dict(edges.dtypes)[by]
+    small = edges.join(sizes.where(F.col("edges") <= FOLDED).select(by), by, "left_semi").groupBy(by).applyInPandas(fold, f"`{by}` {kind}, depth int")
+    large = edges.join(sizes.where(F.col("edges") > FOLDED).select(by), by, "left_semi")
+    return small if sizes.where(F.col("edges") > FOLDED).isEmpty() else small.unionByName(_relaxed(large, by))
+
+
+def _relaxed(edges: DataFrame, by: str) -> DataFrame:
+    """depths() round by round: a graph with n nodes that still grows after n rounds has a cycle."""
     from inkwell.plans.lineage import cut
 
-    edges = edges.select(by, "src", "dst").distinct()
     nodes = edges.select(by, F.explode(F.array("src", "dst")).alias("node")).distinct()
     sizes = nodes.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     length = cut(nodes.join(sizes, by).withColumn("depth", F.lit(1)).withColumn("grown", F.lit(True)))

@@ -200,6 +200,7 @@ def test_diagrams(spark):
     assert diagrams.flowchart("pie") is None
     graph = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (2, "a", "b"), (2, "b", "a"), *[(3, "r", str(k)) for k in range(5)]], "graph_id int, src string, dst string")
     assert {r.graph_id: r.depth for r in diagrams.depths(graph).collect()} == {1: 3, 2: None, 3: 2}
+    assert {r.graph_id: r.depth for r in diagrams._relaxed(graph.distinct(), "graph_id").collect()} == {1: 3, 2: None, 3: 2}
     kinds = spark.createDataFrame([(1, "TB"), (2, "TB"), (3, "BT")], "graph_id int, direction string")
     assert {r.graph_id: r.direction for r in diagrams.directions(kinds, graph).collect()} == {1: "TB", 2: "TB", 3: "RL"}
     assert one(spark, diagrams.is_flow_diagram(F.lit("a --> b\n  |\nc"))) and not one(spark, diagrams.is_flow_diagram(F.lit("same → input")))
