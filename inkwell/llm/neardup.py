@@ -37,7 +37,7 @@ SHARE, FLOOR = 0.001, 0.25
 BLOCK = 125
 #: Entries of a sample's table of random variates. Each sample reads other bits of a shingle's hash, so two shingles share a variate in one sample of TABLE.
 TABLE = 1 << 16
-#: Cells in which shingles are counted first, and the blocks in which the counts are added up.
+#: Cells in which shingles are counted first, and the blocks, at most, in which the counts are added up.
 CELLS, CELL_BLOCKS = 1 << 20, 256
 #: Shingle hashes that a task counts at once.
 HELD = 4_000_000
@@ -139,16 +139,17 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def frequent(docs: DataFrame, text_col: str, documents: int) -> Weights:
     """Two passes over all documents for the shingles that at least SHARE of them hold, with exact counts."""
     least = max(2.0, SHARE * documents)
+    parts = max(8, min(CELL_BLOCKS, documents // 2000))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(CELLS, np.int64)
         for h in _hashes(batches):
             out += np.bincount((h >> U(44)).astype(np.int64), minlength=CELLS)
-        yield in_blocks(out, CELL_BLOCKS)
+        yield in_blocks(out, parts)
 
     texts = docs.select(text_col)
-    found = summed(texts.mapInArrow(cells, BLOCK_ROWS), CELL_BLOCKS)
-    full = docs.sparkSession.sparkContext.broadcast(whole(found, CELLS, CELL_BLOCKS) >= least)
+    found = summed(texts.mapInArrow(cells, BLOCK_ROWS), parts)
+    full = docs.sparkSession.sparkContext.broadcast(whole(found, CELLS, parts) >= least)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
