@@ -117,10 +117,14 @@ class Index:
         self.vocabulary = sorted({*seen, *self.first})
         self.number = {w: k for k, w in enumerate(self.vocabulary)}
         self.idf = np.array([math.log((1 + len(self.words)) / seen[w]) if w in seen else 0.0 for w in self.vocabulary])
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
+        postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
         for t, words in enumerate(self.words):
             for k, w in enumerate(words):
-                self.postings[self.number[w]].append((t, k))
+                postings[self.number[w]].append((t, k))
+        self.postings = [np.array(p, np.int64).reshape(-1, 2) for p in postings]
+        self.holds = np.zeros((len(self.vocabulary), len(self.words)), np.int64)
+        for w, p in enumerate(self.postings):
+            self.holds[w, p[:, 0]] = 1
         self.opens = np.array([w in self.first for w in self.vocabulary])
 
     def scan_all(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, str]], set[str], float]]:
@@ -167,24 +171,24 @@ class Index:
         labels: set[str] = set()
         best = 0.0
         distinct = np.unique(words)
-        rare = sorted(distinct[self.idf[distinct] > 0].tolist(), key=lambda w: (-self.idf[w], w))[:LOOKUPS]
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        holds: dict[int, set[int]] = defaultdict(set)
-        for w in rare:
-            for t, k in self.postings[w]:
-                holds[t].add(w)
-        for t in [t for t, ws in holds.items() if len(ws) >= LEAST]:
-            for w in holds[t]:
-                for j in at[words == w].tolist():
-                    for template, k in self.postings[w]:
-                        if template == t:
-                            # two neighbouring cells, so that a drift across a border is not lost
-                            cell = (j - k) // DRIFT
-                            votes[t, cell].add(w)
-                            votes[t, cell - 1].add(w)
-        for (t, cell), agreed in votes.items():
-            share = len(agreed) / len(holds[t])
-            if len(agreed) >= LEAST and share >= AGREE and self._verified(word, n, t, cell * DRIFT):
+        rare = distinct[np.argsort(-self.idf[distinct], kind="stable")]  # the vocabulary is sorted, so ties go by the word
+        rare = rare[self.idf[rare] > 0][:LOOKUPS]
+        held = self.holds[rare].sum(axis=0)
+        if not (held >= LEAST).any():
+            return labels, best
+        # a vote: template and cell of the place at which it would begin; two neighbouring cells, so that a drift across a border is not lost
+        span = (n + 4096) // DRIFT + 8
+        votes = []
+        for w in rare.tolist():
+            t, k = self.postings[w][:, 0], self.postings[w][:, 1]
+            cell = t * span + (at[words == w][:, None] - k) // DRIFT + 4096 // DRIFT + 4
+            votes.append(np.unique(np.concatenate([cell.ravel(), cell.ravel() - 1])))
+        found, agreed = np.unique(np.concatenate(votes), return_counts=True)
+        of = found // span
+        enough = (agreed >= LEAST) & (held[of] >= LEAST) & (agreed >= AGREE * held[of])
+        for t, cell, count in zip(of[enough].tolist(), (found[enough] % span).tolist(), agreed[enough].tolist(), strict=True):
+            share = count / int(held[t])
+            if (self.labels[t] not in labels or share > best) and self._verified(word, n, t, (cell - 4096 // DRIFT - 4) * DRIFT):
                 labels.add(self.labels[t])
                 best = max(best, share)
         return labels, best
