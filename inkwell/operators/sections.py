@@ -16,7 +16,8 @@ WEATHER_PAGE = "https://open-meteo.com/"
 LINE_PAGE = "https://tfl.gov.uk/tube-dlr-overground/status/"
 RAIL_PAGE = "https://www.nationalrail.co.uk/status-and-disruptions/"
 INDICATOR_PAGE = "https://data.worldbank.org/indicator/"
-DATAMAPPER_PAGE = "https://www.imf.org/external/datamapper/"
+DATAMAPPER_PAGE = "https://www.imf.org/external/datamapper/{}@WEO/GBR/JAM"
+NAMES = {"weather": "Weather in Croydon", "trains": "Trains", "flag": "Flag of the Day", "research": "Research Fact", "ai": "AI Engineering", "scripture": "Sunday Reading", "uk_vs_jamaica": "UK vs Jamaica", "break": "Break day"}
 NOT_ALL_NOTICES = "*Some TfL notices could not be shown; check the TfL status page.*"
 NO_NOTICE = "No planned disruption listed by TfL."
 SEARCHED = "*From an AI web search; may be incomplete or wrong. Check before travelling.*"
@@ -63,6 +64,11 @@ def linked(url: Column) -> Column:
     return filled("[{}]({})", label(url), url)
 
 
+def section_name(key: Column) -> Column:
+    """The name that a section goes by in the run check; null for one that has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), key)
+
+
 def bullets(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
 
@@ -144,7 +150,7 @@ def indicator_page(code: Column | str, cca2: Column) -> Column:
 
 def source_page(source: Column, code: Column, cca2: Column, page: Column) -> Column:
     """The page a reader may look a figure up on, by its source."""
-    return F.when(source == "worldbank", indicator_page(code, cca2)).when(source == "imf", F.concat(F.lit(DATAMAPPER_PAGE), code)).otherwise(page)
+    return F.when(source == "worldbank", indicator_page(code, cca2)).when(source == "imf", filled(DATAMAPPER_PAGE, code)).otherwise(page)
 
 
 def flag_section(country: Column, flag: Column, population: Column, land: Column, comparison: Column, blurb: Column, page: Column, home: str = "GBR") -> Column:

@@ -225,7 +225,7 @@ GOLDEN: dict[str, list[Case]] = {
         ("wider source", lambda: series.comparability(L(1.0), L(2.0), L("usd"), L(True), L(2))["reason"], "a figure comes from a different source, so definitions may differ"),
         ("not positive", lambda: series.comparability(L(0.0), L(2.0), L("usd"), L(True), L(1))["reason"], "the UK figure is not positive, so no ratio can be given"),
         ("world bank page", lambda: sections.source_page(L("worldbank"), L("A.B"), L("JM"), L(None).cast("string")), "https://data.worldbank.org/indicator/A.B?locations=JM"),
-        ("fund page", lambda: sections.source_page(L("imf"), L("N"), L("JM"), L(None).cast("string")), "https://www.imf.org/external/datamapper/N"),
+        ("fund page", lambda: sections.source_page(L("imf"), L("N"), L("JM"), L(None).cast("string")), "https://www.imf.org/external/datamapper/N@WEO/GBR/JAM"),
         ("own page", lambda: sections.source_page(L("who"), L("N"), L("JM"), L("https://w.int/x")), "https://w.int/x"),
     ],
     "vec_hours": [
@@ -295,6 +295,9 @@ GOLDEN: dict[str, list[Case]] = {
         ("document", lambda: feed.document(L("D & 1"), L(None).cast("string"), F.array(F.struct(L("p").alias("tag"), L("x").alias("text"))), L("https://e.org"), _date("2026-01-05")), '<h1>D &amp; 1</h1>\n<p>x</p>\n<p><a href="https://e.org">https://e.org</a> · 5 January 2026</p>'),
     ],
     "vec_sections": [
+        ("names", lambda: joined(F.array(*[sections.section_name(L(k)) for k in ("uk_vs_jamaica", "flag", "x")])), "UK vs Jamaica|Flag of the Day|NULL"),
+        ("flag", lambda: sections.flag_section(F.struct(L("Malta").alias("name"), L("Europe").alias("region"), L("").alias("subregion"), F.array(L("Valletta")).alias("capital"), F.array().cast("array<string>").alias("currencies"), L("MT").alias("cca2"), L("MLT").alias("cca3")), L("f.png"), F.struct(L(531000.0).alias("value"), L(67000000.0).alias("home"), L(2023).alias("year")), L(None).cast("struct<value:double,home:double,year:int>"), L(None).cast("string"), L("An island."), L("https://w/Malta")), "## Flag of the Day: Malta\n\n![Flag of Malta](f.png)\n\n| Country | Malta |\n|---|---|\n| Region | Europe |\n| Capital | Valletta |\n| Currency | — |\n| Population | 531,000 (2023) |\n| vs UK | 0.79% of the UK's (2023) |\n| Land area | unavailable today |\n\nAn island.\n\nSources: [Wikipedia](https://w/Malta) · [World Bank population](https://data.worldbank.org/indicator/SP.POP.TOTL?locations=MT)"),
+        ("reading", lambda: sections.reading_section(F.struct(L("Sirach 1–2").alias("title"), L("World English Bible").alias("translation"), L("Public Domain").alias("licence"), L("https://e").alias("url"), L(None).cast("struct<authorship:string,about:string,outline:string,plan:array<string>,prologue:string>").alias("overview"), L("Sirach").alias("book"), F.struct(L("Sirach").alias("title"), _date("2026-11-01").alias("date"), L(True).alias("overview")).alias("previous"), L("").alias("recap"), F.array(L("### Sirach 1"), L("### Sirach 2")).alias("chapters"), F.struct(L("Sirach 3–4").alias("title"), _date("2026-11-15").alias("date"), L(False).alias("overview"), L("A; B").alias("part")).alias("next"), L(None).cast("struct<title:string,url:string>").alias("wiki"))), "## Sunday Reading: Sirach 1–2\n\n*World English Bible (public domain)*\n\n### Look back\n\nPrevious reading (Sunday 1 November): an overview of Sirach.\n\n### Sirach 1\n\n### Sirach 2\n\n### Look forward\n\nNext reading (Sunday 15 November): Sirach 3–4 (part of: A; B).\n\nSource: [World English Bible — eBible.org](https://e)"),
         ("break", lambda: sections.break_section(L("Easter"), _date("2026-04-07")), "> **Break day — Easter.** No study today. Back on Tuesday 7 April."),
         ("weather block", lambda: sections.weather_block(F.struct(L("grey").alias("sky"), L("cool").alias("feel"), L("13°C").alias("high"), L("8°C").alias("low"), L("06:00 (6am)").alias("sunrise"), L("20:00 (8pm)").alias("sunset"), F.array(*[F.struct(L(a).alias("start"), L(b).alias("end"), L("rain").alias("kind"), L(i).alias("intensity"), L(y).alias("likely"), L(80).alias("peak_chance"), F.array(*map(L, p)).alias("parts")) for a, b, i, y, p in (("08:00", "09:00", "light", True, ["morning"]), ("11:00", "14:00", "heavy", False, ["morning", "afternoon"]))]).alias("spells")), lambda x: x), "SKY (07:00 to 19:00): grey\nFEELS: cool\nHIGH: 13°C\nLOW: 8°C\nRAIN SPELLS:\n- light rain, likely, in the morning, from 08:00 to 09:00, peak chance 80%\n- heavy rain, possible, in the morning and afternoon, from 11:00 to 14:00, peak chance 80%\nON AND OFF: morning\nHEAVY: yes\nSUNRISE: 06:00 (6am)\nSUNSET: 20:00 (8pm)"),
         ("no weather", lambda: sections.weather_section(L(None).cast("struct<sky:string,feel:string,high:string,spells:array<struct<intensity:string,kind:string,likely:boolean,parts:array<string>>>>"), L(None).cast("string")), "## Weather in Croydon\n\n*Unavailable today: the Croydon weather forecast. See the run check above.*"),
