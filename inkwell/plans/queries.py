@@ -125,8 +125,8 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
     WITH p AS (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS t FROM pages)
     SELECT page_id, url, regexp_extract(lower(url), '^https?://([^/?#:]*)', 1) AS host,
-           trim(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS published,
-           md5(trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS body
+           trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS published,
+           md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS body
     FROM p
 """)
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
