@@ -205,9 +205,15 @@ def escaped(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Drops inline links, squeezes blanks and takes those before punctuation away."""
-    text = F.regexp_replace(text, r"(?<!!)\(?\[([^\]]*)\]\([^)]*\)\)?", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"[ \t]+([.,;:])", "$1"))
+    """Drops inline links, squeezes blanks and takes those before punctuation away. A pattern is tried only where what it needs is there."""
+    has = lambda x, *marks: F.greatest(*[F.contains(x, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(x, F.lit(marks[0]))
+    unlinked = F.when(has(text, "]("), F.regexp_replace(text, r"(?<!!)\(?\[([^\]]*)\]\([^)]*\)\)?", "")).otherwise(text)
+
+    def squeezed_blanks(x: Column) -> Column:
+        single = F.when(has(x, "  ", "\t"), F.regexp_replace(x, r"[ \t]{2,}", " ")).otherwise(x)
+        return F.trim(F.when(has(x, " .", " ,", " ;", " :", "\t"), F.regexp_replace(single, r"[ \t]+([.,;:])", "$1")).otherwise(single))
+
+    return bound(unlinked, squeezed_blanks)
 
 
 def paragraphs(text: Column) -> Column:
