@@ -34,7 +34,7 @@ from inkwell.llm.licenses import IN_WORD
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
 SHARE, FLOOR = 0.001, 0.25
-BLOCK = 125
+BLOCK = 250
 #: Entries of a sample's table of random variates. Each sample reads other bits of a shingle's hash, so two shingles share a variate in one sample of TABLE.
 TABLE = 1 << 16
 #: Cells in which shingles are counted first, and the blocks, at most, in which the counts are added up.
