@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.functions import folds, text, urls
 from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
