@@ -1,10 +1,10 @@
 """Licence scans over a positional index of rare words.
 
 The index maps each word of the licence templates to its postings (template, position) and its IDF over the templates. Files are parted into words column-wise.
-Of each file the words that the index knows are found, and the ``LOOKUPS`` of the highest IDF among them, the file's own rarest licence words, are looked up:
-a posting and the word's place in the file give the place at which the template would begin, and the postings of the words intersect where they agree on one,
-give or take small edits. A template is found where at least half of the looked-up words that it holds, and at least ``LEAST`` of them, agree, and its
-mandatory key phrases stand in the file near that place. Every file goes this way; nothing decides before the index.
+Of each file all words of a high IDF (``RARE``: those in at most a quarter of the templates), the file's rare licence words, are looked up wherever they stand:
+a posting and the word's place in the file give the place at which the template would begin, and postings intersect where they agree on one, give or take small
+edits. So every region of a file has votes of its own, and neither prose nor other licences in it take any away. A template is found where at least half of its
+rare words, and at least ``LEAST``, agree, and its mandatory key phrases stand in the file near that place. Every file goes this way; nothing decides before the index.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Base: the places where the words of a base phrase stand consecutively.
 """
@@ -93,8 +93,8 @@ TEMPLATES |= {
     "ofl": ("this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at", ("sil open font license",)),
     "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed",)),
 }
-#: Words of a file that are looked up, highest IDF first, and places of each that are read for a vote; words by which an alignment may drift; share and least number of looked-up words that must agree.
-LOOKUPS, DRIFT, AGREE, LEAST = 12, 6, 0.5, 3
+#: Share of the templates that a rare word is in at most; words by which an alignment may drift; share and least number of a template's rare words that must agree.
+RARE, DRIFT, AGREE, LEAST = 0.25, 6, 0.5, 3
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BETWEEN = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+"
@@ -122,9 +122,14 @@ class Index:
             for k, w in enumerate(words):
                 postings[self.number[w]].append((t, k))
         self.postings = [np.array(p, np.int64).reshape(-1, 2) for p in postings]
-        self.holds = np.zeros((len(self.vocabulary), len(self.words)), np.int64)
-        for w, p in enumerate(self.postings):
-            self.holds[w, p[:, 0]] = 1
+        # a rare word has the IDF of one in RARE of the templates, or a higher one
+        self.rare = self.idf >= math.log((1 + len(self.words)) / max(1.0, RARE * len(self.words)))
+        self.sizes = np.where(self.rare, [len(p) for p in self.postings], 0)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.flat = np.concatenate([np.zeros((0, 2), np.int64), *(p for p, r in zip(self.postings, self.rare, strict=True) if r)])
+        held = Counter(t for p, r in zip(self.postings, self.rare, strict=True) if r for t in set(p[:, 0].tolist()))
+        self.held = np.array([held[t] for t in range(len(self.words))], np.int64)
+        self.need = np.maximum(LEAST, np.ceil(AGREE * self.held).astype(np.int64))
         self.opens = np.array([w in self.first for w in self.vocabulary])
 
     def scan_all(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, str]], set[str], float]]:
@@ -144,21 +149,27 @@ class Index:
         words_before = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], ends])]
         hits = np.flatnonzero(number >= 0)
         of = np.searchsorted(ends, hits, side="right")
-        bounds = np.searchsorted(of, np.arange(len(ends) + 1))
-        out = []
-        for k in range(len(ends)):
-            a, b = bounds[k], bounds[k + 1]
-            n = int(words_before[k + 1] - words_before[k])
-            if a == b:
-                out.append((n, [], set(), 0.0))
+        at, words = place[hits] - words_before[of], number[hits]
+        sizes = np.diff(words_before)
+        file_codes = lambda k: codes[(ends[k - 1] if k else 0) : ends[k]][real[(ends[k - 1] if k else 0) : ends[k]]]
+        bases: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        opens = np.flatnonzero(self.opens[words])
+        for k in np.unique(of[opens]).tolist():
+            own = opens[of[opens] == k] if len(ends) < 8 else opens[np.searchsorted(of[opens], k) : np.searchsorted(of[opens], k, side="right")]
+            real_codes = file_codes(k)
+            bases[k] = self._stand(lambda j, c=real_codes: distinct[c[j]], int(sizes[k]), at[own], words[own])
+        labels: dict[int, set[str]] = defaultdict(set)
+        best: dict[int, float] = defaultdict(float)
+        now, real_codes = -1, None
+        for k, t, start, share in self._aligned(of, at, words, int(sizes.max(initial=0))):
+            if self.labels[t] in labels[k] and share <= best[k]:
                 continue
-            at, words = place[hits[a:b]] - words_before[k], number[hits[a:b]]
-            lo, hi = (ends[k - 1] if k else 0), ends[k]
-            real_codes = codes[lo:hi][real[lo:hi]]
-            word = lambda j, real_codes=real_codes: distinct[real_codes[j]]
-            labels, best = self._align(word, n, at, words)
-            out.append((n, self._stand(word, n, at, words), labels, best))
-        return out
+            if k != now:
+                now, real_codes = k, file_codes(k)
+            if self._verified(lambda j, c=real_codes: distinct[c[j]], int(sizes[k]), t, start):
+                labels[k].add(self.labels[t])
+                best[k] = max(best[k], share)
+        return [(int(sizes[k]), bases[k], labels[k], best[k]) for k in range(len(ends))]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], set[str], float]:
         return self.scan_all(pa.array([text], pa.string()))[0]
@@ -167,31 +178,23 @@ class Index:
         opens = self.opens[words]
         return [(j, label) for j, w in zip(at[opens].tolist(), words[opens].tolist(), strict=True) for p, label in self.first[self.vocabulary[w]] if j + len(p) <= n and all(word(j + i) == x for i, x in enumerate(p))]
 
-    def _align(self, word, n: int, at: np.ndarray, words: np.ndarray) -> tuple[set[str], float]:
-        labels: set[str] = set()
-        best = 0.0
-        distinct = np.unique(words)
-        rare = distinct[np.argsort(-self.idf[distinct], kind="stable")]  # the vocabulary is sorted, so ties go by the word
-        rare = rare[self.idf[rare] > 0][:LOOKUPS]
-        held = self.holds[rare].sum(axis=0)
-        if not (held >= LEAST).any():
-            return labels, best
-        # a vote: template and cell of the place at which it would begin; two neighbouring cells, so that a drift across a border is not lost
-        span = (n + 4096) // DRIFT + 8
-        votes = []
-        for w in rare.tolist():
-            t, k = self.postings[w][:, 0], self.postings[w][:, 1]
-            cell = t * span + (at[words == w][:, None] - k) // DRIFT + 4096 // DRIFT + 4
-            votes.append(np.unique(np.concatenate([cell.ravel(), cell.ravel() - 1])))
-        found, agreed = np.unique(np.concatenate(votes), return_counts=True)
-        of = found // span
-        enough = (agreed >= LEAST) & (held[of] >= LEAST) & (agreed >= AGREE * held[of])
-        for t, cell, count in zip(of[enough].tolist(), (found[enough] % span).tolist(), agreed[enough].tolist(), strict=True):
-            share = count / int(held[t])
-            if (self.labels[t] not in labels or share > best) and self._verified(word, n, t, (cell - 4096 // DRIFT - 4) * DRIFT):
-                labels.add(self.labels[t])
-                best = max(best, share)
-        return labels, best
+    def _aligned(self, of: np.ndarray, at: np.ndarray, words: np.ndarray, longest: int) -> Iterator[tuple[int, int, int, float]]:
+        """(file, template, beginning, share of the template's rare words that agree on it) of all places where enough do, file by file."""
+        rare = self.rare[words]
+        of, at, words = of[rare], at[rare], words[rare]
+        n = self.sizes[words]
+        hit = np.repeat(np.arange(len(words)), n)
+        posting = self.flat[self.starts[words][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
+        # a cell of beginnings, and the one before it, so that a drift across a border is not lost; a word counts once in a cell
+        shift = max(map(len, self.words)) // DRIFT + 2
+        span = longest // DRIFT + shift + 2
+        cell = (of[hit] * len(self.words) + posting[:, 0]) * span + (at[hit] - posting[:, 1]) // DRIFT + shift
+        own = words[hit]
+        both = np.unique(np.concatenate([cell, cell - 1]) * len(self.vocabulary) + np.concatenate([own, own]))
+        found, agreed = np.unique(both // len(self.vocabulary), return_counts=True)
+        t = found // span % len(self.words)
+        for cell, t, count in zip(*(x[agreed >= self.need[t]].tolist() for x in (found, t, agreed)), strict=True):
+            yield cell // span // len(self.words), t, (cell % span - shift) * DRIFT, count / int(self.held[t])
 
     def _verified(self, word, n: int, t: int, start: int) -> bool:
         low, high = max(0, start - 2 * DRIFT), min(n, start + len(self.words[t]) + 4 * DRIFT)
@@ -207,7 +210,7 @@ def index() -> Index:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 where a base phrase stands, else the largest share of the looked-up words of a template that agree, 0 without a label.
+    score is 1 where a base phrase stands, else the largest share of a template's rare words that agree, 0 without a label.
     A null text counts as empty: no words, null first_word and last_word, empty labels. Repeated rows and null ids come back as they are;
     other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
