@@ -7,7 +7,8 @@ every character is expanded over a bounded number of times, so a pass is linear
 Base kinds, leftmost and non-overlapping within a kind; what fails its validation is dropped and not tried again:
 email, ip (parts to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits).
 Added kinds, both behind an anchor alone: address (the user part of a URL, where it has one, behind a scheme) and account (behind a cue, in any case: an IBAN that
-passes mod 97, a number of 8 to 20 digits, or a ddd-dd-dddd number). An IBAN without a cue is not looked for. secret: the value behind a credential cue and = or :, of 8 characters or more with a digit, or an access key's identifier.
+passes mod 97, a number of 8 to 20 digits, or a ddd-dd-dddd number). An IBAN without a cue is not looked for. secret: the value behind a credential cue and = or :, of 8 characters or more, whatever
+their number, with a digit in it or behind it before the next blank or quote; or an access key's identifier.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-USER = re.compile(r"[A-Za-z0-9._%+~-]{1,64}(?::[^\s/@:]{0,128})?@(?=[A-Za-z0-9])")
+USER = re.compile(r"[A-Za-z0-9._%+~-]++(?::[^\s/@:]*+)?@(?=[A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9](?:[ -]?[0-9]){7,19}(?![0-9])")
-VALUE = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[^\s\"']{0,255}[0-9])([A-Za-z0-9+/_.~!@#$%^&*-]{8,256})")
+VALUE = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,}+)")
+RUN = re.compile(r"[^\s\"']*")
 KEY_ID = re.compile(r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])")
 BETWEEN = re.compile(r"[ \t]{0,3}(?:number|no|nr|is)?[.:#= \t]{0,4}", re.I)
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -80,7 +82,7 @@ def _lowered(text: str) -> str:
 def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order; code points, end exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE, *ADDED)}
-    done = dict.fromkeys(out, 0)
+    done, run, digit = dict.fromkeys(out, 0), 0, 0
     for last, (kind, size) in _anchors().iter(_lowered(text)):
         at = last + 1 - size
         if kind == "digit":
@@ -116,7 +118,10 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 done["address"] = m.end()
         elif kind in ("credential", "key"):
             m = KEY_ID.match(text, at) if kind == "key" else VALUE.match(text, last + 1)
-            if m and m.start(m.lastindex or 0) >= done["secret"]:
+            if m and kind == "credential" and m.end() > run:  # up to the next blank or quote; each such run is read once
+                run = RUN.match(text, m.start(1)).end()
+                digit = max(text.rfind(d, m.start(1), run) for d in "0123456789")
+            if m and m.start(m.lastindex or 0) >= done["secret"] and (kind == "key" or digit >= m.start(1)):
                 out["secret"].append(m.span(m.lastindex or 0))
                 done["secret"] = m.end()
         elif last + 1 > done["account"]:

@@ -87,7 +87,7 @@ def test_added_spans_equal_brute_force():
                         m = pii.IBAN.match(text, at)
                         m = m if m and pii.iban(m[0]) else pii.NUMBER.match(text, at)
                         span = m and m.span()
-                    elif kind == "secret" and (m := pii.VALUE.match(text, end)):
+                    elif kind == "secret" and (m := pii.VALUE.match(text, end)) and re.match(r"[^\s\"']*[0-9]", text[m.start(1) :]):
                         span = m.span(1) if m.start(1) >= done[kind] else None
                     else:
                         span = None
@@ -99,3 +99,26 @@ def test_added_spans_equal_brute_force():
                 want["secret"].append(m.span())
         got = pii.find(text)
         assert got["address"] == want["address"] and got["account"] == want["account"] and got["secret"] == sorted(want["secret"]), text
+
+
+def test_values_of_any_length_go_whole():
+    long = "ab3" * 3400
+    for text, kind in ((f"token={long} end", "secret"), (f"password: '{'x' * 10_000}7' end", "secret"), (f"https://u:{'p' * 10_000}@localhost/x", "address"), (f"ftp://{'u' * 10_000}@host.org/ ", "address")):
+        spans = find(text)[kind]
+        assert len(spans) == 1 and spans[0][1] - spans[0][0] >= 10_000, text[:30]
+        clean = redacted_text(text)
+        assert "ab3" not in clean and "xx" not in clean and "pp" not in clean and "uu" not in clean
+    assert redacted_text(f"token={long} end") == "token=[SECRET] end"
+    assert find("token=" + "x" * 10_000)["secret"] == []
+
+
+def test_long_values_are_linear():
+    import time
+
+    began = time.time()
+    for piece in ("token=", "token=abcdefgh", "secret:secret:", "https://", "https://a:", "ftp://aaaaaaaa", "token=abcdefg1", "api key: x", "password=\"aaaaaaaaa"):
+        find(piece * 20_000)
+    find("https://" + "a" * 300_000)
+    find("https://a:" + "b" * 300_000)
+    find("token=" + "a" * 300_000)
+    assert time.time() - began < 30
