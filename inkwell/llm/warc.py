@@ -30,6 +30,7 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
+CONTENT = "Content-Type: text/html; charset=utf-8\r\n"
 
 
 def _base32(digest: bytes) -> str:
@@ -47,18 +48,21 @@ def _cuts(payload: memoryview) -> Iterator[memoryview]:
         a = b
 
 
-def decisions(pages: DataFrame, id_col: str, body_col: str, least: int = 0) -> DataFrame:
-    """The digest table: (id, sha, sha1, size, refers_to), one row per page; refers_to is the smallest id of the equal payload's group, null for a response."""
+def decisions(pages: DataFrame, id_col: str, body_col: str, least: int = 0, uri_col: str | None = None) -> DataFrame:
+    """The digest table: (id, uri, sha, sha1, size, refers_to, refers_uri), one row per page; refers_to is the smallest id of the equal payload's group, with its
+    URI (of repeated ids the smallest), null for a response."""
+    uri = F.col(f"`{uri_col}`") if uri_col else F.lit(None).cast("string")
     body = F.coalesce(F.col(f"`{body_col}`"), F.lit(""))
-    rows = cut(pages.select(F.col(f"`{id_col}`").alias("id"), F.sha2(body, 256).alias("sha"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size")), "payloads")
+    rows = cut(pages.select(F.col(f"`{id_col}`").alias("id"), uri.alias("uri"), F.sha2(body, 256).alias("sha"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size")), "payloads")
     total = rows.count()
-    groups = rows.where(F.col("size") >= least).groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("sha", "of")
+    groups = rows.where(F.col("size") >= least).groupBy("sha").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "uri"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("sha", "of")
     large, on = F.col("n") * HOT_SHARE > total, F.col("sha") == F.col("of")
     hot = F.broadcast(groups.where(large).select(F.col("of").alias("hot_of"), F.col("first").alias("hot_first")))  # under HOT_SHARE rows
     first = rows.join(hot, F.col("sha") == F.col("hot_of"), "left")
-    rest = first.where("hot_of IS NULL").join(groups.where(~large), on, "left").select("id", "sha", "sha1", "size", "first")
-    both = first.where("hot_of IS NOT NULL").select("id", "sha", "sha1", "size", F.col("hot_first").alias("first")).unionByName(rest)
-    return both.select("id", "sha", "sha1", "size", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rest = first.where("hot_of IS NULL").join(groups.where(~large), on, "left").select("id", "uri", "sha", "sha1", "size", "first")
+    both = first.where("hot_of IS NOT NULL").select("id", "uri", "sha", "sha1", "size", F.col("hot_first").alias("first")).unionByName(rest)
+    of = F.when(~F.col("id").eqNullSafe(F.col("first.id")), F.col("first"))
+    return both.select("id", "uri", "sha", "sha1", "size", of["id"].alias("refers_to"), of["uri"].alias("refers_uri"))
 
 
 def _responses(pages: DataFrame, decided: DataFrame, id_col: str, body_col: str, uri_col: str | None) -> DataFrame:
@@ -116,7 +120,7 @@ def records(responses: DataFrame) -> DataFrame:
                     if number > 1:
                         segment += f"WARC-Segment-Origin-ID: <{name}>\r\n" + (f"WARC-Segment-Total-Length: {len(payload)}\r\n" if number == n else "")
                     kind, own = ("continuation", f"{name}-{number}") if number > 1 else ("response", name)
-                    yield f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\n{common}{segment}WARC-Block-Digest: sha1:{_base32(hashlib.sha1(chunk).digest())}\r\nContent-Length: {len(chunk)}\r\n\r\n".encode() + chunk
+                    yield f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\n{common}{segment}{CONTENT}WARC-Block-Digest: sha1:{_base32(hashlib.sha1(chunk).digest())}\r\nContent-Length: {len(chunk)}\r\n\r\n".encode() + chunk
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -133,23 +137,23 @@ def records(responses: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(value) records of (id, sha1, size, refers_to): a revisit has headers alone."""
+    """(value) records of (id, uri, sha1, size, refers_to, refers_uri): a revisit has headers alone, with its own page's URL and that of the record it refers to."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for i, sha1, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, uri, sha1, size, refers_to, refers_uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 made += 1
-                out.append(f"{VERSION}\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:inkwell:r{part}-{made}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {_uri(i, None)}\r\nX-Page-ID: {_page(i)}\r\nWARC-Payload-Digest: sha1:{_base32(bytes.fromhex(sha1))}\r\nX-Payload-Length: {size}\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To-Target-URI: {_uri(refers_to, None)}\r\nX-Refers-To-Page: {_page(refers_to)}\r\nContent-Length: 0\r\n\r\n".encode())
+                out.append(f"{VERSION}\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:inkwell:r{part}-{made}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {_uri(i, uri)}\r\nX-Page-ID: {_page(i)}\r\nWARC-Payload-Digest: sha1:{_base32(bytes.fromhex(sha1))}\r\nX-Payload-Length: {size}\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To-Target-URI: {_uri(refers_to, refers_uri)}\r\nX-Refers-To-Page: {_page(refers_to)}\r\nContent-Length: 0\r\n\r\n".encode())
             yield _batch(out)
 
-    return pages.select("id", "sha1", "size", "refers_to").mapInArrow(work, "value string")
+    return pages.select("id", "uri", "sha1", "size", "refers_to", "refers_uri").mapInArrow(work, "value string")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", body_col: str = "html", least: int = 0, uri_col: str | None = None) -> None:
     """Writes ``pages`` as gzipped WARC archives of at most RECORDS records each under ``path``."""
-    decided = cut(decisions(pages, id_col, body_col, least), "decisions")
+    decided = cut(decisions(pages, id_col, body_col, least, uri_col), "decisions")
     again = decided.where("refers_to IS NOT NULL")
     made = records(_responses(pages, decided, id_col, body_col, uri_col)).unionByName(revisits(again))
     made.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)

@@ -53,3 +53,18 @@ def test_archives_have_what_the_format_asks_for(spark, tmp_path):
     assert len(heads) == 4 and all(h.count(name) == 1 for h in heads for name in (b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"WARC-Target-URI", b"Content-Length"))
     assert len({x for h in heads for x in h.split(b"\r\n") if x.startswith(b"WARC-Record-ID")}) == 4
     assert b"https://e.org/1" in raw and b"urn:page:2" in raw
+
+
+def test_revisits_keep_their_url(spark, tmp_path):
+    """A revisit states its own URL and that of the record it refers to; of repeated ids the smallest URL."""
+    import gzip
+
+    pages = spark.createDataFrame([(4, "b", "https://e.org/4"), (2, "b", "https://e.org/2"), (9, "b", None), (7, "c", "https://e.org/7")] + [(100 + k, "hot", f"https://e.org/hot{k}") for k in range(30)], "page_id long, html string, url string")
+    warc.write(pages, f"file://{tmp_path}/w", uri_col="url")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz"))).decode()
+    heads = [dict(x.split(": ", 1) for x in h.split("\r\n")[1:]) for h in raw.split("\r\n\r\n") if h.startswith("WARC/1.1")]
+    found = {h["X-Page-ID"]: (h["WARC-Type"], h["WARC-Target-URI"], h.get("WARC-Refers-To-Target-URI")) for h in heads}
+    assert found["2"] == ("response", "https://e.org/2", None) and found["7"] == ("response", "https://e.org/7", None)
+    assert found["4"] == ("revisit", "https://e.org/4", "https://e.org/2") and found["9"] == ("revisit", "urn:page:9", "https://e.org/2")
+    assert {found[str(100 + k)] for k in range(1, 30)} == {("revisit", f"https://e.org/hot{k}", "https://e.org/hot0") for k in range(1, 30)}
+    assert all(h["Content-Type"].startswith("text/html") for h in heads if h["WARC-Type"] == "response")
