@@ -5,8 +5,9 @@ Java's character classes are ASCII by default; ``(?U)`` makes them Unicode-aware
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The lines that the rules look for.
 FENCE = r"^\s*```"
@@ -180,6 +181,33 @@ def emoji(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({EMOJI_SEQUENCE})"), 1))
 
 
+#: What keeps its emoji as they are, an image cannot stand in it; and where images are.
+PREFORMATTED, EMOJI_FOLDER = r"<pre\b[\s\S]*?</pre\s*>", "images"
+
+
+def emoji_asset(sequence: Column) -> Column:
+    """The name of an emoji's image, by its content: the same in all documents."""
+    return F.concat(F.lit(f"{EMOJI_FOLDER}/emoji-"), F.left(F.sha2(sequence, 256), F.lit(16)), F.lit(".png"))
+
+
+def with_emoji_images(text: Column) -> Column:
+    """A text with an image for each emoji sequence, the sequence as the text in its place; what is preformatted stays."""
+    pattern = f"(?:(?i){PREFORMATTED})|{EMOJI_SEQUENCE}"
+    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
+    image = lambda m: F.concat(F.lit('<img class="emoji-img" src="'), emoji_asset(m), F.lit('" alt="'), m, F.lit('"/>'))
+    whole = F.zip_with(between, found, lambda x, m: F.concat(x, F.when(m.isNull(), "").when(m.rlike("(?i)^<pre"), m).otherwise(image(m))))
+    return F.when(text.rlike(EMOJI_SEQUENCE), F.array_join(whole, "")).otherwise(text)
+
+
+def emoji_assets(documents: DataFrame, by: str, text: str) -> DataFrame:
+    """(number, asset, sequence, documents, places): the images that the documents need, each once, numbered by first appearance: by document, then by place in it."""
+    found = F.filter(F.regexp_extract_all(F.col(text), F.lit(f"((?:(?i){PREFORMATTED})|{EMOJI_SEQUENCE})"), 1), lambda m: ~m.rlike("(?i)^<pre"))
+    rows = documents.where(F.col(text).rlike(EMOJI_SEQUENCE)).select(F.col(by).alias("of"), F.posexplode(found).alias("place", "sequence"))
+    one = rows.groupBy("sequence", "of").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).groupBy("sequence").agg(F.min(F.struct("of", "place")).alias("first"), F.count(F.lit(1)).alias("documents"), F.sum("n").alias("places"))
+    # a row a distinct sequence: as many as there are emoji
+    return one.select(F.row_number().over(Window.orderBy("first")).alias("number"), emoji_asset(F.col("sequence")).alias("asset"), "sequence", "documents", "places")
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

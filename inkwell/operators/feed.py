@@ -47,10 +47,10 @@ def is_title_line(line: Column, title: Column) -> Column:
     return F.when(both, (day(line) == day(title)) & (alnum(ref(line)) == alnum(ref(title)))).otherwise((a != "") & (b.startswith(a) | a.startswith(b)))
 
 
-def feed_order(items: DataFrame) -> DataFrame:
-    """Oldest first; of items of one time the later in the feed is older. items: (guid, pub_date, feed_pos)."""
+def feed_order(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Oldest first within each feed; of items of one time the later in the feed is older. items: (guid, pub_date, feed_pos, by); without ``by`` they are one feed's, which holds some hundreds."""
     kept = items.where("guid IS NOT NULL AND trim(guid) <> ''")
-    return kept.withColumn("seq", F.row_number().over(Window.orderBy("pub_date", F.desc("feed_pos"))))  # a feed holds some hundreds of items
+    return kept.withColumn("seq", F.row_number().over(Window.partitionBy(*by).orderBy("pub_date", F.desc("feed_pos"))))
 
 
 def unseen(items: DataFrame, state: DataFrame) -> DataFrame:

@@ -61,8 +61,9 @@ def easter(year: Column) -> Column:
 
 def break_names(days: DataFrame, breaks: DataFrame, holidays: DataFrame, easter_break: bool = True) -> DataFrame:
     """(date, name): the break of each date, null on others. breaks: (priority, name, start, end), the first listed wins; then Easter, Good Friday to Monday; then a bank holiday."""
-    small = F.broadcast(breaks.withColumnsRenamed({"name": "break_name", "start": "from", "end": "to"}))  # a calendar's own list
-    named = days.join(small, (F.col("date") >= F.col("from")) & (F.col("date") <= F.col("to")), "left").groupBy("date").agg(F.min_by("break_name", "priority").alias("break_name"))
+    listed = breaks.select(F.col("name").alias("break_name"), "priority", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))).alias("date"))
+    first = listed.groupBy("date").agg(F.min_by("break_name", "priority").alias("break_name"))
+    named = days.join(first, "date", "left")
     gap = F.datediff("date", easter(F.year("date")))
     is_easter = F.lit(easter_break) & gap.between(-2, 1)
     free = holidays.select("date", F.col("name").alias("holiday"))

@@ -1,86 +1,37 @@
 """The registered queries of the engine's own operators, each over its whole tables, with the SQL that must give the same rows.
 
-The tables hold few of the structures that the text rules look for, so ``marked`` puts them in: each line of a document gets a prefix
-by its number and the document's id.
+The tables hold few of the structures that the text rules look for, so ``marked`` puts them in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import folds, text, urls
 from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
-from inkwell.plans import vectors
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, dates: tuple[str, ...] = ()):
-    """Registers a query with its SQL; ``dates`` are returned as text, so that no library's idea of a date stands between the two."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
-        if sql:
-            casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
-            _ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if dates else sql
-        return f
-
-    return register
+from inkwell.plans import ranges, streams, texts  # noqa: F401: they register their queries
+from inkwell.plans.marked import SQL_LINES, marked
+from inkwell.plans.registry import _ORACLES, _QUERIES, Query, query, table
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | vectors.queries()
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES | vectors.oracle_sql()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _ORACLES
 
 
-PREFIXES = ("", "1) ", "2\\) ", "#tag", "## ", "**Name:** ", "**Place:** ", "```", "- ", "| ", "```", "", "**Created:** 8/31/2026 9:44:08", "3) ", "**Updated:** 2026/2/30 1:02:03", "* ", "✅", "⚠️")
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    rows = F.split("text", "\n", -1)
-    prefixes = F.array(*map(F.lit, PREFIXES))
-    # a stamp stands alone on its line
-    stamp = lambda p: p.startswith("**Created") | p.startswith("**Updated")
-
-    def one(line: Column, i: Column) -> Column:
-        p = F.element_at(prefixes, (F.pmod(i + F.col("doc_id"), F.lit(len(PREFIXES))) + 1).cast("int"))
-        return F.when(stamp(p), p).otherwise(F.concat(p, line))
-
-    return docs.select("doc_id", F.array_join(F.transform(rows, one), "\n").alias("text"))
-
-
-# the marked lines in SQL: one row a line, with the mask of fences
-_SQL_PREFIXES = ", ".join("'" + p + "'" for p in PREFIXES)
-_SQL_LINES = f"""
-    WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, [{_SQL_PREFIXES}] AS p FROM documents),
-    e AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS i, p FROM s),
-    m AS (SELECT doc_id, i, p[((i + doc_id) % {len(PREFIXES)}) + 1] AS px, raw FROM e),
-    x AS (SELECT doc_id, i, CASE WHEN starts_with(px, '**Created') OR starts_with(px, '**Updated') THEN px ELSE px || raw END AS line FROM m),
-    f AS (SELECT doc_id, i, line, regexp_matches(line, '^\\s*```') AS fence FROM x),
-    g AS (SELECT *, fence OR (sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i)) % 2 = 1 AS mask FROM f),
-    w AS (SELECT *, lag(line) OVER o AS before, lead(line) OVER o AS after, lag(mask) OVER o AS before_mask, lead(mask) OVER o AS after_mask FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i))
-"""
 _ITEM, _BLOCK, _LABEL = r"^(\s*)(\d{1,9})\\?\)(\s+)(\S.*)$", r"^\s*([-*+]|\d+\.)\s+|^\s*\|", r"^\*\*[^*\n]+:\*\*(\s|$)"
 
 
 def _by_line_sql(expression: str) -> str:
-    return _SQL_LINES + f"SELECT doc_id, md5(string_agg({expression}, chr(10) ORDER BY i)) AS digest FROM w GROUP BY doc_id"
+    return SQL_LINES + f"SELECT doc_id, md5(string_agg({expression}, chr(10) ORDER BY i)) AS digest FROM w GROUP BY doc_id"
 
 
 def _normaliser(rule) -> Query:
-    return lambda spark, sf_dir: _marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(rule(F.col("text"))).alias("digest"))
+    return lambda spark, sf_dir: marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(rule(F.col("text"))).alias("digest"))
 
 
 for _name, _rule, _expression in (
@@ -94,9 +45,9 @@ for _name, _rule, _expression in (
     _QUERIES[_name], _ORACLES[_name] = _normaliser(_rule), _by_line_sql(_expression)
 
 
-@query(_SQL_LINES + "SELECT doc_id, i AS pos, line, mask AS in_fence FROM w")
+@query(SQL_LINES + "SELECT doc_id, i AS pos, line, mask AS in_fence FROM w")
 def fence_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _marked(table(spark, sf_dir, "documents")).withColumn("rows", text.lines(F.col("text")))
+    rows = marked(table(spark, sf_dir, "documents")).withColumn("rows", text.lines(F.col("text")))
     both = rows.select("doc_id", F.posexplode(F.arrays_zip(F.col("rows").alias("line"), text.fence_mask(F.col("rows")).alias("mask"))).alias("pos", "x"))
     return both.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x.line").alias("line"), F.col("x.mask").alias("in_fence"))
 
@@ -541,17 +492,17 @@ def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nested_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.nested_lists(F.col("text"))).alias("digest"))
+    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.nested_lists(F.col("text"))).alias("digest"))
 
 
 @query()
 def fence_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.spaced_fences(F.col("text"))).alias("digest"))
+    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.spaced_fences(F.col("text"))).alias("digest"))
 
 
 @query()
 def dash_sublists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.promoted_labels(F.col("text"))).alias("digest"))
+    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.promoted_labels(F.col("text"))).alias("digest"))
 
 
 @query()
@@ -561,14 +512,14 @@ def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _marked(table(spark, sf_dir, "documents")).withColumn("format", F.lit("md"))
+    raw = marked(table(spark, sf_dir, "documents")).withColumn("format", F.lit("md"))
     return convert.blocks(convert.documents(raw))
 
 
-@query(_SQL_LINES + """
+@query(SQL_LINES + """
     , em AS (SELECT doc_id, i, unnest(regexp_extract_all(line, '✅|⚠️?')) AS mark FROM w), o AS (SELECT doc_id, mark, min(i) AS first FROM em GROUP BY ALL),
     l AS (SELECT doc_id, string_agg(mark, ' ' ORDER BY first) AS emoji FROM o GROUP BY doc_id)
     SELECT documents.doc_id, coalesce(l.emoji, '') AS emoji FROM documents LEFT JOIN l ON l.doc_id = documents.doc_id
 """)
 def text_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.emoji(F.col("text")), " ").alias("emoji"))
+    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(text.emoji(F.col("text")), " ").alias("emoji"))

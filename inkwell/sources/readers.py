@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators.measures import medians
+from inkwell.operators.ranges import box_overlaps
+
 TEXTS, IMAGES = ("md", "markdown", "html", "htm", "txt"), ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg")
 # Media types of images.
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml"}
@@ -236,8 +239,10 @@ def state_versions(spark: SparkSession, path: str) -> list[int]:
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table's last whole version, or an empty table where there is none yet."""
+    from inkwell.sources.commits import _Store
+
     versions = state_versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{_Store(spark, path).text(f'_current-{versions[-1]}')}") if versions else spark.createDataFrame([], schema)
 
 
 # Spans of a paginated document: headings by size, tables by overlap
@@ -247,7 +252,7 @@ def spans_to_blocks(spans: DataFrame) -> DataFrame:
     """(doc_id, block, text, size, bold, level) of (doc_id, block, pos, text, size, bold) spans: median size, majority of bold, heading level against the document's median."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
     blocks = spans.groupBy("doc_id", "block").agg(joined.alias("text"), F.median("size").alias("size"), (F.avg(F.col("bold").cast("int")) > 0.5).alias("bold"))
-    body = spans.groupBy("doc_id").agg(F.median("size").alias("body"))
+    body = medians(spans, ["doc_id"], "size").select("doc_id", F.col("median").alias("body"))  # of all spans of a document, however many
     ratio = F.col("size") / F.col("body")
     level = F.when(F.col("body") <= 0, F.lit(None).cast("int")).when(ratio >= 1.5, 1).when(ratio >= 1.25, 2).when((ratio >= 1.1) | (F.col("bold") & (ratio >= 1.0)), 3)
     return blocks.join(body, "doc_id").select("doc_id", "block", "text", "size", "bold", level.alias("level"))
@@ -255,12 +260,8 @@ def spans_to_blocks(spans: DataFrame) -> DataFrame:
 
 def table_of_block(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, block, table): the first table of the same page that covers over half of a block. Both have doc_id, page and x0, y0, x1, y1."""
-    t = tables.select("doc_id", "page", "table", *[F.col(c).alias("t" + c) for c in ("x0", "y0", "x1", "y1")])
-    both = blocks.join(t, ["doc_id", "page"])
-    width = F.greatest(F.lit(0.0), F.least("x1", "tx1") - F.greatest("x0", "tx0"))
-    height = F.greatest(F.lit(0.0), F.least("y1", "ty1") - F.greatest("y0", "ty0"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return both.where((area > 0) & (width * height > 0.5 * area)).groupBy("doc_id", "block").agg(F.min("table").alias("table"))
+    found = box_overlaps(blocks, tables, ["doc_id", "page"])
+    return found.groupBy(F.col("left.doc_id").alias("doc_id"), F.col("left.block").alias("block")).agg(F.min("right.table").alias("table"))
 
 
 def page_elements(blocks: DataFrame, tables: DataFrame) -> DataFrame:

@@ -41,21 +41,25 @@ def read_text(spark, path: str, slug: str, folders: int = 256) -> str | None:
 
 
 def write_state(state: DataFrame, path: str) -> None:
-    """Replaces a state table. The new one is written as a version of its own under ``path``; then a pointer of its number is put down, which
-    readers follow. A crash at any moment leaves the version before in force. Versions before the last two are removed."""
+    """Replaces a state table. The new one is written to a folder of its own under ``path``; then a pointer to it is put down under the next number, which nobody
+    has put one under before. A crash at any moment leaves the version before in force; of writers at once the last counts, and none's rows mix with another's.
+    Writers that must see each other's changes use commits.update(). Versions before the last two are removed."""
+    import uuid
+
+    from inkwell.sources.commits import _Store
     from inkwell.sources.readers import state_versions
 
-    spark = state.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    fs = at("x").getFileSystem(hadoop)
+    spark, folder = state.sparkSession, f"version-{uuid.uuid4().hex}"
+    store = _Store(spark, path)
+    state.write.parquet(f"{path}/{folder}")
     number = max(state_versions(spark, path), default=0) + 1
-    state.write.mode("overwrite").parquet(f"{path}/version={number}")
-    fs.create(at(f"_current-{number}"), True).close()  # an empty file: it is there or it is not
+    while not store.put(f"_current-{number}", folder):
+        number += 1
     for old in state_versions(spark, path):
         if old < number - 1:
-            fs.delete(at(f"_current-{old}"), False)
-            fs.delete(at(f"version={old}"), True)
+            gone = store.text(f"_current-{old}")
+            store.remove(f"_current-{old}")
+            store.remove(gone)
 
 
 def epub(title: str, author: str, chapters: list[tuple[str, str]], images: list[tuple[str, str, bytes]] = ()) -> bytes:

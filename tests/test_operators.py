@@ -269,6 +269,7 @@ def test_spans(spark):
 
 
 def test_stream_delivers_once(spark, tmp_path):
+    from inkwell.sources import commits
     from inkwell.streaming.feed import STATE, deliver
 
     source, state, sent = str(tmp_path / "in"), str(tmp_path / "state"), []
@@ -278,7 +279,7 @@ def test_stream_delivers_once(spark, tmp_path):
     run("c1").awaitTermination()
     assert sent == ["2", "1", "0"]
     run("c2").awaitTermination()  # from the start again: the state knows them all
-    assert sent == ["2", "1", "0"] and readers.state(spark, state, STATE).count() == 3
+    assert sent == ["2", "1", "0"] and commits.rows(spark, state, ["guid"], STATE).count() == 3
     spark.createDataFrame([("9", dt.datetime(2026, 2, 1)), ("8", dt.datetime(2026, 2, 1))], "guid string, pub_date timestamp").write.mode("append").parquet(source)
     with pytest.raises(Exception, match="exceed"):
         run("c3", max_sends=1).awaitTermination()
