@@ -16,6 +16,7 @@ TABLE_ROW = r"^\s*\|"
 PAREN_ITEM = r"(?U)^(\s*)(\d{1,9})\\?\)(\s+)(\S.*)$"
 LABEL_LINE = r"^\*\*[^*\n]+:\*\*(?:\s|$)"
 STAMP = r"^(\*\*(?:Created|Updated|Exported):\*\*[ \t]*)(?:(\d{4})/(\d{1,2})/(\d{1,2})|(\d{1,2})/(\d{1,2})/(\d{4}))[ \t]+(\d{1,2}):(\d{2}):(\d{2})([ \t]*)$"
+INLINE_LINK = r"(?<!!)\(?\[([^\]]*)\]\([^)]*\)\)?"
 ZERO_WIDTH = "​‌‍⁠﻿"
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*\r?\n?"
 
@@ -235,7 +236,7 @@ def escaped(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Drops inline links, squeezes blanks and takes those before punctuation away. A pattern is tried only where what it needs is there."""
     has = lambda x, *marks: F.greatest(*[F.contains(x, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(x, F.lit(marks[0]))
-    unlinked = F.when(has(text, "]("), F.regexp_replace(text, r"(?<!!)\(?\[([^\]]*)\]\([^)]*\)\)?", "")).otherwise(text)
+    unlinked = F.when(has(text, "]("), F.regexp_replace(text, INLINE_LINK, "")).otherwise(text)
 
     def squeezed_blanks(x: Column) -> Column:
         single = F.when(has(x, "  ", "\t"), F.regexp_replace(x, r"[ \t]{2,}", " ")).otherwise(x)

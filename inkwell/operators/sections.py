@@ -31,6 +31,13 @@ DISAGREES = "AI reviewer disagrees with a sourced claim in: "
 NO_DETAILS, SEE_BELOW = "the reviewer flagged a problem but gave no details.", "see diagnostics below."
 WIDER = " (a wider search of official statistics sites)"
 WORDS_PER_MINUTE = 200
+LINE_HEADING, OTHER_HEADING = "### Windrush line (London Overground)", "### Thameslink"
+LINE_SOURCE, RAIL_SOURCE = f"Source: [TfL line status]({LINE_PAGE})", f"Check: [National Rail status and disruptions]({RAIL_PAGE})"
+NO_STATUS, NO_SEARCH = "the Windrush line status", "the Thameslink check"
+AREAS = ("COUNTRY: {}", "LAND AREA: {} ({})", "UK LAND AREA: {} ({})", "SIZE RATIO: {}", "RELATION: {}")
+ESTIMATE, COUNTS, BY_SEARCH = ", may be an IMF estimate", "; it counts: ", "found by an AI web search of {} ({})"
+LEFT_OUT = "*{} {} {} left out of this translation: the best manuscripts do not have {}.*"
+COMPILED, FIRST_READING, LAST_READING, NEXT_READING = "*Outline compiled from Wikipedia.*", "This is the first Sunday reading.", "Previous reading ({}): {}.", "Next reading ({}): {}{}."
 
 
 def filled(template: str, *values: Column | str) -> Column:
@@ -137,8 +144,8 @@ def trains_section(date: Column, status: Column, search: Column) -> Column:
     """status: struct(notices, dropped), null where the operator's page failed; search: struct(status, summary, urls), null where it failed."""
     listed = stacked(bullets(status["notices"]), F.when(status["dropped"] > 0, NOT_ALL_NOTICES).when(F.size(status["notices"]) == 0, NO_NOTICE))
     found = stacked(paragraphs(search["summary"]), SEARCHED, "Sources:", bullets(F.transform(search["urls"], linked)))
-    other = F.when(search.isNull(), missing("the Thameslink check")).when(search["status"] == "disruption", found).otherwise(filled(NONE_FOUND, day_text(date)))
-    return stacked("## Trains", "### Windrush line (London Overground)", F.when(status.isNull(), missing("the Windrush line status")).otherwise(listed), f"Source: [TfL line status]({LINE_PAGE})", "### Thameslink", other, f"Check: [National Rail status and disruptions]({RAIL_PAGE})")
+    other = F.when(search.isNull(), missing(NO_SEARCH)).when(search["status"] == "disruption", found).otherwise(filled(NONE_FOUND, day_text(date)))
+    return stacked("## Trains", LINE_HEADING, F.when(status.isNull(), missing(NO_STATUS)).otherwise(listed), LINE_SOURCE, OTHER_HEADING, other, RAIL_SOURCE)
 
 
 # countries
@@ -179,7 +186,7 @@ def land_block(name: Column, land: Column) -> Column:
     """struct(block, relation): the input of the writer who compares areas."""
     relation = series.land_relation(land["value"], land["home"])
     year = land["year"].cast("string")
-    block = stacked(filled("COUNTRY: {}", name), filled("LAND AREA: {} ({})", series.format_value(land["value"], F.lit("area")), year), filled("UK LAND AREA: {} ({})", series.format_value(land["home"], F.lit("area")), year), filled("SIZE RATIO: {}", series.compare_to_home(land["value"], land["home"])), filled("RELATION: {}", relation), joint="\n")
+    block = stacked(filled(AREAS[0], name), filled(AREAS[1], series.format_value(land["value"], F.lit("area")), year), filled(AREAS[2], series.format_value(land["home"], F.lit("area")), year), filled(AREAS[3], series.compare_to_home(land["value"], land["home"])), filled(AREAS[4], relation), joint="\n")
     return F.struct(block.alias("block"), relation.alias("relation"))
 
 
@@ -193,9 +200,9 @@ def fact_cell(entry: Column, figure: Column) -> Column:
 
 
 def fact_how(entry: Column, figure: Column, with_notes: bool = True) -> Column:
-    estimate = F.when(figure["estimate"], ", may be an IMF estimate").otherwise("")
-    counts = F.coalesce(F.concat(F.lit("; it counts: "), some(figure["unit_note"])), F.lit("")) if with_notes else F.lit("")
-    searched = F.concat(filled("found by an AI web search of {} ({})", host_of(figure["url"]), figure["org"]), estimate, counts)
+    estimate = F.when(figure["estimate"], ESTIMATE).otherwise("")
+    counts = F.coalesce(F.concat(F.lit(COUNTS), some(figure["unit_note"])), F.lit("")) if with_notes else F.lit("")
+    searched = F.concat(filled(BY_SEARCH, host_of(figure["url"]), figure["org"]), estimate, counts)
     return F.when(figure["via"] == "search", searched).otherwise(F.concat(entry["org"], F.lit(" data"), estimate))
 
 
@@ -309,7 +316,7 @@ def chapter_text(book: Column, number: Column, heading: Column, verses: Column,
     many = (F.size(names) > 1) | F.contains(F.get(names, F.lit(0)), F.lit("–"))
     listed = F.when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise(filled("{} and {}", F.array_join(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), ", "), F.element_at(names, -1)))
     word = lambda plural, single: F.when(many, plural).otherwise(single)
-    left_out = F.when(F.size(names) > 0, filled("*{} {} {} left out of this translation: the best manuscripts do not have {}.*", word("Verses", "Verse"), listed, word("are", "is"), word("them", "it")))
+    left_out = F.when(F.size(names) > 0, filled(LEFT_OUT, word("Verses", "Verse"), listed, word("are", "is"), word("them", "it")))
     return stacked(filled("### {} {}", book, number.cast("string")), filled("*{}*", some(heading)), F.array_join(F.transform(verses, verse), "\n\n"), left_out)
 
 
@@ -322,9 +329,9 @@ def reading_section(reading: Column) -> Column:
     previous (title, date, overview; null on the first Sunday), recap, chapters (texts), next (title, date, overview, part), wiki (title, url)."""
     overview, previous, upcoming = reading["overview"], reading["previous"], reading["next"]
     told = F.when(some(overview["about"]).isNotNull(), stacked("### Who wrote it", paragraphs(overview["authorship"]), "### What it's about", paragraphs(overview["about"]))).otherwise(missing(filled("the overview of {}", reading["book"])))
-    first = F.when(overview.isNotNull(), stacked(told, "### Structure", overview["outline"], "*Outline compiled from Wikipedia.*", "### Reading plan", bullets(overview["plan"]), filled("### The Prologue\n\n{}", some(overview["prologue"]))))
+    first = F.when(overview.isNotNull(), stacked(told, "### Structure", overview["outline"], COMPILED, "### Reading plan", bullets(overview["plan"]), filled("### The Prologue\n\n{}", some(overview["prologue"]))))
     about = lambda x: F.when(x["overview"], filled("an overview of {}", x["title"])).otherwise(x["title"])
-    back = F.when(previous.isNull(), "This is the first Sunday reading.").otherwise(stacked(filled("Previous reading ({}): {}.", day_text(previous["date"]), about(previous)), F.when(~previous["overview"], paragraphs(some(reading["recap"])))))
+    back = F.when(previous.isNull(), FIRST_READING).otherwise(stacked(filled(LAST_READING, day_text(previous["date"]), about(previous)), F.when(~previous["overview"], paragraphs(some(reading["recap"])))))
     part = F.when(~upcoming["overview"], filled(" (part of: {})", upcoming["part"])).otherwise("")
     sources = F.array_compact(F.array(filled("[{} — eBible.org]({})", reading["translation"], reading["url"]), filled("[{} — Wikipedia]({})", reading["wiki"]["title"], reading["wiki"]["url"])))
     return stacked(
@@ -335,7 +342,7 @@ def reading_section(reading: Column) -> Column:
         back,
         F.when(F.size(reading["chapters"]) > 0, F.array_join(reading["chapters"], "\n\n")),
         "### Look forward",
-        filled("Next reading ({}): {}{}.", day_text(upcoming["date"]), about(upcoming), part),
+        filled(NEXT_READING, day_text(upcoming["date"]), about(upcoming), part),
         F.concat(F.when(F.size(sources) > 1, "Sources: ").otherwise("Source: "), F.array_join(sources, " · ")),
     )
 

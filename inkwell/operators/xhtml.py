@@ -270,6 +270,7 @@ def converted(raw: DataFrame) -> DataFrame:
     from inkwell.operators.convert import blocks as source_blocks
     from inkwell.operators.convert import normalised
     from inkwell.operators.diagrams import problems
+    from inkwell.plans.lineage import cut
     from inkwell.sources.sinks import epubs
 
     docs = normalised(raw.select("doc_id", "format", "text").where("format = 'md'")).unionByName(raw.select("doc_id", "format", "text").where("format <> 'md'"))
@@ -277,7 +278,7 @@ def converted(raw: DataFrame) -> DataFrame:
     source = raw.where("format = 'md'").select("doc_id", "format", zero_width_fences(F.col("text")).alias("text"))
     fences = source_blocks(source).where("tag = 'pre'").select("doc_id", "line", "lang", "text")
     bad = problems(fences).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "problem"))), lambda x: F.concat(F.lit("line "), x["line"].cast("string"), F.lit(": "), x["problem"])).alias("problems"))
-    found = rendered(docs)
+    found = cut(rendered(docs))  # the whole parse: titles, headings and chapters read it
     titles = titled(found, raw)
     whole = with_heading(found, titles, raw.select("doc_id", "subtitle"))
     parts = chapters(whole, titles)

@@ -51,7 +51,9 @@ def best_attempts(attempts: DataFrame, by: list[str], what: Column) -> DataFrame
     return best.select(*by, F.col("a.content").alias("content"), F.when(F.col("a.content").isNull(), failed).alias("error"))
 
 
-# Bytes that image files begin with.
+# What stands for an image that cannot be shown; the head and the end of a fetched page's file; bytes that image files begin with.
+NO_IMAGE = "[Image could not be loaded: "
+PAGE_HEAD, PAGE_BODY, PAGE_END = '<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>', "</title></head>\n<body>\n", "\n</body></html>"
 MAGIC = {"image/png": "89504E470D0A1A0A", "image/jpeg": "FFD8FF", "image/gif": "474946383961", "image/gif ": "474946383761", "image/bmp": "424D"}
 
 
@@ -69,7 +71,7 @@ def image_of(url: Column, status: Column, content_type: Column, content: Column,
     drawn = F.contains(F.lower(F.decode(F.substring(content, 1, 4096), "ISO-8859-1")), F.lit("<svg"))
     reason = F.when(failure.isNotNull(), failure).when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))).when((kind != "") & ~kind.startswith("image/") & ~vector, "not an image").when(F.octet_length(content) > cap, "too large").when(vector & ~drawn, "not an image").when(~vector & raster.isNull(), "corrupt image data")
     shown = F.when(reason.isNull(), F.when(vector, "image/svg+xml").otherwise(raster))
-    place = F.when(reason.isNotNull(), F.concat(F.lit("[Image could not be loaded: "), F.left(F.coalesce(F.nullif(F.trim(alt), F.lit("")), url), F.lit(60)), F.lit("]")))
+    place = F.when(reason.isNotNull(), F.concat(F.lit(NO_IMAGE), F.left(F.coalesce(F.nullif(F.trim(alt), F.lit("")), url), F.lit(60)), F.lit("]")))
     return F.struct(shown.alias("media_type"), reason.alias("reason"), place.alias("placeholder"))
 
 
@@ -108,7 +110,7 @@ def fetched_name(title: Column, url: Column, date: Column, at: Column) -> Column
 def fetched_document(title: Column, url: Column, article: Column) -> Column:
     """A fetched article as an HTML file of its own."""
     named = escaped_text(F.coalesce(title, url))
-    return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), named, F.lit("</title></head>\n<body>\n"), article, F.lit("\n</body></html>"))
+    return F.concat(F.lit(PAGE_HEAD), named, F.lit(PAGE_BODY), article, F.lit(PAGE_END))
 
 
 def elements_html(kind: Column, level: Column, text: Column, rows: Column) -> Column:

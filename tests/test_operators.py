@@ -76,12 +76,44 @@ def test_stewards(spark):
     assert "ended on Sunday 22 March 2026" in got["2026-03-29"].missing
 
 
-def test_formats():
-    f = series.formatted
-    assert [f(0.25, "pct"), f(1.5e12, "usd"), f(2e6, "number"), f(999.5, "number"), f(1234.56, "dec"), f(0.12345, "index"), f(0.5, "area")] == ["0.2%", "$1.5 trillion", "2 million", "1,000" if round(999.5) == 1000 else "1,000", "1,234.6", "0.123", "0.5 km²"]
-    assert [series.ratio_text(3, 2), series.ratio_text(1, 4), series.ratio_text(1, 50), series.ratio_text(1, 400)] == ["1.5× the UK's", "25% of the UK's", "2.0% of the UK's", "0.25% of the UK's"]
-    assert [series.land_text(2, 2), series.land_text(1, 1e6), series.land_text(3, 1), series.land_text(243.1, 243610)] == ["the same size as the UK", "99.9999% smaller than the UK", "200% larger than the UK", "99.9% smaller than the UK"]
-    assert [series.gap_text(5.04, 5.0, "pct"), series.gap_text(5.16, 5.0, "pct"), series.gap_text(3, 2, "usd")] == ["the same as the UK's", "0.2 percentage points higher than the UK's", "1.5× the UK's"]
+def test_formats(spark):
+    L = lambda x: F.lit(float(x))
+    said = lambda *columns: list(spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).first())
+    f = lambda x, fmt: series.format_value(L(x), F.lit(fmt))
+    assert said(f(0.25, "pct"), f(1.5e12, "usd"), f(2e6, "number"), f(999.5, "number"), f(1234.56, "dec"), f(0.12345, "index"), f(0.5, "area")) == ["0.2%", "$1.5 trillion", "2 million", "1,000", "1,234.6", "0.123", "0.5 km²"]
+    assert said(*(series.compare_to_home(L(x), L(y)) for x, y in ((3, 2), (1, 4), (1, 50), (1, 400)))) == ["1.5× the UK's", "25% of the UK's", "2.0% of the UK's", "0.25% of the UK's"]
+    assert said(*(series.land_relation(L(x), L(y)) for x, y in ((2, 2), (1, 1e6), (3, 1), (243.1, 243610)))) == ["the same size as the UK", "99.9999% smaller than the UK", "200% larger than the UK", "99.9% smaller than the UK"]
+    assert said(series.gap(L(5.04), L(5.0), F.lit("pct")), series.gap(L(5.16), L(5.0), F.lit("pct")), series.gap(L(3), L(2), F.lit("usd"))) == ["the same as the UK's", "0.2 percentage points higher than the UK's", "1.5× the UK's"]
+
+
+def test_texts_of_numbers_equal_exact_rounding(spark):
+    """Against decimal arithmetic on the exact binary values, half to even; zeros, ties, borders of the scales, tiny and negative values."""
+    import random
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rng = random.Random(8)
+    values = [0.0, 0.5, 1.5, 2.5, 0.25, 0.35, 0.125, 999.5, 999999.5, 1e6, 999999.999, 1e9, 1e12, 2.675, 99.95, 99.995, 100.0, 0.1, 0.001, 9.9e-5, 1e-7, 12.345, 9.995, 0.0995, 0.995]
+    values += [x * s for x in (rng.random() * 10.0 ** rng.randrange(-5, 13) for _ in range(400)) for s in (1, -1)]
+
+    def places(x, digits, grouped=True):
+        return format(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN), ",f" if grouped else "f")
+
+    def scaled(x):
+        power = next((p for p in (12, 9, 6) if abs(x) >= 10.0**p), None)
+        if power is None:
+            return places(x, 0)
+        text = places(x / 10.0**power, 2, False)
+        return text.rstrip("0").rstrip(".") + {12: " trillion", 9: " billion", 6: " million"}[power]
+
+    want = {x: (places(x, 1, False) + "%", places(x, 1), places(x, 3, False), scaled(x), (places(x, 0) if abs(x) >= 100 else f"{x:.3g}") + " km²") for x in values}
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    got = {r.x: tuple(r)[1:] for r in rows.select("x", *(series.format_value(F.col("x"), F.lit(k)).alias(k) for k in ("pct", "dec", "index", "number", "area"))).collect()}
+    for x in values:
+        assert got[x] == tuple(t if t.strip("-0.,%") or x >= 0 else t for t in want[x]), (x, got[x], want[x])
+    few = spark.createDataFrame([(None, "pct"), (float("nan"), "usd"), (1.0, "year")], "x double, f string")
+    assert [r[0] for r in few.select(series.format_value(F.col("x"), F.col("f"))).collect()] == [None, None, "1"]
+    zero = spark.range(1).select(series.compare_to_home(F.lit(1.0), F.lit(0.0)), series.land_relation(F.lit(1.0), F.lit(0.0)), series.gap(F.lit(None).cast("double"), F.lit(1.0), F.lit("pct")))
+    assert list(zero.first()) == [None, None, None]
 
 
 def test_series(spark):

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from inkwell.operators import xhtml
-from inkwell.plans import vectors
+import vectors
 
 
 @pytest.mark.parametrize("name", sorted(vectors.GOLDEN))
