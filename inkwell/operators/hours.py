@@ -107,8 +107,8 @@ def overlaps(start: Column, end: Column, date: Column) -> Column:
     return (start < day_end(date)) & (end > day_start(date))
 
 
-def line_status(pages: DataFrame, safe) -> DataFrame:
-    """(date, notices, dropped) of landed pages (date, json): the notices of one line that hold on the London date, in order, and how many had to be left out.
+def line_status(pages: DataFrame, safe, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, date, notices, dropped) of landed pages (by, date, json): the notices of one line that hold on the London date, in order, and how many had to be left out.
 
     A status other than good service counts where it has no period or one that overlaps the day. One whose period is malformed, or whose reason is
     missing, empty or not ``safe`` (a rule over a column), is left out and counted. Of reasons that are equal but for white space the first stays.
@@ -118,7 +118,8 @@ def line_status(pages: DataFrame, safe) -> DataFrame:
     lines = F.from_json("json", f"array<struct<lineStatuses:array<struct<statusSeverityDescription:string,reason:string,validityPeriods:array<{period}>>>>>")
     statuses = F.get(lines, F.lit(0))["lineStatuses"]
     sound = F.when((F.size(lines) == 1) & statuses.isNotNull(), statuses).otherwise(F.raise_error(F.lit("unexpected response shape")).cast(f"array<struct<statusSeverityDescription:string,reason:string,validityPeriods:array<{period}>>>"))
-    each = pages.select("date", sound.alias("all")).select("date", F.posexplode_outer("all").alias("seq", "s"))
+    keys = [*by, "date"]
+    each = pages.select(*keys, sound.alias("all")).select(*keys, F.posexplode_outer("all").alias("seq", "s"))
     moment = lambda x: F.try_to_timestamp(x)
     periods = F.transform(F.coalesce("s.validityPeriods", F.array().cast(f"array<{period}>")), lambda p: F.struct(moment(p["fromDate"]).alias("from"), moment(p["toDate"]).alias("to")))
     judged = each.withColumn("periods", periods).withColumn("reason", F.trim("s.reason"))
@@ -130,9 +131,9 @@ def line_status(pages: DataFrame, safe) -> DataFrame:
     good = holds & F.coalesce((F.col("reason") != "") & safe(F.col("reason")), F.lit(False))
     marked = judged.withColumn("kept", F.col("s").isNotNull() & bad & good).withColumn("lost", F.col("s").isNotNull() & bad & (broken | holds & ~good))
     key = F.regexp_replace("reason", r"\s+", " ")
-    once = marked.withColumn("k", F.row_number().over(Window.partitionBy("date", "kept", F.when(F.col("kept"), key)).orderBy("seq")))
+    once = marked.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "kept", F.when(F.col("kept"), key)).orderBy("seq")))
     listed = F.array_sort(F.collect_list(F.when(F.col("kept") & (F.col("k") == 1), F.struct("seq", "reason"))))
-    return once.groupBy("date").agg(F.transform(listed, lambda x: x["reason"]).alias("notices"), F.sum(F.col("lost").cast("int")).cast("int").alias("dropped"))
+    return once.groupBy(*keys).agg(F.transform(listed, lambda x: x["reason"]).alias("notices"), F.sum(F.col("lost").cast("int")).cast("int").alias("dropped"))
 
 
 def notices(statuses: DataFrame, date: Column) -> DataFrame:

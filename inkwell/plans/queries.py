@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import folds, text, urls
 from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
-from inkwell.plans import ranges, streams, texts  # noqa: F401: they register their queries
+from inkwell.plans import digests, landed, ranges, rules, streams, texts  # noqa: F401: they register their queries
 from inkwell.plans.marked import SQL_LINES, marked
 from inkwell.plans.registry import _ORACLES, _QUERIES, Query, query, table
 
@@ -207,29 +207,35 @@ def rotation_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_BREAKS = """
-    WITH d AS (SELECT unnest(generate_series(DATE '2026-01-01', DATE '2028-06-30', INTERVAL 1 DAY))::DATE AS date),
+    WITH d AS (SELECT unnest(generate_series(min(o_orderdate) + INTERVAL 31 YEAR, max(o_orderdate) + INTERVAL 31 YEAR, INTERVAL 1 DAY))::DATE AS date FROM orders),
     b AS (SELECT * FROM (VALUES (1, 'Winter', DATE '2026-12-24', DATE '2027-01-02'), (2, 'Pause', DATE '2026-12-30', DATE '2027-01-05'), (3, 'Summer', DATE '2027-08-01', DATE '2027-08-14')) AS t(priority, name, s, e)),
-    easter AS (SELECT * FROM (VALUES (DATE '2026-04-05'), (DATE '2027-03-28'), (DATE '2028-04-16')) AS t(sunday)),
+    easter AS (SELECT * FROM (VALUES (DATE '2026-04-05'), (DATE '2027-03-28'), (DATE '2028-04-16'), (DATE '2029-04-01'), (DATE '2030-04-21'), (DATE '2031-04-13'), (DATE '2032-03-28'), (DATE '2033-04-17')) AS t(sunday)),
     h AS (SELECT * FROM (VALUES (DATE '2026-05-04', 'May Day'), (DATE '2027-03-29', 'Monday')) AS t(date, name)),
     x AS (SELECT d.date, (SELECT min_by(name, priority) FROM b WHERE d.date BETWEEN s AND e) AS listed, EXISTS (SELECT 1 FROM easter WHERE d.date - sunday BETWEEN -2 AND 1) AS is_easter FROM d),
     named AS (SELECT x.date, coalesce(listed, CASE WHEN is_easter THEN 'Easter' END, h.name) AS name FROM x LEFT JOIN h ON h.date = x.date)
 """
 
 
-def _named(spark: SparkSession) -> DataFrame:
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day from the first order to the last, 31 years later."""
+    ends = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return ends.select(F.explode(F.sequence(*(F.add_months(F.to_date(c), 12 * 31) for c in ("a", "b")))).alias("date"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     breaks = spark.sql("SELECT * FROM VALUES (1, 'Winter', DATE'2026-12-24', DATE'2027-01-02'), (2, 'Pause', DATE'2026-12-30', DATE'2027-01-05'), (3, 'Summer', DATE'2027-08-01', DATE'2027-08-14') AS t(priority, name, start, end)")
     holidays = spark.sql("SELECT * FROM VALUES (DATE'2026-05-04', 'May Day'), (DATE'2027-03-29', 'Monday') AS t(date, name)")
-    return rotation.break_names(rotation.dates(spark, "2026-01-01", "2028-06-30"), breaks, holidays)
+    return rotation.break_names(_days(spark, sf_dir), breaks, holidays)
 
 
 @query(_SQL_BREAKS + "SELECT date, name FROM named", dates=('date',))
 def break_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark)
+    return _named(spark, sf_dir)
 
 
 @query(_SQL_BREAKS + "SELECT a.date, a.name, (SELECT min(date) FROM named n WHERE n.date > a.date AND n.name IS NULL) AS back FROM named a WHERE a.name IS NOT NULL", dates=('date', 'back'))
 def next_open_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotation.breaks_with_return(_named(spark))
+    return rotation.breaks_with_return(_named(spark, sf_dir))
 
 
 @query(_SQL_BREAKS + """
@@ -239,7 +245,7 @@ def next_open_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 """, dates=('date', 'previous_date', 'next_date'))
 def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = spark.sql("SELECT * FROM VALUES (1, 'Sirach', 5), (2, 'Wisdom', 2) AS t(seq, book, chapters)")
-    found = rotation.readings(_named(spark), rotation.reading_plan(books), "2026-02-01")
+    found = rotation.readings(_named(spark, sf_dir), rotation.reading_plan(books), "2026-02-01")
     return found.select("date", "absolute", F.col("week").cast("int").alias("week"), "book", "first", "last", "previous_date", "next_date")
 
 
@@ -326,11 +332,11 @@ def hour_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT unnest(generate_series(DATE '2026-03-01', DATE '2026-11-30', INTERVAL 1 DAY))::DATE AS date)
+    WITH d AS (SELECT DISTINCT (o_orderdate + INTERVAL 25 YEAR)::DATE AS date FROM orders)
     SELECT date, timezone('UTC', timezone('Europe/London', date::TIMESTAMP)) AS start, timezone('UTC', timezone('Europe/London', (date + INTERVAL 1 DAY)::TIMESTAMP)) AS stop FROM d
 """, dates=('date',))
 def civil_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = rotation.dates(spark, "2026-03-01", "2026-11-30")
+    days = table(spark, sf_dir, "orders").select(F.add_months(F.to_date("o_orderdate"), 300).alias("date")).distinct()
     return days.select("date", hours.day_start(F.col("date")).alias("start"), hours.day_end(F.col("date")).alias("stop"))
 
 

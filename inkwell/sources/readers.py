@@ -125,7 +125,7 @@ def elements_html(kind: Column, level: Column, text: Column, rows: Column) -> Co
 def summaries(pages: DataFrame) -> DataFrame:
     """(key, title, extract, url, error) of landed encyclopedia summaries (key, json): one that only tells terms apart, or has no text, is an error."""
     x = F.from_json("json", "type string, title string, titles struct<normalized:string>, extract string, content_urls struct<desktop:struct<page:string>>")
-    found = pages.select("key", x.alias("s")).withColumn("extract", F.trim("s.extract"))
+    found = pages.select("key", x.alias("s")).withColumn("extract", F.regexp_replace("s.extract", r"(?U)^\s+|\s+$", ""))
     error = F.when(F.col("s").isNull() | (F.coalesce("s.type", F.lit("")) == "disambiguation") | (F.coalesce("extract", F.lit("")) == ""), "no usable extract")
     good = lambda c: F.when(error.isNull(), c)
     return found.select("key", good(F.coalesce("s.titles.normalized", "s.title")).alias("title"), good(F.col("extract")).alias("extract"), good(F.col("s.content_urls.desktop.page")).alias("url"), error.alias("error"))

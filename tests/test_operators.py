@@ -105,7 +105,7 @@ def test_texts_of_numbers_equal_exact_rounding(spark):
         text = places(x / 10.0**power, 2, False)
         return text.rstrip("0").rstrip(".") + {12: " trillion", 9: " billion", 6: " million"}[power]
 
-    want = {x: (places(x, 1, False) + "%", places(x, 1), places(x, 3, False), scaled(x), (places(x, 0) if abs(x) >= 100 else f"{x:.3g}") + " km²") for x in values}
+    want = {x: (places(x, 1, False) + "%", places(x, 1), places(x, 3, False), scaled(x), (places(x, 0) if x >= 100 else f"{x:.3g}") + " km²") for x in values}
     rows = spark.createDataFrame([(x,) for x in values], "x double")
     got = {r.x: tuple(r)[1:] for r in rows.select("x", *(series.format_value(F.col("x"), F.lit(k)).alias(k) for k in ("pct", "dec", "index", "number", "area"))).collect()}
     for x in values:
