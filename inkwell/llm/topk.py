@@ -7,7 +7,8 @@
 3. Queries go out in blocks of a bounded size (``QUERY_BYTES``), broadcast one after another; each block scans the approximation file alone, which
    gives every score a lower and an upper bound. A row is a candidate of a query where its upper bound reaches the k-th lower bound.
 4. Exact vectors of the candidates alone are read, for each query in the order of their upper bounds, until the k-th exact score is above
-   all bounds that are left.
+   all bounds that are left. The candidates of a query with many of them are dealt to several tasks, each of which reads its own in that order; so no task has
+   all of them, and each block's scores are appended to one file, so the plan does not grow with the blocks.
 Vectors with a component beyond ``WIDE`` have no useful cells: pairs with one of them are scored exactly, in integers of any size.
 """
 
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut
+from inkwell.llm.common import _remove_at_exit, cut, new_path
 from inkwell.llm.exact_dedup import maybe_repeated, member_filter, repeated_filter
 
 K = 5
 #: Rows of a block of the approximation file, cells of a component, bytes of queries that are broadcast at once, queries that are scanned at once.
 ROWS, LEVELS, QUERY_BYTES, AT_ONCE = 4096, 256, 32 << 20, 256
+#: Candidates of a query that a task reads, about.
+SHARE = 256
 #: Components up to this size have cells.
 WIDE = 2.0**40
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
@@ -142,17 +145,17 @@ def _candidates(file: DataFrame, shared, k: int) -> DataFrame:
 
 
 def _verified(ordered: DataFrame, shared, k: int) -> DataFrame:
-    """(query_id, id, key, score) of exact scores, for each query in the order of its candidates' upper bounds until the k-th is above all that are left."""
+    """(query_id, id, key, score) of exact scores, for each share of a query's candidates in the order of their upper bounds until the k-th is above all that are left."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, scores, done = None, [], False
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in range(4)]
+            columns = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)]
             vectors = batch.column(4)
-            for n, (query, i, d, upper) in enumerate(zip(*columns, strict=True)):
-                if (query, d) != now:
-                    now, scores, done = (query, d), [], False
+            for n, (query, i, d, upper, share) in enumerate(zip(*columns, strict=True)):
+                if (query, share, d) != now:
+                    now, scores, done = (query, share, d), [], False
                 if done or len(scores) >= k and scores[k - 1] > upper * 65536 * (1 + 1e-9 * (1 if upper > 0 else -1)):
                     done = True
                     continue
@@ -220,24 +223,31 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id
     any_wide = not rows.where("wide").isEmpty()
     n, widest = asked.agg(F.count(F.lit(1)), F.coalesce(F.max("d"), F.lit(0))).first()
     passes = max(1, -(-n * max(widest, 1) * 8 // QUERY_BYTES))
-    found = None
+    path = new_path(spark, "scores")
+    _remove_at_exit(spark, path)
     for p in range(passes):
         # bounded: QUERY_BYTES on average, as ids are dealt by their hash
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else asked
         shared = spark.sparkContext.broadcast(Queries(block.select("id", "v", "d", "wide").collect()))
         maybe = cut(_candidates(file, shared, k), "candidates")
-        least = maybe.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).where(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count(F.lit(1)).alias("n"))
-        left = maybe.join(least.select(F.col("query_id").alias("of"), "least", "n"), F.col("query_id") == F.col("of")).where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "id", "d", "upper")
+        # the k-th lower bound of a query: of the k best of each of its shares, the k best
+        counts = cut(maybe.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")), "counts")  # a row a query of the block
+        dealt = maybe.join(F.broadcast(counts), "query_id").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+        place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("lower")))
+        few = dealt.select("query_id", "share", "lower").withColumn("place", place("query_id", "share")).where(F.col("place") <= k)
+        least = few.withColumn("place", place("query_id")).where(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count(F.lit(1)).alias("n"))
+        left = dealt.join(F.broadcast(least), "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "share", "id", "d", "upper")
         left = cut(left, "left")
         wanted = left.select("id").distinct()
         bloom, blocks = member_filter(wanted, F.col("id"), wanted.count())
         # of the exact file only rows that may be candidates are shuffled
         exact = maybe_repeated(kept.where("NOT wide").select(F.col("id").alias("vid"), F.col("d").alias("vd"), "v"), F.col("vid"), bloom, blocks, "in").where("in").drop("in")
-        ordered = left.join(exact, (F.col("id") == F.col("vid")) & (F.col("d") == F.col("vd"))).select("query_id", "id", "d", "upper", "v").repartition("query_id").sortWithinPartitions("query_id", "d", F.desc("upper"))
+        both = left.join(exact, (F.col("id") == F.col("vid")) & (F.col("d") == F.col("vd")))
+        ordered = both.repartition("query_id", "share").sortWithinPartitions("query_id", "share", "d", F.desc("upper")).select("query_id", "id", "d", "upper", "v", "share")
         scores = _verified(ordered, shared, k)
         if any_wide:
             scores = scores.unionByName(_exhaustive(kept, shared, k))
-        scores = cut(scores, "scores")
-        found = scores if found is None else found.unionByName(scores)
+        scores.write.mode("append").parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("key"), "id")
+    found = spark.read.schema("query_id long, id long, key string, score long").parquet(path)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")

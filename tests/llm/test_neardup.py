@@ -180,3 +180,41 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges], "id long, other long")
     got = {r.id: r.root for r in neardup.components(links).collect()}
     assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1051)} | {k: 2000 for k in range(2000, 2060)} | {5000: 5000, 5001: 5000}
+
+
+def _pairs(rows):
+    """Classes by both clauses over all pairs of texts that share a shingle or are equal, by an index of shingles."""
+    from collections import Counter, defaultdict
+
+    w, text = weighted(rows), dict(rows)
+    holders = defaultdict(list)
+    for i, x in w.items():
+        for s in x:
+            holders[s].append(i)
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first = {}
+    for i, t in sorted(text.items()):
+        if not w[i]:
+            root[top(i)] = top(first.setdefault(t or "", i))
+    for i in sorted(w):
+        shared = Counter(j for s in w[i] for j in holders[s] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(w[i]) + len(w[j]) - n) or weighted_jaccard(w[i], w[j]) >= 0.8 - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in root}
+
+
+def test_classes_of_whole_documents(spark):
+    """The thousand documents of a given table, whole: no link between two classes is lost, and none is made."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = _pairs(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == want and len(set(want.values())) < len(want)

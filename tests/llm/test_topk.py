@@ -50,6 +50,7 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     from inkwell.llm import topk
 
     monkeypatch.setattr(topk, "QUERY_BYTES", 400)
+    monkeypatch.setattr(topk, "SHARE", 6)  # and the candidates of a query in several shares
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 0.3) for _ in range(4)], k) for k in range(150)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
