@@ -373,6 +373,12 @@ def feed_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.oldest(feed.unseen(*_feed(spark, sf_dir))).select("guid", "pub_date")
 
 
+@query("SELECT event_id::VARCHAR AS guid, ts AS pub_date FROM events ORDER BY ts DESC, event_id LIMIT 3")
+def feed_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preview: the newest three items."""
+    return feed.newest(_feed(spark, sf_dir)[0], 3).select("guid", "pub_date")
+
+
 @query("""
     WITH r AS (SELECT event_id::VARCHAR AS guid, user_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events)
     SELECT guid, CASE WHEN user_id % 2 = 1 THEN 'sent' ELSE 'seeded' END AS how FROM r WHERE user_id % 2 = 1 OR rank > 3
