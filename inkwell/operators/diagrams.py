@@ -245,10 +245,10 @@ def longest_path(edges: list[tuple[str, str]]) -> int | None:
     return max(depth.values()) if gone == len(waits) else None
 
 
-def depths(edges: DataFrame, by: str = "graph_id") -> DataFrame:
+def depths(edges: DataFrame, by: str = "graph_id", folded: int = FOLDED) -> DataFrame:
     """(by, depth): nodes on the longest path of each directed graph, null where it has a cycle.
 
-    A graph of up to FOLDED edges is folded in one task; larger ones are relaxed round by round, all of them at once.
+    A graph of up to ``folded`` edges is folded in one task; larger ones are relaxed round by round, all of them at once.
     """
     edges = edges.select(by, "src", "dst").distinct()
     sizes = edges.groupBy(by).agg(F.count(F.lit(1)).alias("edges"))
@@ -258,9 +258,9 @@ def depths(edges: DataFrame, by: str = "graph_id") -> DataFrame:
         return pd.DataFrame({by: [rows[by].iloc[0]], "depth": pd.array([found], "Int32")})
 
     kind = dict(edges.dtypes)[by]
-    small = edges.join(sizes.where(F.col("edges") <= FOLDED).select(by), by, "left_semi").groupBy(by).applyInPandas(fold, f"`{by}` {kind}, depth int")
-    large = edges.join(sizes.where(F.col("edges") > FOLDED).select(by), by, "left_semi")
-    return small if sizes.where(F.col("edges") > FOLDED).isEmpty() else small.unionByName(_relaxed(large, by))
+    small = edges.join(sizes.where(F.col("edges") <= folded).select(by), by, "left_semi").groupBy(by).applyInPandas(fold, f"`{by}` {kind}, depth int")
+    large = edges.join(sizes.where(F.col("edges") > folded).select(by), by, "left_semi")
+    return small if sizes.where(F.col("edges") > folded).isEmpty() else small.unionByName(_relaxed(large, by))
 
 
 def _relaxed(edges: DataFrame, by: str) -> DataFrame:
