@@ -100,6 +100,7 @@ def stateful(spark: SparkSession) -> SparkSession:
     for key, value in (("providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"), ("rocksdb.changelogCheckpointing.enabled", "true")):
         own.conf.set(f"spark.sql.streaming.stateStore.{key}", value)
     own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a stream keeps the number that it began with
     return own
 
 
