@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -53,18 +52,6 @@ def scanned(text: str) -> Iterator[Row]:
         yield Row(whole, quote, indent, marker, rest, place)
 
 
-def space_fences(text: str) -> str:
-    """An empty line, with the fence's own quote marks, between a fence and text right before or after it; fences inside list items, that is indented by two or more, stay."""
-    rows = list(scanned(text))
-    lead: dict[int, str] = {}  # an empty line with these marks goes before these; between two fences the first one's
-    for k, row in enumerate(rows):
-        if len(row.indent) < 2 and row.place in ("open", "close"):
-            other, gap = (k - 1, k) if row.place == "open" else (k + 1, k + 1)
-            if 0 <= other < len(rows) and not rows[other].blank:
-                lead.setdefault(gap, row.lead.rstrip())
-    return "\n".join(x for k, row in enumerate(rows) for x in ([lead[k], row.whole] if k in lead else [row.whole]))
-
-
 def nest_lists(text: str) -> str:
     """List items four or more columns deeper than the item above them that is less deep go two deeper than that one.
 
@@ -93,28 +80,9 @@ def nest_lists(text: str) -> str:
     return "\n".join(out)
 
 
-#: A list item of a bold label, a dash between blanks, and text.
-LABELLED = re.compile(r"(?P<lead>\s*)(?P<marker>(?:[*+-]|\d+\.)\s+)(?P<label>\*\*[^*]+\*\*:? *?) [-–—] (?P<text>.*)", re.S)
-
-
-def _brackets_close(label: str) -> bool:
-    return all(list(accumulate((1 if c == a else -1 if c == b else 0 for c in label), lambda n, step: max(0, n + step), initial=0))[-1] == 0 for a, b in ("()", "[]"))
-
-
-def split_labels(text: str) -> str:
-    """A list item of a bold label, a dash and text becomes the label with the text as an item below it; any line of ``` begins or ends code."""
-    out, code = [], False
-    for line in text.split("\n"):
-        ticks = line.lstrip().startswith("```")
-        code ^= ticks
-        m = None if code or ticks else LABELLED.fullmatch(line)
-        out += [f"{m['lead']}{m['marker']}{m['label']}", f"{m['lead']}  - {m['text']}"] if m and _brackets_close(m["label"]) else [line]
-    return "\n".join(out)
-
-
 # Mathematics
 
-# Delimiters by name, those that begin alike in their precedence; code; a line of equals signs; a script's base, mark and what is raised or lowered.
+# Delimiters by name, those that begin alike in their precedence; code; a line of equals signs.
 DELIMITERS = {
     "code": r"(?s:```.*?```)|`[^`\n]+`",
     "dollars": r"\$\$(?s:(.+?))\$\$",
@@ -124,7 +92,6 @@ DELIMITERS = {
     "dollar": r"(?<!\$)\$(?!\s)([^$\n]+?)(?<!\s)\$(?!\d)",
 }
 UNDERLINE = re.compile(r"^[ \t]*=+[ \t]*$", re.M)
-SCRIPT = re.compile(r"([A-Za-z0-9]{1,6})([\^_])(?:\{([A-Za-z0-9]{1,3})\}|([A-Za-z0-9]))")
 #: What displays, and what must look like mathematics to be it.
 DISPLAYED, DOUBTFUL = {"dollars", "square", "lines"}, {"lines", "dollar"}
 _OPENING = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in DELIMITERS.items()))
@@ -166,23 +133,6 @@ def protected(text: str) -> tuple[str, list[tuple[str, str, bool]]]:
     return "".join(p + t for p, t in zip(plain, [*(t for t, _, _ in tokens), ""], strict=True)), tokens
 
 
-def simple_scripts(latex: str | None) -> str | None:
-    """Superscripts and subscripts as tags where that says it all, else None."""
-    marks = [] if latex is None else list(SCRIPT.finditer(latex))
-    if not marks or any(c in "\\^_{}" for c in SCRIPT.sub("", latex)):
-        return None
-    return SCRIPT.sub(lambda m: "{0}<{1}>{2}</{1}>".format(m[1], "sup" if m[2] == "^" else "sub", m[3] or m[4]), latex)
-
-
-def unboxed(latex: str) -> tuple[str, bool]:
-    r"""The content of a \boxed{...} around a whole expression, and whether there was one."""
-    head, s = "\\boxed{", latex.strip()
-    depths = list(accumulate((c == "{") - (c == "}") for c in s[len(head) - 1 :])) if s.startswith(head) else []
-    if 0 in depths and depths.index(0) == len(depths) - 1:
-        return s[len(head) : -1], True
-    return latex, False
-
-
 def _text_udf(rule):
     @F.pandas_udf(T.StringType())
     def apply(texts: pd.Series) -> pd.Series:
@@ -191,8 +141,7 @@ def _text_udf(rule):
     return apply
 
 
-_space_fences, _nest_lists, _split_labels = _text_udf(space_fences), _text_udf(nest_lists), _text_udf(split_labels)
-scripts = _text_udf(simple_scripts)
+_nest_lists = _text_udf(nest_lists)
 
 
 def _where(needed: Column, rule, text: Column) -> Column:
@@ -200,18 +149,10 @@ def _where(needed: Column, rule, text: Column) -> Column:
     return F.coalesce(rule(F.when(needed, text)), text)
 
 
-def spaced_fences(text: Column) -> Column:
-    return _where(text.rlike("```|~~~"), _space_fences, text)
-
-
 def nested_lists(text: Column) -> Column:
     return _where(text.rlike(r"(?m)^[> \t]*(?:[-*+]|\d+[.)])[ \t]"), _nest_lists, text)
 
 
-def promoted_labels(text: Column) -> Column:
-    return _where(text.rlike(r"(?m)^\s*(?:[-*+]|\d+\.)\s+\*\*"), _split_labels, text)
-
-
 @F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("latex", T.StringType()).add("display", T.BooleanType())))
 def _spans_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [dict(zip(("start", "end", "latex", "display"), s, strict=True)) for s in math_spans(t)])

@@ -16,6 +16,9 @@ TABLE_ROW = r"^\s*\|"
 PAREN_ITEM = r"(?U)^(\s*)(\d{1,9})\\?\)(\s+)(\S.*)$"
 LABEL_LINE = r"^\*\*[^*\n]+:\*\*(?:\s|$)"
 STAMP = r"^(\*\*(?:Created|Updated|Exported):\*\*[ \t]*)(?:(\d{4})/(\d{1,2})/(\d{1,2})|(\d{1,2})/(\d{1,2})/(\d{4}))[ \t]+(\d{1,2}):(\d{2}):(\d{2})([ \t]*)$"
+LABELLED = r"(?Us)^(\s*)((?:[*+-]|\d+\.)\s+)(\*\*[^*]+\*\*:? *?) [-–—] (.*)\z"
+FENCE_MARKS = r"(?s)^((?:[ \t]*>)*(?:(?<=>)[ \t])?)([ \t]*)(`{3,}|~{3,})(.*)\z"
+QUOTED_BLANK = r"(?U)^(?:[ \t]*>)*\s*\z"
 INLINE_LINK = r"(?<!!)\(?\[([^\]]*)\]\([^)]*\)\)?"
 ZERO_WIDTH = "​‌‍⁠﻿"
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*\r?\n?"
@@ -158,6 +161,75 @@ def blank_before_blocks(text: Column) -> Column:
     return _by_line(text, r"(?mU)^\s*(?:[-*+]\s|\d+\.\s|\|)", rule)
 
 
+def _closes(label: Column, pair: str) -> Column:
+    """Whether no bracket of the pair stays open; one that closes none is passed over."""
+    marks = F.split(F.regexp_replace(label, rf"[^\{pair[0]}\{pair[1]}]", ""), "")
+    step = lambda mark: F.when(mark == pair[0], 1).when(mark == pair[1], -1).otherwise(0)
+    return F.aggregate(marks, F.lit(0), lambda n, mark: F.greatest(F.lit(0), n + step(mark))) == 0
+
+
+def promoted_labels(text: Column) -> Column:
+    """A list item of a bold label, a dash and text becomes the label with the text as an item below it; a dash within brackets of the label is none."""
+    def rule(line: Line) -> Column:
+        label = F.regexp_extract(line.text, LABELLED, 3)
+        return F.when(_is(line.text, LABELLED) & _closes(label, "()") & _closes(label, "[]"), F.regexp_replace(line.text, LABELLED, "$1$2$3\n$1  - $4")).otherwise(line.text)
+
+    return _by_line(text, r"(?mU)^\s*(?:[-*+]|\d+\.)\s+\*\*", rule)
+
+
+#: Lines of fence marks that are followed through at once, so that the letters put down for them are copied seldom.
+MARKS_AT_ONCE = 1000
+
+
+def _fence_kinds(marks: Column) -> Column:
+    """A letter for each line of fence marks (run, bare): o opens, c closes, i stands inside a fence, which closes with as many marks of its kind and nothing behind them."""
+    state = lambda fence, kinds: F.struct(fence.alias("fence"), kinds.alias("kinds"))
+
+    def step(so_far: Column, mark: Column) -> Column:
+        fence = so_far["fence"]
+        kind = F.when(fence == "", "o").when(mark["bare"] & F.startswith(mark["run"], fence), "c").otherwise("i")
+        return bound(kind, lambda k: state(F.when(k == "o", mark["run"]).when(k == "c", "").otherwise(fence), F.concat(so_far["kinds"], k)))
+
+    def part(so_far: Column, k: Column) -> Column:
+        some = F.slice(marks, k * MARKS_AT_ONCE + 1, F.lit(MARKS_AT_ONCE))
+        return bound(F.aggregate(some, state(so_far["fence"], F.lit("")), step), lambda x: state(x["fence"], F.concat(so_far["kinds"], x["kinds"])))
+
+    parts = F.sequence(F.lit(0), F.floor(F.size(marks) / MARKS_AT_ONCE).cast("int"))
+    return F.aggregate(parts, state(F.lit(""), F.lit("")), part, lambda x: x["kinds"])
+
+
+def spaced_fences(text: Column) -> Column:
+    """An empty line, with the fence's own quote marks, between a fence and text right before or after it; fences inside list items, that is indented by two or more, stay."""
+
+    def marked(rows: Column) -> Column:
+        """The lines of fence marks: place, quote and indentation, run, and whether nothing stands behind it."""
+        part = lambda x, k: F.regexp_extract(x, FENCE_MARKS, k)
+        one = lambda x, i: F.struct(i.alias("at"), part(x, 1).alias("quote"), part(x, 2).alias("indent"), part(x, 3).alias("run"), part(x, 4).rlike(r"(?U)^\s*\z").alias("bare"))
+        return F.filter(F.transform(rows, lambda x, i: F.when(_is(x, FENCE_MARKS), one(x, i))), lambda x: x.isNotNull())
+
+    def leads(rows: Column, marks: Column, kinds: Column) -> Column:
+        """For each line, and for the end, what goes before it: a map would be searched, so the few that have one are set between runs of nulls."""
+        beside = F.transform(marks, lambda x, j: F.struct(F.substr(kinds, j + 1, F.lit(1)).alias("kind"), x["at"].alias("at"), F.regexp_replace(F.concat(x["quote"], x["indent"]), r"[ \t]+\z", "").alias("lead"), (F.length(x["indent"]) < 2).alias("out")))
+        gap = lambda x: x["at"] + F.when(x["kind"] == "c", 1).otherwise(0)
+        other = lambda x: F.get(rows, x["at"] + F.when(x["kind"] == "c", 1).otherwise(-1))
+        needed = F.filter(beside, lambda x: x["out"] & (x["kind"] != "i") & ~F.coalesce(other(x).rlike(QUOTED_BLANK), F.lit(True)))
+        return bound(F.transform(needed, lambda x: F.struct(gap(x).alias("gap"), x["lead"].alias("lead"))), lambda some: spread(rows, some))
+
+    def spread(rows: Column, some: Column) -> Column:
+        # between two fences the first one's: of two with one gap the second gives no line
+        before = lambda j: F.when(j == 0, -1).otherwise(F.get(some, j - 1)["gap"])
+        nothing = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
+        runs = F.transform(some, lambda x, j: F.when(x["gap"] == before(j), nothing(F.lit(0))).otherwise(F.concat(nothing(x["gap"] - before(j) - 1), F.array(x["lead"]))))
+        last = F.coalesce(F.get(some, F.size(some) - 1)["gap"], F.lit(-1))
+        return F.concat(F.flatten(runs), nothing(F.size(rows) - last - 1))
+
+    def done(rows: Column) -> Column:
+        found = bound(marked(rows), lambda marks: bound(_fence_kinds(marks), lambda kinds: leads(rows, marks, kinds)))
+        return F.zip_with(rows, found, lambda line, lead: F.when(lead.isNull(), line).otherwise(F.concat(lead, F.lit("\n"), line)))
+
+    return F.when(text.rlike("```|~~~"), joined(bound(lines(text), done))).otherwise(text)
+
+
 def safe_symbols(text: Column) -> Column:
     """Symbols become plain text, with a blank where a letter or digit follows.
 

@@ -108,7 +108,7 @@ def normalised(docs: DataFrame) -> DataFrame:
 
     Each rule is a projection of its own: a rule reads its text more than once, so nesting them in one expression would multiply it.
     """
-    for rule in (text.front_matter, text.zero_width_fences, folds.space_fences, folds.nest_lists, text.export_timestamps, text.metadata_breaks, text.paren_lists, text.hashtags, folds.split_labels, text.blank_before_blocks):
+    for rule in (text.front_matter, text.zero_width_fences, text.spaced_fences, folds.nest_lists, text.export_timestamps, text.metadata_breaks, text.paren_lists, text.hashtags, text.promoted_labels, text.blank_before_blocks):
         docs = _folded(docs, rule) if rule.__module__ == folds.__name__ else docs.withColumn("text", rule(F.col("text")))
     return docs
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import folds, text, urls
+from inkwell.functions import folds, latex, text, urls
 from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
 from inkwell.plans import digests, landed, ranges, rules, streams, texts  # noqa: F401: they register their queries
-from inkwell.plans.marked import SQL_LINES, marked
+from inkwell.plans.marked import SQL_LINES, marked, sql_lines
 from inkwell.plans.registry import _ORACLES, _QUERIES, Query, query, table
 
 
@@ -516,14 +516,61 @@ def nested_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.nested_lists(F.col("text"))).alias("digest"))
 
 
-@query()
+_FENCES = ("", "```py ", "", "```", "~~~", "> ", "> ~~~~", "  ```", "~~~", "text ")
+_BARE_FENCES = ("```", "~~~", "> ~~~~", "  ```")
+_SQL_MARKS = r"'^((?:[ \t]*>)+[ \t]?|)([ \t]*)(`{3,}|~{3,})(.*)$'"
+
+
+@query(sql_lines(_FENCES, _BARE_FENCES) + rf"""
+    , r AS (SELECT *, regexp_extract(line, {_SQL_MARKS}, 3) AS run, trim(regexp_extract(line, {_SQL_MARKS}, 4)) = '' AS bare, rtrim(regexp_extract(line, {_SQL_MARKS}, 1) || regexp_extract(line, {_SQL_MARKS}, 2)) AS lead, length(regexp_extract(line, {_SQL_MARKS}, 2)) < 2 AS out FROM w),
+    h AS (SELECT doc_id, list_reduce(list({{'run': run, 'bare': bare, 'kinds': ''}} ORDER BY i), lambda s, x: {{'run': CASE WHEN s.run = '' THEN x.run WHEN x.bare AND starts_with(x.run, s.run) THEN '' ELSE s.run END, 'bare': false,
+        'kinds': s.kinds || CASE WHEN s.run = '' THEN 'o' WHEN x.bare AND starts_with(x.run, s.run) THEN 'c' ELSE 'i' END}}, {{'run': '', 'bare': false, 'kinds': ''}}).kinds AS kinds FROM r WHERE run <> '' GROUP BY doc_id),
+    n AS (SELECT r.*, CASE WHEN run <> '' THEN kinds[(sum((run <> '')::INT) OVER (PARTITION BY r.doc_id ORDER BY i))::BIGINT] END AS kind FROM r LEFT JOIN h ON r.doc_id = h.doc_id),
+    b AS (SELECT *, lag(kind) OVER o AS kind_before, lag(lead) OVER o AS lead_before, lag(out) OVER o AS out_before FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    p AS (SELECT doc_id, i, CASE WHEN kind_before = 'c' AND out_before AND NOT regexp_matches(line, '^(?:[ \t]*>)*\s*$') THEN lead_before || chr(10) WHEN kind = 'o' AND out AND NOT regexp_matches(before, '^(?:[ \t]*>)*\s*$') THEN lead || chr(10) ELSE '' END || line AS line FROM b)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM p GROUP BY doc_id
+""")
 def fence_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.spaced_fences(F.col("text"))).alias("digest"))
+    """Documents whose lines open, hold and close fences of several kinds and depths."""
+    return marked(table(spark, sf_dir, "documents"), _FENCES, _BARE_FENCES).select("doc_id", F.md5(text.spaced_fences(F.col("text"))).alias("digest"))
 
 
-@query()
+_LABELS = ("- **Name (a):** - ", "1. **Part** – ", "* **Open (b** — ", "", "+ **[x)** - ", "- plain - ", "```", "  - **Deep:**   - ", "- **A)(** - ")
+_SQL_LABELLED = r"'(?s)^(\s*)((?:[*+-]|\d+\.)\s+)(\*\*[^*]+\*\*:? *?) [-–—] (.*)$'"
+
+
+def _sql_open(pair: str) -> str:
+    steps = f"list_transform(string_split(regexp_extract(line, {_SQL_LABELLED}, 3), ''), lambda c: CASE c WHEN '{pair[0]}' THEN 1 WHEN '{pair[1]}' THEN -1 ELSE 0 END)"
+    return f"list_reduce({steps}, lambda n, s: greatest(0, n + s), 0)"
+
+
+@query(sql_lines(_LABELS, ("```",)) + rf"""
+    , p AS (SELECT doc_id, i, CASE WHEN NOT mask AND regexp_matches(line, {_SQL_LABELLED}) AND {_sql_open("()")} = 0 AND {_sql_open("[]")} = 0 THEN regexp_replace(line, {_SQL_LABELLED}, '\1\2\3' || chr(10) || '\1  - \4') ELSE line END AS line FROM w)
+    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM p GROUP BY doc_id
+""")
 def dash_sublists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(table(spark, sf_dir, "documents")).select("doc_id", F.md5(folds.promoted_labels(F.col("text"))).alias("digest"))
+    """Documents whose lines are items with labels: with brackets that close or stay open, plain ones, and code."""
+    return marked(table(spark, sf_dir, "documents"), _LABELS, ("```",)).select("doc_id", F.md5(text.promoted_labels(F.col("text"))).alias("digest"))
+
+
+_LATEX = ("H_{d}", "x^{{s}}", "\\frac{a}{{s}}", "x_{{s}} + yz^2", "abc_{{s}000}", " \\boxed{a_{{s}}} ", "\\boxed{{s}} and y", "1,{s}00.5", "{d}^_", "\\boxed{{s}}{{d}}", "x_{d}y^3")
+
+
+def _latex_of(template: str, size: Column) -> Column:
+    return F.replace(F.replace(F.lit(template), F.lit("{s}"), size.cast("string")), F.lit("{d}"), (size % 10).cast("string"))
+
+
+@query(r"""
+    WITH p AS (SELECT p_partkey, p_partkey % 11 AS k, p_size::VARCHAR AS s, (p_size % 10)::VARCHAR AS d FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN 'H<sub>' || d || '</sub>' WHEN 1 THEN 'x<sup>' || s || '</sup>' WHEN 3 THEN 'x<sub>' || s || '</sub> + yz<sup>2</sup>' WHEN 10 THEN 'x<sub>' || d || '</sub>y<sup>3</sup>' END AS scripts,
+           CASE WHEN k = 5 THEN 'a_{' || s || '}' END AS unboxed, k <> 7 AS is_math FROM p
+""")
+def latex_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of mathematics made of the parts' sizes: which are but scripts, which are boxed, which are mathematics at all."""
+    size, k = F.col("p_size"), F.col("p_partkey") % len(_LATEX)
+    made = F.element_at(F.array(*[_latex_of(t, size) for t in _LATEX]), (k + 1).cast("int"))
+    pieces = table(spark, sf_dir, "part").select("p_partkey", made.alias("x")).withColumn("box", latex.unboxed(F.col("x")))
+    return pieces.select("p_partkey", latex.scripts(F.col("x")).alias("scripts"), F.when(F.col("box.boxed"), F.col("box.latex")).alias("unboxed"), latex.looks_like_math(F.col("x")).alias("is_math"))
 
 
 @query()

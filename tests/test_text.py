@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import folds, text, urls
+import brute
+from inkwell.functions import folds, latex, text, urls
 
 FENCE = "```\n1) a\n#tag\n- x\n```"
 
@@ -34,12 +37,12 @@ def apply(spark, rule, value):
         (text.safe_symbols, "✅Done ⚠️ 🔥! ⬇️", "[Yes] Done [Warning] [Hot]! v"),
         (folds.nested_lists, "* a\n    * b\n        * c\n* d", "* a\n  * b\n    * c\n* d"),
         (folds.nested_lists, "* a\n  * b", "* a\n  * b"),
-        (folds.spaced_fences, "text\n```\ncode\n```\nmore", "text\n\n```\ncode\n```\n\nmore"),
-        (folds.spaced_fences, "> text\n> ```\n> x\n> ```\n> - a", "> text\n>\n> ```\n> x\n> ```\n>\n> - a"),
-        (folds.spaced_fences, "- a\n  ```\n  x\n  ```\n- b", "- a\n  ```\n  x\n  ```\n- b"),
-        (folds.promoted_labels, "- **RAG** - uses an index", "- **RAG**\n  - uses an index"),
-        (folds.promoted_labels, "- plain - text", "- plain - text"),
-        (folds.promoted_labels, "1. **A:** – b", "1. **A:**\n  - b"),
+        (text.spaced_fences, "text\n```\ncode\n```\nmore", "text\n\n```\ncode\n```\n\nmore"),
+        (text.spaced_fences, "> text\n> ```\n> x\n> ```\n> - a", "> text\n>\n> ```\n> x\n> ```\n>\n> - a"),
+        (text.spaced_fences, "- a\n  ```\n  x\n  ```\n- b", "- a\n  ```\n  x\n  ```\n- b"),
+        (text.promoted_labels, "- **RAG** - uses an index", "- **RAG**\n  - uses an index"),
+        (text.promoted_labels, "- plain - text", "- plain - text"),
+        (text.promoted_labels, "1. **A:** – b", "1. **A:**\n  - b"),
         (text.clean_text, "See [x](http://y) now  , ok .", "See now, ok."),
         (text.paragraphs, " a \n\n\n b\n \n", "a\n\nb"),
     ],
@@ -49,14 +52,14 @@ def test_vectors(spark, rule, before, after):
 
 
 def test_null_and_empty_texts(spark):
-    for rule in (*text.NORMALISERS, text.safe_symbols, folds.nested_lists, folds.spaced_fences, folds.promoted_labels):
+    for rule in (*text.NORMALISERS, text.safe_symbols, folds.nested_lists, text.spaced_fences, text.promoted_labels):
         assert apply(spark, rule, None) is None
         assert apply(spark, rule, "") == ""
 
 
 def test_normalisers_are_idempotent(spark):
     source = "Foo:\n1) a\n2) b\n#tag\n**A:** x\n**B:** y\n- l\n```\n#c\n```\n"
-    for rule in (text.hashtags, text.paren_lists, text.metadata_breaks, text.blank_before_blocks, text.export_timestamps, folds.spaced_fences):
+    for rule in (text.hashtags, text.paren_lists, text.metadata_breaks, text.blank_before_blocks, text.export_timestamps, text.spaced_fences):
         once = apply(spark, rule, source)
         assert apply(spark, rule, once) == once
 
@@ -67,11 +70,6 @@ def test_math():
     out, tokens = folds.protected("a $x^2$ b")
     assert out == f"a {tokens[0][0]} b"
     assert tokens[0][1:] == ("x^2", False)
-    assert folds.simple_scripts("H_2O") == "H<sub>2</sub>O"
-    assert folds.simple_scripts("x^{10}") == "x<sup>10</sup>"
-    assert folds.simple_scripts("\\frac{1}{2}") is None
-    assert folds.unboxed("\\boxed{x+{1}}") == ("x+{1}", True)
-    assert folds.unboxed("\\boxed{x} and y") == ("\\boxed{x} and y", False)
 
 
 @pytest.mark.parametrize(
@@ -124,3 +122,30 @@ def test_mask_of_fences(spark):
     rows = ["a", "```", "b", "```", "c", "  ```x", "d"]
     got = spark.createDataFrame([(rows,), (["a"],), (["```"],), ([""],)], "r array<string>").select(text.fence_mask(F.col("r")).alias("m")).collect()
     assert [r.m for r in got] == [[False, True, True, True, False, True, True], [False], [True], [False]]
+
+
+def test_line_rules_against_brute_force(spark):
+    """Texts of every kind of line in every order, among them fences that other fences stand in."""
+    rng = random.Random(7)
+    pieces = ["", " ", "text", "```", "```py", "````", "~~~", "~~~ ~", "  ```", " ```", "> ```", "> ~~~~", ">> ```x", "> ", ">", "> a", "- a", "- ", "- ```", "\t```", "1. **A (b** - c", "- **A (b)** – c - d", "* **[x** — y", "+  **L:**   - t", "- **A)(** - c", "  2. **n** -x", "- **a\u00a0** - ", "```  "]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + ["", "```", "```\n```\n```\nx"]
+    many = "\n".join(["x", "```"] * 3500)  # fences that are followed through in several parts
+    rows = spark.createDataFrame([(t,) for t in [*texts, many]], "t string").repartition(4)
+    for r in rows.select("t", text.spaced_fences(F.col("t")).alias("fences"), text.promoted_labels(F.col("t")).alias("labels")).collect():
+        assert r.fences == brute.space_fences(r.t), r.t
+        assert r.labels == brute.split_labels(r.t), r.t
+
+
+def test_mathematics_against_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["H", "_2", "O", "^{10}", "x", "^", "_", "{", "}", "\\boxed{", " ", "abcdefgh", "_{abcd}", "12", "\\frac", "<", "=", ",", ".5"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 8))) for _ in range(4000)]
+    texts += ["", "H_2O", "x^{10}", "x_2y^3", "\\frac{1}{2}", "\\boxed{x+{1}}", " \\boxed{x} ", "\\boxed{x} and y", "\\boxed{x}}", "\\boxed{", "\\boxed{x}{y}", "1,000.50", "<^>x^2"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for r in rows.select("t", latex.scripts(F.col("t")).alias("s"), latex.unboxed(F.col("t")).alias("u"), latex.looks_like_math(F.col("t")).alias("m")).collect():
+        if r.t is None:
+            assert (r.s, r.u.latex, r.m) == (None, None, None)
+        else:
+            assert r.s == brute.simple_scripts(r.t), r.t
+            assert (r.u.latex, r.u.boxed) == brute.unboxed(r.t), r.t
+            assert r.m == folds.looks_like_math(r.t), r.t
