@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import folds, latex, text, urls
 from inkwell.operators import convert, diagrams, digest, feed, guards, hours, html, rotation, series, transcripts, xhtml
-from inkwell.plans import digests, landed, ranges, rules, streams, texts  # noqa: F401: they register their queries
+from inkwell.plans import digests, landed, ranges, renders, rules, streams, texts  # noqa: F401: they register their queries
 from inkwell.plans.marked import SQL_LINES, marked, sql_lines
 from inkwell.plans.registry import _ORACLES, _QUERIES, Query, query, table
 
