@@ -163,3 +163,55 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = diagrams.fit_scale(((i % 40 + 1) * 100).cast("double"), ((i % 30 + 1) * 100).cast("double"))
     saved = readers.fetched_document(F.when(k == 2, F.concat(L("T & "), _s(i))), F.col("url"), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", readers.image_document(path).alias("image"), readers.is_png(body).alias("is_png"), step["diagnostic"].alias("diagnostic"), step["value"].alias("value"), scale.alias("scale"), F.md5(saved).alias("saved"))
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey AS i, c_mktsegment AS label, c_acctbal AS hv, c_custkey * 1.5 AS ov, c_custkey % 7 = 0 AS lacking, c_custkey % 5 = 0 AS searched, c_custkey % 13 = 0 AS wide FROM customer),
+    d AS (SELECT *, round(printf('%.1f', ov)::DOUBLE * 10)::BIGINT - round(printf('%.1f', hv)::DOUBLE * 10)::BIGINT AS d, printf('%.1f%%', hv) || ' (1995)' AS home, CASE WHEN lacking THEN 'not available today' ELSE printf('%.1f%%', ov) || ' (1996)' END AS other,
+        CASE WHEN lacking THEN NULL WHEN i % 11 = 0 THEN 'counted by hand' WHEN wide THEN 'a figure comes from a different source, so definitions may differ' END AS reason FROM c),
+    r AS (SELECT *, CASE WHEN NOT lacking AND reason IS NULL AND hv <> 0 THEN CASE WHEN d = 0 THEN 'the same as the UK''s' ELSE printf('%.1f', abs(d) / 10.0) || ' percentage points ' || CASE WHEN d > 0 THEN 'higher' ELSE 'lower' END || ' than the UK''s' END END AS relation FROM d)
+    SELECT i AS c_custkey, '## UK vs Jamaica' || {P} || CASE WHEN i % 17 = 0 THEN '*Unavailable today: the UK vs Jamaica fact. See the run check above.*' ELSE concat_ws({P}, '### ' || label,
+        '| | UK | Jamaica |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || label || ' | ' || home || ' | ' || other || ' |', '*Not compared: ' || reason || '.*', CASE WHEN i % 6 = 0 AND NOT lacking THEN '**What the figures count:** Jamaica: all.' END,
+        CASE WHEN i % 3 = 0 THEN 'Text.' ELSE 'A share. The UK''s figure is ' || home || ' and Jamaica''s is ' || other || '.' || coalesce(' Jamaica''s figure is ' || relation || '.', '') END,
+        CASE WHEN searched AND NOT lacking THEN '> **Note:** Jamaica''s figure was found by an AI (LLM) ' || CASE WHEN i % 4 = 0 THEN 'web search of ' ELSE 'web search fallback of ' END || 's.org' || CASE WHEN wide THEN ' (a wider search of official statistics sites)' ELSE '' END || CASE WHEN i % 4 = 0 THEN '; no data API covers this fact.' ELSE ', not from a data API.' END END,
+        'Sources: ' || CASE WHEN lacking THEN '[Bank — X (UK)](https://b.org)' WHEN searched THEN '[Bank — X (UK)](https://b.org) · [Office (Jamaica)](https://www.s.org/p)' ELSE '[Bank — X](https://b.org)' END) END AS section FROM r
+""")
+def comparison_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section a customer: their balance and a number of their own as two countries' shares, some searched, some lacking, some not to be compared."""
+    i = F.col("c_custkey")
+    entry = F.struct(F.col("c_mktsegment").alias("label"), L("A share.").alias("meaning"), L("pct").alias("format"), L(None).cast("string").alias("unit"), L("Bank").alias("org"), L("X").alias("code"), F.when(i % 4 == 0, "search").otherwise("worldbank").alias("source"), (i % 11 != 0).alias("harmonised"), L("counted by hand").alias("not_compared_because"))
+
+    def figure(value: Column, year: int, searched: Column, note: Column, tier: Column) -> Column:
+        pick = lambda a, b: F.when(searched, a).otherwise(b)
+        return F.struct(value.alias("value"), L(year).alias("year"), pick("search", "api").alias("via"), L(False).alias("estimate"), note.alias("unit_note"), pick("https://www.s.org/p", "https://b.org").alias("url"), pick("Office", "Bank").alias("org"), tier.alias("tier"))
+
+    home = F.when(i % 17 != 0, figure(F.col("c_acctbal"), 1995, L(False), L(None).cast("string"), L(None).cast("int")))
+    other = F.when((i % 17 != 0) & (i % 7 != 0), figure(i * 1.5, 1996, i % 5 == 0, F.when(i % 6 == 0, "all."), F.when(i % 13 == 0, 2)))
+    return table(spark, sf_dir, "customer").select("c_custkey", sections.comparison_section(entry, home, other, F.when(i % 3 == 0, "Text.").otherwise(" ")).alias("section"))
+
+
+_SQL_WEEK = "strftime({0}, '%A ') || day({0}) || strftime({0}, ' %B')"
+
+
+@query(f"""
+    WITH c AS (SELECT c_custkey AS i, c_mktsegment AS book, c_name AS title, DATE '2026-01-04' + (c_custkey % 300)::INTEGER AS day, DATE '2026-01-04' + (c_custkey % 300)::INTEGER + 7 AS next FROM customer)
+    SELECT i AS c_custkey, concat_ws({P}, '## Sunday Reading: ' || title, '*World (public)*',
+        CASE WHEN i % 4 = 0 THEN concat_ws({P}, CASE WHEN i % 8 = 0 THEN '*Unavailable today: the overview of ' || book || '. See the run check above.*' ELSE '### Who wrote it' || {P} || 'One' || {P} || 'two' || {P} || '### What it''s about' || {P} || 'About ' || book END,
+            '### Structure', 'Outline', '*Outline compiled from Wikipedia.*', '### Reading plan', '- week 1' || chr(10) || '- week 2', CASE WHEN i % 12 = 0 THEN '### The Prologue' || {P} || 'In the beginning' END) END,
+        '### Look back', CASE WHEN i % 5 = 0 THEN 'This is the first Sunday reading.' ELSE 'Previous reading (' || {_SQL_WEEK.format("day")} || '): ' || CASE WHEN i % 2 = 0 THEN 'an overview of ' ELSE '' END || title || '.' || CASE WHEN i % 2 = 1 AND i % 3 <> 0 THEN {P} || 'Then ' || i ELSE '' END END,
+        CASE i % 3 WHEN 1 THEN 'Chapter ' || i WHEN 2 THEN 'Chapter ' || i || {P} || 'Chapter ' || (i + 1) END,
+        '### Look forward', 'Next reading (' || {_SQL_WEEK.format("next")} || '): ' || CASE WHEN i % 2 = 1 THEN 'an overview of ' || book ELSE book || ' (part of: P' || i || ')' END || '.',
+        CASE WHEN i % 2 = 0 THEN 'Source: [World — eBible.org](https://e)' ELSE 'Sources: [World — eBible.org](https://e) · [' || book || ' — Wikipedia](https://w/' || i || ')' END) AS section FROM c
+""")
+def reading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Sunday reading a customer: first and later weeks of a book, first Sundays, readings of none to two chapters."""
+    i, book, title = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")
+    day = F.date_add(L("2026-01-04").cast("date"), (i % 300).cast("int"))
+    overview = F.when(i % 4 == 0, F.struct(L("One\n\n two ").alias("authorship"), F.when(i % 8 != 0, F.concat(L("About "), book)).alias("about"), L("Outline").alias("outline"), F.array(L("week 1"), L("week 2")).alias("plan"), F.when(i % 12 == 0, "In the beginning").otherwise("").alias("prologue")))
+    previous = F.when(i % 5 != 0, F.struct(title.alias("title"), day.alias("date"), (i % 2 == 0).alias("overview")))
+    upcoming = F.struct(book.alias("title"), F.date_add(day, 7).alias("date"), (i % 2 == 1).alias("overview"), F.concat(L("P"), _s(i)).alias("part"))
+    chapters = F.slice(F.array(F.concat(L("Chapter "), _s(i)), F.concat(L("Chapter "), _s(i + 1))), L(1), (i % 3).cast("int"))
+    wiki = F.when(i % 2 == 1, F.struct(book.alias("title"), F.concat(L("https://w/"), _s(i)).alias("url")))
+    recap = F.when(i % 3 != 0, F.concat(L("Then "), _s(i))).otherwise(" ")
+    reading = F.struct(title.alias("title"), L("World").alias("translation"), L("Public").alias("licence"), L("https://e").alias("url"), overview.alias("overview"), book.alias("book"), previous.alias("previous"), recap.alias("recap"), chapters.alias("chapters"), upcoming.alias("next"), wiki.alias("wiki"))
+    return table(spark, sf_dir, "customer").select("c_custkey", sections.reading_section(reading).alias("section"))
